@@ -7,8 +7,12 @@ one row of the other side, however many versions a key has. The offending pairs
 back to the references.
 
 Skew: distinct pairs and the parents' begin/end marks are combined map-side; the running
-sums work per (key, day) with the days' sums added from a second, much smaller window, so
-no key's whole history is sorted in one task; the join back is salted.
+sums work per (key, span of days) with the spans' sums added from a second, smaller window,
+so no key's whole history is sorted in one task; the join back is salted.
+
+Keys travel as two independent 64-bit hashes, not as text: paths are long, and shuffling
+them would cost several times the input. Two different ids of a billion share both hashes
+with a probability below 1e-20.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from codelattice.model import norm_id
 
 ENDPOINTS = ("source", "target")
 SALTS = 8
+SPAN_DAYS = 7
 _FIRST, _LAST = "0001-01-01 00:00:00", "9999-12-31 00:00:00"
 
 
@@ -27,16 +32,22 @@ def _time(c: str, default: str) -> Column:
     return F.coalesce(F.col(c).cast("timestamp_ntz"), F.lit(default).cast("timestamp_ntz"))
 
 
+def _key(c: str) -> list[Column]:
+    """Two hashes that stand for an id; null for null."""
+    text = norm_id(c)
+    return [F.when(text.isNotNull(), F.xxhash64(F.lit(seed), text)).alias(f"k{seed}") for seed in (1, 2)]
+
+
 def parent_versions(nodes: DataFrame, externals: DataFrame) -> DataFrame:
-    """``id, begun, ended, ghost`` of all rows that an end may name."""
+    """``k1, k2, begun, ended, ghost`` of all rows that an end may name."""
     n = nodes.select(
-        norm_id("id").alias("id"),
+        *_key("id"),
         F.col("scanned_at").alias("begun"),
         F.col("removed_at").alias("ended"),
         F.coalesce(F.col("unresolved"), F.lit(False)).alias("ghost"),
     )
     x = externals.select(
-        norm_id("id").alias("id"),
+        *_key("id"),
         F.col("added_at").alias("begun"),
         F.col("withdrawn_at").alias("ended"),
         F.lit(False).alias("ghost"),
@@ -45,65 +56,69 @@ def parent_versions(nodes: DataFrame, externals: DataFrame) -> DataFrame:
 
 
 def references(edges: DataFrame, key: str = "ord", time: str = "scanned_at") -> DataFrame:
-    """``ord, endpoint, id, at``: one row per non-null end; a missing time becomes the first instant."""
-    ends = F.explode(F.array(*[F.struct(F.lit(e).alias("endpoint"), norm_id(e).alias("id")) for e in ENDPOINTS]))
+    """``ord, endpoint, k1, k2, at``: one row per non-null end; a missing time becomes the first instant."""
+    ends = F.explode(F.array(*[F.struct(F.lit(e).alias("endpoint"), *_key(e)) for e in ENDPOINTS]))
     return (
         edges.select(F.col(key).alias("ord"), _time(time, _FIRST).alias("at"), ends.alias("_e"))
-        .where(F.col("_e.id").isNotNull())
-        .select("ord", F.col("_e.endpoint").alias("endpoint"), F.col("_e.id").alias("id"), "at")
+        .where(F.col("_e.k1").isNotNull())
+        .select("ord", F.col("_e.endpoint").alias("endpoint"), F.col("_e.k1").alias("k1"), F.col("_e.k2").alias("k2"), "at")
     )
 
 
 def unsound_instants(refs: DataFrame, parents: DataFrame) -> DataFrame:
-    """``id, at, kind`` of the distinct (id, at) of ``refs`` without a sound parent.
+    """``k1, k2, at, kind`` of the distinct (key, at) of ``refs`` without a sound parent.
 
     'missing' no parent row has the id; 'late' nothing lives and all rows begin later;
     'deleted' nothing lives otherwise; 'unresolved' all that live are ghosts.
     A parent without begin begins after every reference; an end before the begin means the
     row never lives. A reference without time is tested for 'missing' only.
     """
-    p = parents.where(F.col("id").isNotNull()).select(
-        "id", _time("begun", _LAST).alias("begun"), F.col("ended").cast("timestamp_ntz").alias("ended"),
-        (~F.col("ghost")).cast("long").alias("real"),
+    p = parents.where(F.col("k1").isNotNull()).select(
+        "k1", "k2", _time("begun", _LAST).alias("begun"), F.col("ended").cast("timestamp_ntz").alias("ended"), (~F.col("ghost")).cast("int").alias("real"),
     )
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    n = lambda c: F.lit(c).cast("int")
     none = F.lit(None).cast("timestamp_ntz")
-    begins = p.select("id", F.col("begun").alias("at"), one.alias("live"), F.col("real").alias("sound"), F.col("begun").alias("first"), F.lit(False).alias("asked"))
+    begins = p.select("k1", "k2", F.col("begun").alias("at"), n(1).alias("live"), F.col("real").alias("sound"), F.col("begun").alias("first"), F.lit(False).alias("asked"))
     ends = p.where(F.col("ended").isNotNull()).select(
-        "id", F.greatest("ended", "begun").alias("at"), (-one).alias("live"), (-F.col("real")).alias("sound"), none.alias("first"), F.lit(False).alias("asked")
+        "k1", "k2", F.greatest("ended", "begun").alias("at"), n(-1).alias("live"), (-F.col("real")).alias("sound"), none.alias("first"), F.lit(False).alias("asked")
     )
-    asked = refs.select("id", "at", zero.alias("live"), zero.alias("sound"), none.alias("first"), F.lit(True).alias("asked"))
+    asked = refs.select("k1", "k2", "at", n(0).alias("live"), n(0).alias("sound"), none.alias("first"), F.lit(True).alias("asked"))
+    # Keys are made non-nullable: an inferred "is not null" on one branch only would keep the
+    # two uses of ``fine`` below from sharing their exchanges.
+    solid = lambda df: df.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("k1", "k2")})
     marks = (
-        begins.unionByName(ends).unionByName(asked)
-        .groupBy("id", "at")
+        solid(begins.unionByName(ends).unionByName(asked))
+        .groupBy("k1", "k2", "at")
         .agg(F.sum("live").alias("live"), F.sum("sound").alias("sound"), F.min("first").alias("first"), F.max("asked").alias("asked"))
-        .withColumn("day", F.to_date("at"))
+        .withColumn("span", F.coalesce(F.floor(F.datediff(F.to_date("at"), F.lit("1970-01-01")) / SPAN_DAYS).cast("int"), F.lit(0)))
     )
-    within = Window.partitionBy("id", "day").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("k1", "k2", "span").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     fine = marks.select(
-        "id", "day", "at", "asked", "first", F.sum("live").over(within).alias("live"), F.sum("sound").over(within).alias("sound"),
+        "k1", "k2", "span", "at", "asked", "first", F.sum("live").over(within).alias("live"), F.sum("sound").over(within).alias("sound"),
     )
-    # The day's totals are those of its last mark.
-    days = fine.groupBy("id", "day").agg(
-        F.max_by("live", "at").alias("live"), F.max_by("sound", "at").alias("sound"), F.min("first").alias("first"),
+    # A span's totals are those of its last mark. All columns of ``fine`` are read here too, so
+    # that both branches share one exchange.
+    spans = fine.groupBy("k1", "k2", "span").agg(
+        F.max_by("live", "at").alias("live"), F.max_by("sound", "at").alias("sound"), F.min("first").alias("first"), F.max("asked").alias("any"),
     )
-    before = Window.partitionBy("id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("id")
-    days = days.select(
-        "id", "day",
+    before = Window.partitionBy("k1", "k2").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("k1", "k2")
+    spans = spans.select(
+        "k1", "k2", "span", "any",
         F.coalesce(F.sum("live").over(before), F.lit(0)).alias("live0"),
         F.coalesce(F.sum("sound").over(before), F.lit(0)).alias("sound0"),
         F.min("first").over(whole).alias("first0"),
-    )
+    ).where("any")
+    first = F.least("first0", "first")  # the same as first0; ``first`` is named so that no branch prunes it
     kind = (
         F.when(F.col("sound") + F.col("sound0") > 0, None)
-        .when(F.col("first0").isNull(), "missing")
+        .when(first.isNull(), "missing")
         .when(F.col("at") == F.lit(_FIRST).cast("timestamp_ntz"), None)
         .when(F.col("live") + F.col("live0") > 0, "unresolved")
-        .when(F.col("first0") > F.col("at"), "late")
+        .when(first > F.col("at"), "late")
         .otherwise("deleted")
     )
-    return fine.where("asked").join(days, ["id", "day"]).select("id", "at", kind.alias("kind")).where(F.col("kind").isNotNull())
+    return fine.where("asked").join(spans, ["k1", "k2", "span"]).select("k1", "k2", "at", kind.alias("kind")).where(F.col("kind").isNotNull())
 
 
 def orphan_references(edges: DataFrame, nodes: DataFrame, externals: DataFrame) -> DataFrame:
@@ -116,7 +131,7 @@ def orphan_references(edges: DataFrame, nodes: DataFrame, externals: DataFrame)
     bad = unsound_instants(refs, parent_versions(nodes, externals))
     salted = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     keyed = refs.withColumn("salt", F.pmod(F.xxhash64("ord"), F.lit(SALTS)).cast("int"))
-    return keyed.join(salted, ["id", "at", "salt"]).select("ord", "endpoint", "kind", "at")
+    return keyed.join(salted, ["k1", "k2", "at", "salt"]).select("ord", "endpoint", "kind", "at")
 
 
 def orphan_report(edges: DataFrame, nodes: DataFrame, externals: DataFrame, ref_table: str = "edges") -> DataFrame:
