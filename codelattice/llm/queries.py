@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codelattice.llm import nonhuman
+from codelattice.llm import docpairs, markup, nonhuman
 from codelattice.session import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of markup in each node's doc."""
+    return markup.clean_docs(table(spark, d, "nodes")).select("ord", F.explode("elements").alias("element"))
+
+
+def p3_text(spark: SparkSession, d: str) -> DataFrame:
+    """Plain text of each node's doc, with headings, lists, code blocks and formulas told apart."""
+    return markup.clean_docs(table(spark, d, "nodes")).select("ord", "text")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Paths of files that are not hand-written."""
     return nonhuman.nonhuman_files(table(spark, d, "source_files"), table(spark, d, "upstream_files")).select("path")
@@ -18,5 +29,15 @@ def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
     return nonhuman.nonhuman_files(table(spark, d, "source_files"), table(spark, d, "upstream_files"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_kinds": p4_kinds}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Functions whose doc tells something beyond their name."""
+    return docpairs.documented_functions(table(spark, d, "nodes"))
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Documented functions with their description and code."""
+    return docpairs.function_pairs(table(spark, d, "nodes"), table(spark, d, "source_files"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_text": p3_text, "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p5_pairs": p5_pairs}
 SQL: dict[str, str] = {}
