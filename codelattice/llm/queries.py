@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.llm import docpairs, markup, nonhuman
+from codelattice.llm import docpairs, leaks, markup, nonhuman
 from codelattice.session import table
 
 
@@ -39,5 +39,10 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.function_pairs(table(spark, d, "nodes"), table(spark, d, "source_files"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_text": p3_text, "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p5_pairs": p5_pairs}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the evaluation items that they give away."""
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_text": p3_text, "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_found": p7_found}
 SQL: dict[str, str] = {}
