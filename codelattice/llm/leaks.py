@@ -114,16 +114,11 @@ class Index:
         if len(w) < LEAST * (1 - SLACK) - 1:
             return []
         streams = [t] if t == w else [t, w]
-        shared = [self.at.keys() & set(_grams(s)) for s in streams]
-        if not any(shared):
-            return []
-        hits = defaultdict(set)
-        for s, keys in zip(streams, shared):
-            if keys:
-                for p, g in enumerate(_grams(s)):
-                    if g in keys:
-                        for i, j in self.at[g]:
-                            hits[i].add((p, j))
+        at, hits = self.at, defaultdict(set)
+        for s in streams:
+            for p, g in [x for x in enumerate(_grams(s)) if x[1] in at]:
+                for i, j in at[g]:
+                    hits[i].add((p, j))
         return sorted(i for i, h in hits.items() if self._may(w, t, i, h) and _longest(w, t, self.words[i], self.types[i], h) >= LEAST)
 
     def _may(self, w, t, i, hits) -> bool:
