@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.llm import docpairs, leaks, markup, nonhuman
+from codelattice.llm import docpairs, leaks, markup, mixing, nonhuman, reading
 from codelattice.session import table
 
 
@@ -44,5 +44,34 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_text": p3_text, "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_found": p7_found}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that fall short of their share."""
+    return mixing.short_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen documents and how often each is used."""
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached per source."""
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """English documents whose prose is demanding."""
+    return reading.demanding_documents(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The reading level of each document."""
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+QUERIES = {
+    "p3_found": p3_found, "p3_text": p3_text, "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p5_pairs": p5_pairs,
+    "p7_found": p7_found, "p8_found": p8_found, "p8_rows": p8_rows, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels,
+}
+#: None of these can be said in SQL: they parse, tokenize, align or fit. tests/llm holds their brute-force and round-trip tests.
 SQL: dict[str, str] = {}
