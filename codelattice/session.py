@@ -25,9 +25,16 @@ def cut(df: DataFrame) -> DataFrame:
 
     The files are replicated/shared storage, so the loss of an executor costs at most the
     running tasks; they are never kept in executor memory only.
+
+    A checkpoint keeps the size that was estimated for it. In a loop of joins these estimates
+    multiply, to numbers so long that planning takes minutes, so the rows are taken over
+    without them.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)
+    rows = kept._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
 
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
