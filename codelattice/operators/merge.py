@@ -5,7 +5,7 @@ Every merge is one aggregation with a map-side combine, not a sort of all rows o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.functions.text import extension_of, folder_of, last_name
@@ -28,18 +28,19 @@ def merge_nodes(rows: DataFrame, mode: str = "reference") -> DataFrame:
     ``mode`` "prefer_definition" lets no placeholder or external row overwrite a definition.
     A row of lower ``rank`` (1 if the column is missing) never overwrites one of higher.
     """
+    if mode not in ("reference", "prefer_definition"):
+        raise ValueError(f"unknown mode: {mode}")
     if "rank" not in rows.columns:
         rows = rows.withColumn("rank", F.lit(1))
     solid = F.coalesce(F.col("type") != "file", F.lit(False))
-    order: list[Column] = [F.col("rank"), solid]
-    if mode == "prefer_definition":
-        order.append(~F.coalesce(F.col("placeholder"), F.lit(False)) & ~F.coalesce(F.col("external"), F.lit(False)))
-    elif mode != "reference":
-        raise ValueError(f"unknown mode: {mode}")
-    order.append(F.when(solid, F.col("ord")).otherwise(-F.col("ord")))
+    real = ~F.coalesce(F.col("placeholder"), F.lit(False)) & ~F.coalesce(F.col("external"), F.lit(False)) if mode == "prefer_definition" else F.lit(True)
     rest = [c for c in rows.columns if c not in ("id", "ord", "rank")]
-    best = F.max_by(F.struct(*rest), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("_n")
-    return rows.groupBy("id").agg(best, F.min("ord").alias("ord")).select("id", "ord", "_n.*")
+    row = F.struct(F.col("rank").alias("_rank"), *rest)
+    last = F.max_by(row, F.when(solid, F.struct("rank", real.alias("real"), "ord"))).alias("_last")  # rows without an order are passed over
+    first = F.min_by(row, F.struct((-F.col("rank")).alias("rank"), F.col("ord"))).alias("_first")
+    out = rows.groupBy("id").agg(last, first, F.min("ord").alias("ord"))
+    use = F.when(F.col("_last").isNull() | (F.col("_last._rank") < F.col("_first._rank")), F.col("_first")).otherwise(F.col("_last"))
+    return out.select("id", "ord", use.alias("_n")).select("id", "ord", *[f"_n.{c}" for c in rest])
 
 
 def keep_sound_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -79,10 +80,10 @@ def ghost_winners(nodes: DataFrame) -> DataFrame:
     defs = defs.select("name", folder_of(F.col("file")).alias("d"), extension_of(F.col("file")).alias("x"), "ord", "id")
     defs = defs.groupBy("name", "d", "x").agg(F.min(F.struct("ord", "id")).alias("_c"))
     score = F.when(F.col("d") == F.col("gd"), 10).otherwise(0) + F.when(F.col("x") == F.col("gx"), 5).otherwise(0)
-    best = F.max(F.struct(score.alias("score"), (-F.col("_c.ord")).alias("o"), F.col("_c.id").alias("winner"))).alias("_b")
+    best = F.min(F.struct((-score).alias("worse"), F.col("_c.ord"), F.col("_c.id").alias("winner"))).alias("_b")
     won = asked.join(defs, "name").groupBy("name", "gd", "gx").agg(best)
     same = [ghosts["name"] == won["name"], ghosts["gd"].eqNullSafe(won["gd"]), ghosts["gx"].eqNullSafe(won["gx"])]
-    return ghosts.join(won, same[0] & same[1] & same[2]).select("ghost", "_b.winner", "_b.score")
+    return ghosts.join(won, same[0] & same[1] & same[2]).select("ghost", "_b.winner", (-F.col("_b.worse")).alias("score"))
 
 
 def resolve_ghosts(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
