@@ -20,11 +20,12 @@ def strip_marks(doc: str) -> str:
     head = t.lstrip()
     if head.startswith("/*"):
         t = _CLOSE.sub("", _OPEN.sub("", t, count=1))
-        return _STAR.sub("", t).strip("\n\r")
+        return _STAR.sub("", t).strip("\n\r ")
     if head.startswith("//"):
         lines = t.split("\n")
         if all(x.lstrip().startswith("//") or not x.strip() for x in lines):
             return _LINE.sub("", t).strip("\n\r")
-    if head.startswith(('"""', "'''")):
+    q = head[:3]
+    if q == '"""' and t.rstrip().endswith(q) or q == "'''" and t.rstrip().endswith(q) and "\n" in t:  # short ones may be wiki's bold
         return _CLOSE.sub("", _OPEN.sub("", t, count=1)).strip("\n\r")
     return t
