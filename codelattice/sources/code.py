@@ -24,7 +24,15 @@ from pyspark.sql import functions as F
 from codelattice.session import spread
 
 # Words that look like calls but are none, per language family, and names that are never of interest.
-_KEYWORDS = frozenset("if for while switch catch return function new else do try throw await typeof sizeof match loop unsafe move in as with elif except lambda not and or is del assert print yield super this self def fn func class struct enum trait impl interface type defer go select case range".split())
+_CONTROL = frozenset("if for while switch catch return else do new throw match".split())
+_KEYWORDS = {
+    "ts": _CONTROL | frozenset("function try await typeof in of instanceof void delete yield super import export class extends constructor as case with".split()),
+    "py": _CONTROL | frozenset("elif except lambda not and or is in del assert print yield with await from import def class super raise".split()) - {"catch", "switch", "do", "new", "throw", "match"},
+    "go": _CONTROL | frozenset("func go defer select case range chan map struct interface type".split()) - {"while", "catch", "do", "new", "throw", "match"},
+    "rs": _CONTROL | frozenset("loop unsafe move in as fn let mut ref impl where async await".split()) - {"switch", "catch", "do", "new", "throw"},
+    "java": _CONTROL | frozenset("try super this synchronized assert instanceof case".split()) - {"match"},
+    "cpp": _CONTROL | frozenset("try sizeof typedef using case delete alignas operator".split()) - {"match"},
+}
 _BUILTIN = {
     "ts": frozenset("require parseInt parseFloat isNaN isFinite setTimeout setInterval clearTimeout clearInterval fetch String Number Boolean Array Object Promise Symbol BigInt Error Date Map Set JSON Math console process".split()),
     "py": frozenset("len range str int float bool list dict set tuple open isinstance issubclass getattr setattr hasattr super type sorted reversed enumerate zip map filter min max sum abs any all repr format iter next vars id hash input".split()),
@@ -123,7 +131,7 @@ def symbols(text: str, path: str, lang: str) -> list[Symbol]:
     for kind, pattern in _DEFS[lang]:
         for m in pattern.finditer(clean):
             at = m.start("name")
-            if at not in found and m["name"] not in _KEYWORDS:
+            if at not in found and m["name"] not in _CONTROL:
                 found[at] = (kind, m["name"], m.groupdict().get("owner"), m.start(), m.end())
     ends = _closing(clean) if lang != "py" else {}
     out, stack = [], []  # stack of (end, segment, node id)
@@ -286,12 +294,12 @@ def parse(text: str | None, path: str) -> Fragment:
         by_name.setdefault(s.name, []).append(s)
     order = sorted(syms, key=lambda s: s.start)
     at_start = {s.start for s in syms} | {s.start + len(re.match(r"[^\w]*(?:async\s+)?(?:def|class)\s+", clean[s.start :] or " ")[0]) for s in syms if lang == "py" and re.match(r"[^\w]*(?:async\s+)?(?:def|class)\s+", clean[s.start :])}
-    skip, prefix = _BUILTIN[lang], "" if lang == "ts" else "import::"
+    words, skip, prefix = _KEYWORDS[lang], _BUILTIN[lang], "" if lang == "ts" else "import::"
     open_: list[Symbol] = []
     k = 0
     for m in _CALL.finditer(clean):
         name, obj, at = m["name"], m["obj"], m.start("name")
-        if name in _KEYWORDS or at in at_start or (obj is None and name in skip) or obj in skip:
+        if name in words or at in at_start or (obj is None and name in skip) or obj in skip:
             continue
         while k < len(order) and order[k].start <= at:
             open_.append(order[k])

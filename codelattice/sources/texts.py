@@ -45,7 +45,7 @@ def package_imports(files: DataFrame) -> DataFrame:
     rows = files.where(F.col("path").rlike(r"(^|/)package\.json$")).select("path", maps.alias("m"))
     empty = F.array().cast("array<string>")
     names = F.array_union(F.coalesce(F.map_keys("m.dependencies"), empty), F.coalesce(F.map_keys("m.devDependencies"), empty))
-    return rows.select(F.col("path").alias("src"), F.concat(F.lit("import::"), F.explode(names)).alias("dst"))
+    return rows.select(F.col("path").alias("src"), F.explode(names).alias("n")).select("src", F.concat(F.lit("import::"), "n").alias("dst"))
 
 
 NODE_SCHEMA = "array<struct<id:string,type:string,name:string,file:string,startLine:int,endLine:int,external:boolean,unresolved:boolean,doc:string,message:string,author:string,date:string>>"
