@@ -141,7 +141,9 @@ def judged_versions(nodes: DataFrame) -> DataFrame:
 
     def make():
         def run(ids, ats, ords, kinds, names, files, starts, ends, docs):
-            said = [" ".join(describing_sentences(d, n)) or None if k == "function" and d else None for k, n, d in zip(kinds, names, docs)]
+            # A node without a name is called what its id ends with.
+            called = [n or re.split(r"::|\.|/", i)[-1] for i, n in zip(ids, names)]
+            said = [" ".join(describing_sentences(d, n)) or None if k == "function" and d else None for k, n, d in zip(kinds, called, docs)]
             return ids, ats, ords, names, files, starts, ends, said
 
         return run
