@@ -174,7 +174,7 @@ part AS (SELECT id, regexp_extract(id, '^(/ws/[^:]*)/[^/:]+', 1) AS community FR
 
 
 def _page(cols: str, source: str, page: int, limit: int, order: str = "degree DESC, ord, id") -> str:
-    return f"SELECT rank, {cols} FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS rank FROM ({source})) WHERE rank > {(page - 1) * limit} AND rank <= {page * limit}"
+    return f"SELECT rank, {cols} FROM (SELECT *, (row_number() OVER (ORDER BY {order}))::INT AS rank FROM ({source})) WHERE rank > {(page - 1) * limit} AND rank <= {page * limit}"
 
 
 def _q(select: str, more: str = "done AS (SELECT 1)") -> str:
@@ -265,7 +265,7 @@ SQL = {
     "god_nodes_top10": _q(_page("id, name, type, degree", "SELECT * FROM clean", 1, 10)),
     "god_nodes_page2": _q(_page("id, name, type, degree", "SELECT * FROM clean", 2, 10)),
     "god_nodes_no_ghosts": _q(_page("id, name, type, degree", "SELECT * FROM clean WHERE NOT starts_with(id, 'unresolved::')", 1, 10)),
-    "confidence_breakdown": _q("SELECT confidence, n, n * 100.0 / (SELECT count(*) FROM ge) AS pct FROM (SELECT confidence, count(*) AS n FROM ge GROUP BY 1) WHERE confidence IN ('EXTRACTED', 'INFERRED', 'AMBIGUOUS')"),
+    "confidence_breakdown": _q("SELECT confidence, n, n * 100.0::DOUBLE / (SELECT count(*) FROM ge) AS pct FROM (SELECT confidence, count(*) AS n FROM ge GROUP BY 1) WHERE confidence IN ('EXTRACTED', 'INFERRED', 'AMBIGUOUS')"),
     "node_type_counts": _q("SELECT type, count(*) AS n FROM gn GROUP BY type"),
     "max_degree": _q("SELECT greatest(max(degree), 1) AS max_degree FROM deg"),
     "hub_threshold": _q("SELECT t AS threshold FROM thr"),

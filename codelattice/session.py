@@ -41,7 +41,10 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     """Repartition only if the scan yields fewer splits than the cluster has slots.
 
     Small files are often one split, which would put a costly per-row stage on one core.
-    At scale the scan has many splits and this is the identity, without a shuffle.
+    At scale the scan has many splits and this is the identity, without a shuffle. A plan with
+    exchanges is left alone: its number of partitions is only known once it has run.
     """
+    if df._jdf.queryExecution().executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots * factor) if df.rdd.getNumPartitions() < slots else df
