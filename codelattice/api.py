@@ -26,6 +26,11 @@ class Session:
     def load(cls, spark: SparkSession, path: str) -> Session:
         return cls(texts.load_graph(spark, path))
 
+    def reload(self, path: str) -> None:
+        """Take the graph stored at ``path`` in place of the present one; communities are found anew."""
+        self.graph = texts.load_graph(self.graph.nodes.sparkSession, path)
+        self.__dict__.pop("communities", None)
+
     @cached_property
     def communities(self) -> DataFrame:
         return cut(C.louvain(self.graph))

@@ -13,6 +13,7 @@ from codelattice.operators import lookup as L
 from codelattice.operators import measure as M
 from codelattice.operators import merge as W
 from codelattice.operators import traverse as T
+from codelattice.operators import view as V
 from codelattice.session import cut, table
 
 HOT = "falconstack/core::emit"
@@ -117,8 +118,12 @@ QUERIES = {
     "hubs_top50": _g(M.hubs),
     "knowledge_gaps": _g(lambda g: M.knowledge_gaps(g).select("id", "degree")),
     "view_model": _g(M.view_model),
+    "view_visible": lambda s, d: V.visible(graph(s, d).nodes.select("id", "type"), partition_by_folder(graph(s, d).nodes), ["intent", "function"], ["/ws/ember-grid-107/lib"]).select("id", "type", "community"),
+    "view_suggestions": _g(lambda g: V.suggestions(g, "Merge rust .go", ("intent",))),
+    "view_neighbours": _g(lambda g: V.neighbour_list(g, HOT, "in", g.nodes.where("type <> 'class'"))),
+    "view_legend": lambda s, d: V.legend(partition_by_folder(graph(s, d).nodes)),
     "search_page": _g(lambda g: L.search(g, "Merge")),
-    "search_typed": _g(lambda g: L.search(g, "merge", "class", 1, 15)),
+    "search_typed": _g(lambda g: L.search(g, "queue", "class", 1, 15)),
     "search_page3": _g(lambda g: L.search(g, "merge", None, 3, 10)),
     "resolve_exact": _g(lambda g: L.resolve(g, HOT)),
     "resolve_suffix": _g(lambda g: L.resolve(g, "core::emit")),
@@ -150,7 +155,7 @@ QUERIES = {
     "recent_commits": _commits,
     "range_commits": lambda s, d: H.symbol_commits(graph(s, d).nodes, blame(s, d)),
     "missing_commits": lambda s, d: H.missing_commits(
-        table(s, d, "nodes").where(F.col("id").startswith("commit::")).select(F.split_part("id", F.lit("::"), F.lit(2)).alias("hash")), table(s, d, "git_commits")
+        table(s, d, "nodes").where(F.col("id").startswith("commit::")).select(F.split_part("id", F.lit("::"), F.lit(2)).alias("hash")), table(s, d, "git_commits").where("author is not null")
     ),
     "louvain_partition": _h(lambda g: C.louvain(g)),
 }
@@ -272,8 +277,17 @@ SQL = {
     "hubs_top50": _q("SELECT id, degree FROM nd ORDER BY degree DESC, ord, id LIMIT 50"),
     "knowledge_gaps": _q("SELECT id, degree FROM clean WHERE degree <= 1"),
     "view_model": _q("SELECT id, CASE WHEN rn <= 50 OR n <= 50 THEN coalesce(name, id) ELSE '' END AS label, 10 + 30 * degree / m AS size, type, degree FROM (SELECT *, row_number() OVER (ORDER BY degree DESC, ord, id) AS rn, count(*) OVER () AS n, greatest(max(degree) OVER (), 1) AS m FROM nd)"),
+    "view_visible": _q("SELECT id, type, community FROM gn LEFT JOIN part USING (id) WHERE type NOT IN ('intent', 'function') AND coalesce(community, '') <> '/ws/ember-grid-107/lib'"),
+    "view_suggestions": _q(
+        _page("id, name, type, score", "SELECT id, coalesce(name, id) AS name, type, ord, p + degree * 0.01::DOUBLE AS score FROM pts WHERE p > 0", 1, 10, "score DESC, ord, id"),
+        "pts AS (SELECT id, name, type, ord, degree, ("
+        + " + ".join(f"CASE WHEN n = '{t}' OR i = '{t}' THEN 1000.0::DOUBLE WHEN starts_with(n, '{t}') OR starts_with(i, '{t}') THEN 100.0 WHEN contains(n, '{t}') OR contains(i, '{t}') THEN 1.0 WHEN contains(f, '{t}') THEN 0.5 ELSE 0 END" for t in ("merge", "rust", ".go"))
+        + ") AS p FROM (SELECT *, lower(coalesce(name, id)) AS n, lower(id) AS i, lower(coalesce(file, '')) AS f FROM nd WHERE type <> 'intent'))",
+    ),
+    "view_neighbours": _q(_page("id, relation, degree", f"SELECT nd.id, type, relation, degree, ge.ord AS eord FROM ge JOIN nd ON nd.id = src WHERE dst = '{HOT}' AND type <> 'class'", 1, 5, "CASE WHEN type = 'intent' THEN 0 ELSE 1 END, degree DESC, eord")),
+    "view_legend": _q("SELECT pos, community, n, (pos * 137.5::DOUBLE) % 360 AS hue FROM (SELECT community, n, (row_number() OVER (ORDER BY community) - 1)::INT AS pos FROM (SELECT community, count(*) AS n FROM part GROUP BY 1))"),
     "search_page": _q(_page("id, name, type, file, links", _search("merge"), 1, 20)),
-    "search_typed": _q(_page("id, name, type, file, links", _search("merge", "class"), 1, 15)),
+    "search_typed": _q(_page("id, name, type, file, links", _search("queue", "class"), 1, 15)),
     "search_page3": _q(_page("id, name, type, file, links", _search("merge"), 3, 10)),
     "resolve_exact": _resolve(HOT),
     "resolve_suffix": _resolve("core::emit"),
@@ -320,5 +334,5 @@ SQL = {
     ),
     "recent_commits": _q("SELECT (row_number() OVER (ORDER BY commit_date DESC, ord, id))::INT AS pos, id, author, commit_date, split_part(message, chr(10), 1) AS subject FROM (SELECT * FROM gn WHERE type = 'intent' AND commit_date IS NOT NULL ORDER BY commit_date DESC, ord, id LIMIT 50)"),
     "range_commits": _q("SELECT id, hash, line FROM rc", _BLAME),
-    "missing_commits": "SELECT DISTINCT split_part(id, '::', 2) AS hash FROM nodes WHERE starts_with(id, 'commit::') AND split_part(id, '::', 2) NOT IN (SELECT hash FROM git_commits WHERE hash IS NOT NULL)",
+    "missing_commits": "SELECT DISTINCT split_part(id, '::', 2) AS hash FROM nodes WHERE starts_with(id, 'commit::') AND split_part(id, '::', 2) NOT IN (SELECT hash FROM git_commits WHERE hash IS NOT NULL AND author IS NOT NULL)",
 }

@@ -281,10 +281,12 @@ def parse(text: str | None, path: str) -> Fragment:
         node(s.id, s.kind, s.name, path, s.line, s.end_line, False)
         edge(s.parent if s.parent in ids else path, s.id, "defines", "EXTRACTED")
     bound: dict[str, tuple[str, str]] = {}
+    packs: dict[str, str] = {}
     for src, names in imports(text, lang):
         pack = f"import::{_BASE.match(src)[1] if lang == 'ts' and not src.startswith('.') and _BASE.match(src) else src}"
         node(pack, "file", pack[8:], "", 0, None, True)
         edge(path, pack, "imports", "EXTRACTED")
+        packs[src] = pack
         for local, real in names.items():
             bound[local] = (src, real)
     clean = blank(text, lang)
@@ -312,7 +314,10 @@ def parse(text: str | None, path: str) -> Fragment:
         local = [s for s in by_name.get(name, ()) if s.kind == "function" or obj is None]
         if obj is not None and obj not in ("this", "self", "super", "cls"):
             if obj in bound:
-                _external(node, edge, who, f"{prefix}{bound[obj][0]}::{name}", name, line)
+                target = f"{prefix}{bound[obj][0]}::{name}"
+                _external(node, edge, who, target, name, line)
+                if lang in ("ts", "py"):
+                    edge(packs[bound[obj][0]], target, "defines", "EXTRACTED")
             elif obj in by_name:
                 own = [s for s in local if s.scope[-1:] == (obj,)] or local
                 if len(own) == 1:
@@ -333,7 +338,10 @@ def parse(text: str | None, path: str) -> Fragment:
         first = [name in bound, bool(local)]
         if (first[0] and not (lang == "py" and first[1])) and obj is None:
             src, real = bound[name]
-            _external(node, edge, who, f"{prefix}{src}::{real if real != '*' else name}", name, line)
+            target = f"{prefix}{src}::{real if real != '*' else name}"
+            _external(node, edge, who, target, name, line)
+            if lang in ("ts", "py"):
+                edge(packs[src], target, "defines", "EXTRACTED")
         elif local:
             scope = caller.scope if caller else ()
             common = lambda s: next((i for i, (a, b) in enumerate(zip(s.scope, scope)) if a != b), min(len(s.scope), len(scope)))
