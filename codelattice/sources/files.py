@@ -201,3 +201,68 @@ def _normal(path: Column) -> Column:
     parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
     step = lambda acc, x: F.when((x == "..") & (F.size(acc) > 0), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
     return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+
+
+def module_candidates(specifier: str, lang: str) -> list[str]:
+    """Path endings, best first, that a module name of a language other than script can stand for; none for what is surely elsewhere."""
+    s = specifier.strip()
+    if lang == "py":
+        p = s.lstrip(".").replace(".", "/")
+        return [f"{p}.py", f"{p}/__init__.py"] if p else []
+    if lang == "java":
+        p = s.removesuffix(".*").replace(".", "/")
+        return [f"{p}.java", f"{p.rpartition('/')[0]}.java"] if "/" in p else [f"{p}.java"]
+    if lang == "rs":
+        parts = [x for x in s.split("::") if x not in ("crate", "self", "super")]
+        heads = ["/".join(parts[:k]) for k in range(len(parts), 0, -1)]
+        return [f"{h}{end}" for h in heads for end in (".rs", "/mod.rs")]
+    return [s] if lang == "cpp" else []
+
+
+def resolve_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """``file, specifier, resolved`` for imports ``(file, specifier, lang)`` of Python, Java, Rust and C++ files.
+
+    A module stands for a scanned file whose path ends with one of its candidate endings; the
+    first ending that any file has wins, then the file that shares most leading folders with the
+    importing one, then the least path. Endings meet the files' own endings in an equi-join, so
+    no import is compared with every file. Go packages name folders: the least file of the
+    folder whose path ends with the package's last two parts stands for it.
+    """
+    from pyspark.sql.types import ArrayType, StringType
+
+    distinct = imports.where("specifier is not null").select("specifier", "lang").distinct()
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def candidates(spec, lang):  # once per distinct module
+        import pandas as pd
+
+        return pd.Series([module_candidates(s, k) for s, k in zip(spec, lang)])
+
+    keys = distinct.where("lang <> 'go'").withColumn("c", candidates("specifier", "lang")).select("specifier", "lang", F.posexplode("c").alias("k", "ending"))
+    go = distinct.where("lang = 'go'").withColumn("p", F.split("specifier", "/"))
+    go = go.select("specifier", "lang", F.lit(0).alias("k"), F.array_join(F.slice("p", F.greatest(F.size("p") - 1, F.lit(1)), 2), "/").alias("ending"))
+    parts = F.split("path", "/")
+    tails = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "/")))
+    whole = files.select("path", tails.alias("ending"))
+    folder = F.split(F.regexp_replace("path", "/[^/]*$", ""), "/")
+    goes = files.where(F.col("path").endswith(".go")).select("path", F.explode(F.array_distinct(F.array(F.element_at(folder, -1), F.array_join(F.slice(folder, F.greatest(F.size(folder) - 1, F.lit(1)), 2), "/")))).alias("ending"))
+    hits = keys.join(whole, "ending").unionByName(go.join(goes, "ending"))
+    hits = imports.select("file", "specifier", "lang").distinct().join(hits, ["specifier", "lang"]).where("path <> file")
+    a, b = F.split("file", "/"), F.split("path", "/")
+    common = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.least(F.size(a), F.size(b))), lambda n: F.slice(a, 1, n) == F.slice(b, 1, n)), lambda x: x))
+    return hits.groupBy("file", "specifier").agg(F.min_by("path", F.struct("k", (-common).alias("c"), "path")).alias("resolved"))
+
+
+def link_imports(edges: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Edges ``(path, source, target, ...)`` of parsed files with the module part of each target replaced by the file it resolves to.
+
+    ``import::<module>`` becomes the file, ``<module>::name`` (with or without ``import::``) the symbol in it; others stay.
+    """
+    bare = F.regexp_replace("target", "^import::", "")
+    cut = F.when(F.col("type") == "imports", F.lit(0)).otherwise(F.length(bare) - F.length(F.element_at(F.split(bare, "::"), -1)) - 2)
+    module = F.when(cut > 0, F.substring(bare, F.lit(1), cut)).otherwise(bare)
+    name = F.when(cut > 0, F.concat(F.lit("::"), F.element_at(F.split(bare, "::"), -1))).otherwise(F.lit(""))
+    rows = edges.withColumns({"_m": module, "_n": name})
+    r = resolved.select(F.col("file").alias("path"), F.col("specifier").alias("_m"), "resolved")
+    out = rows.join(r, ["path", "_m"], "left").withColumn("target", F.coalesce(F.concat("resolved", "_n"), "target"))
+    return out.select(*edges.columns).where("source <> target")

@@ -158,3 +158,36 @@ def test_api(session):
     assert "EXTRACTED" in session.stats() and session.report().startswith("# Graph report")
     name = session.communities.groupBy("community").count().orderBy("count", ascending=False).first()["community"]
     assert session.community(name).count() > 0 and session.surprises().count() >= 0
+
+
+def test_modules(spark):
+    paths = ["/w/p/a.py", "/w/p/util/b.py", "/w/p/pkg/__init__.py", "/v/util/b.py", "/w/j/x/Foo.java", "/w/r/src/net/mod.rs", "/w/r/src/net/io.rs", "/w/c/inc/h.hpp", "/w/g/core/z.go", "/w/g/core/a.go"]
+    f = spark.createDataFrame([(p,) for p in paths], "path string")
+    want = {
+        ("/w/p/a.py", "util.b", "py"): "/w/p/util/b.py", ("/w/p/a.py", ".pkg", "py"): "/w/p/pkg/__init__.py", ("/v/q.py", "util.b", "py"): "/v/util/b.py", ("/w/j/Z.java", "x.Foo", "java"): "/w/j/x/Foo.java",
+        ("/w/r/src/m.rs", "crate::net::io::Read", "rs"): "/w/r/src/net/io.rs", ("/w/r/src/m.rs", "crate::net", "rs"): "/w/r/src/net/mod.rs", ("/w/c/m.cpp", "inc/h.hpp", "cpp"): "/w/c/inc/h.hpp", ("/w/g/m.go", "ex.org/g/core", "go"): "/w/g/core/a.go",
+        ("/w/p/a.py", "os", "py"): None, ("/w/c/m.cpp", "vector", "cpp"): None,
+    }
+    imp = spark.createDataFrame(list(want), "file string, specifier string, lang string")
+    got = {(r["file"], r["specifier"]): r["resolved"] for r in files.resolve_modules(imp, f).collect()}
+    assert got == {k[:2]: v for k, v in want.items() if v}
+    e = spark.createDataFrame(
+        [("/w/p/a.py", "/w/p/a.py", "import::util.b", "imports"), ("/w/p/a.py", "/w/p/a.py::f", "import::util.b::go", "calls"), ("/w/p/a.py", "/w/p/a.py::f", "import::os::walk", "calls"), ("/w/p/a.py", "/w/p/a.py::f", "unresolved::x", "calls")],
+        "path string, source string, target string, type string",
+    )
+    linked = {r["target"] for r in files.link_imports(e, files.resolve_modules(imp, f)).collect()}
+    assert linked == {"/w/p/util/b.py", "/w/p/util/b.py::go", "import::os::walk", "unresolved::x"}
+
+
+def test_views(spark):
+    from codelattice.model import Graph
+    from codelattice.operators import view as V
+
+    n = spark.createDataFrame([("a", 0, "class", "Ab", "/x/ab.ts"), ("b", 1, "intent", None, None), ("c", 2, None, "zab", "")], "id string, ord long, type string, name string, file string")
+    e = spark.createDataFrame([("b", "a", "explains", "X", 0), ("c", "a", "calls", "X", 1), ("c", "a", "imports", "X", 2)], "src string, dst string, relation string, confidence string, ord long")
+    p = spark.createDataFrame([("a", "k")], "id string, community string")
+    g = Graph(n, e)
+    assert {r["id"] for r in V.visible(n, p, ["intent"], []).collect()} == {"a", "c"} and {r["id"] for r in V.visible(n, p, [], ["k"]).collect()} == {"b", "c"}
+    assert [(r["id"], r["score"]) for r in V.suggestions(g, "AB").collect()] == [("a", 1000.03), ("c", 1.02)]
+    assert [(r["id"], r["relation"]) for r in V.neighbour_list(g, "a", "in", n).collect()] == [("b", "explains"), ("c", "calls"), ("c", "imports")]
+    assert [tuple(r) for r in V.legend(p).collect()] == [(0, "k", 1, 0.0)]
