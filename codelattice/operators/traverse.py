@@ -17,7 +17,7 @@ from codelattice.functions.text import terms_of
 from codelattice.model import Graph
 from codelattice.operators.lookup import resolve_id
 from codelattice.operators.measure import hub_threshold, with_degree
-from codelattice.session import cut
+from codelattice.session import cut, ship
 
 DFS_EDGES = 2_000_000  # the depth-first crawl refuses a larger neighbourhood
 
@@ -154,4 +154,5 @@ def dfs_levels(g: Graph, seeds: DataFrame, depth: int = 3) -> DataFrame:
         seen = dfs_order(start, near, set(), depth)  # closed nodes have no edges here
         return pd.DataFrame({"id": list(seen), "depth": list(seen.values())}).astype({"depth": "int32"})
 
+    ship(g.nodes.sparkSession)
     return inside.withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(run, "id string, depth int")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,23 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that Python stages find it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_codelattice_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="codelattice-package-"), "codelattice.zip")  # copied to the executors by Spark
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("codelattice", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._codelattice_shipped = True
+
+
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     """Repartition only if the scan yields fewer splits than the cluster has slots.
 

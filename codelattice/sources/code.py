@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.session import spread
+from codelattice.session import ship, spread
 
 # Words that look like calls but are none, per language family, and names that are never of interest.
 _CONTROL = frozenset("if for while switch catch return else do new throw match".split())
@@ -387,6 +387,7 @@ def fragments(files: DataFrame) -> DataFrame:
             edges = pa.array([[dict(zip(keys[1], r)) for r in f.edges] for f in done], pa.list_(_EDGE))
             yield pa.RecordBatch.from_arrays([b.column("path"), nodes, edges], ["path", "nodes", "edges"])
 
+    ship(files.sparkSession)
     return spread(files.where("path is not null").select("path", "content")).mapInArrow(run, _SQL)
 
 

@@ -9,6 +9,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelattice.session import ship
+
 # The extensions that are scanned and the folders that never are.
 MEDIA = tuple("png jpg jpeg svg gif webp mp4 webm mp3 wav".split())
 EXTENSIONS = tuple("ts js tsx jsx json md py java go rs cpp cc cxx h hpp".split()) + MEDIA
@@ -230,6 +232,7 @@ def resolve_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
     """
     from pyspark.sql.types import ArrayType, StringType
 
+    ship(files.sparkSession)
     distinct = imports.where("specifier is not null").select("specifier", "lang").distinct()
 
     @F.pandas_udf(ArrayType(StringType()))
