@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from codelattice.session import spread
+from codelattice.session import ship, spread
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
@@ -28,4 +28,5 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFr
             cols = f(*[b.column(n).to_pylist() for n in names])
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, out)], schema=out)
 
+    ship(df.sparkSession)
     return spread(df).mapInArrow(run, schema)
