@@ -8,23 +8,27 @@ found by content: word 5-gram containment in the given upstream texts, and minha
 with a file of another repository.
 
 Text never leaves the task that reads it: one pass makes per-file features and a sketch of
-64 minhashes; only these move. Copies are found per band of the sketch with a map-side
-combined min/max of the repository, so a library that a third of all files copy is one row
-per band, not a group of pairs.
+64 minhashes; only these move. Files with the same set of 5-grams are one class, so a
+library that a third of all files copy verbatim is one row. Classes that share a band of the
+sketch are compared, each with each: a band is cut into blocks of bounded size, and the pairs
+of blocks are the tasks.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.llm.batches import map_rows
 from codelattice.model import norm_id
+from codelattice.session import cut, ship
 
 
 @dataclass(frozen=True)
@@ -142,12 +146,20 @@ def sketch(grams: np.ndarray) -> list[int] | None:
     return ((grams[:, None] * _A + _B) >> np.uint64(32)).min(axis=0).astype(np.uint16).astype(np.int16).tolist()
 
 
+def class_of(grams: np.ndarray) -> int:
+    """A 64-bit hash of the set of grams."""
+    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 #: Above this many characters of upstream text, no copy of them is sent to the tasks; the sketch join finds their copies instead.
 UPSTREAM_CHARS = 50_000_000
 
 
 def file_features(files: DataFrame, upstream: DataFrame) -> DataFrame:
-    """``path, rank, kind, repo, sketch`` of each row; ``kind`` null where the file alone shows nothing."""
+    """``path, rank, kind, repo, sketch, cls`` of each row; ``kind`` null where the file alone shows nothing.
+
+    ``cls`` is a hash of the set of 5-grams, null where there is no sketch.
+    """
     spark = files.sparkSession
     size = upstream.agg(F.sum(F.length("content"))).first()[0] or 0
     known = [r[0] for r in upstream.where("content is not null").select("content").collect()] if size <= UPSTREAM_CHARS else []
@@ -157,9 +169,9 @@ def file_features(files: DataFrame, upstream: DataFrame) -> DataFrame:
         given = np.unique(np.concatenate([gram_hashes(_TOKEN.findall(t)) for t in texts.value])) if texts.value else np.empty(0, dtype=np.uint64)
 
         def run(paths, whens, contents):
-            kinds, sketches = [], []
+            kinds, sketches, classes = [], [], []
             for path, text in zip(paths, contents):
-                kind = sk = None
+                kind = sk = cls = None
                 if text and text.strip():
                     head = leading_comments(text)
                     words = _TOKEN.findall(text)
@@ -173,16 +185,18 @@ def file_features(files: DataFrame, upstream: DataFrame) -> DataFrame:
                         elif len(given) and len(grams) >= 20 and np.isin(grams, given, assume_unique=True).sum() >= 0.8 * len(grams):
                             kind = "copied"
                         sk = sketch(grams)
+                        cls = class_of(grams) if sk else None
                 kinds.append(kind)
                 sketches.append(sk)
-            return paths, whens, kinds, [p.split("/")[2] if p.count("/") > 2 else p.split("/")[0] for p in paths], sketches
+                classes.append(cls)
+            return paths, whens, kinds, [p.split("/")[2] if p.count("/") > 2 else p.split("/")[0] for p in paths], sketches, classes
 
         return run
 
     rows = files.where("path is not null").select(
         norm_id("path").alias("path"), F.struct(F.col("mtime_ms"), F.length("content").alias("n")).alias("rank"), "content"
     )
-    return map_rows(rows, make, "path string, rank struct<mtime_ms:double,n:int>, kind string, repo string, sketch array<smallint>")
+    return map_rows(rows, make, "path string, rank struct<mtime_ms:double,n:int>, kind string, repo string, sketch array<smallint>, cls bigint")
 
 
 def nonhuman_files(files: DataFrame, upstream: DataFrame, same: float = 0.8) -> DataFrame:
@@ -191,24 +205,65 @@ def nonhuman_files(files: DataFrame, upstream: DataFrame, same: float = 0.8) ->
     The newest version has the greatest (mtime, length); a null mtime ranks lowest. Rows
     without path are left out; null, empty and blank texts are hand-written by definition.
     """
-    from codelattice.session import cut
-
-    newest = F.max(F.struct("rank", "kind", "repo", "sketch")).alias("_r")
-    f = file_features(files, upstream).groupBy("path").agg(newest).select("path", "_r.kind", "_r.repo", "_r.sketch")
+    newest = F.max(F.struct("rank", "kind", "repo", "sketch", "cls")).alias("_r")
+    f = file_features(files, upstream).groupBy("path").agg(newest).select("path", "_r.kind", "_r.repo", "_r.sketch", "_r.cls")
     f = cut(f)
+    one = F.col("lo") == F.col("hi")
+    classes = f.where("cls is not null").select("cls", F.xxhash64("repo").alias("repo"), "sketch")
+    classes = classes.groupBy("cls").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.first("sketch").alias("sketch"))
+    classes = cut(classes.select("cls", F.when(one, F.col("lo")).alias("repo"), "sketch"))
+    # The same set of grams in two repositories is settled; a class of one repository needs a near one in another.
+    copied = classes.where("repo is null").select("cls").union(near_classes(classes, int(np.ceil(same * N))).select("cls")).distinct()
+    copies = f.where("kind is null").join(copied, "cls", "left_semi")
+    return f.where("kind is not null").select("path", "kind").unionByName(copies.select("path", F.lit("copied").alias("kind")))
+
+
+BLOCK = 4096  # classes on a side of one comparison task
+
+
+def near_classes(classes: DataFrame, least: int, block: int = 0) -> DataFrame:
+    """``cls, other``: for each class its nearest one in another repository, if they share a band and ``least`` minhashes.
+
+    ``classes`` has ``cls, repo, sketch``; a null ``repo`` stands for several. All pairs of a band
+    are compared: its classes are dealt into blocks, each pair of blocks is one group.
+    """
+    block = block or BLOCK
     width = N // BANDS
     bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("sketch", b * width + 1, width))))
-    whole = f.where("sketch is not null").select(F.xxhash64("path").alias("key"), "path", F.xxhash64("repo").alias("repo"), "sketch")
-    keyed = whole.select("key", "repo", bands.alias("band"))  # short rows: neither paths nor sketches are multiplied
-    shared = keyed.groupBy("band").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi")).where("lo <> hi").select("band")
-    # A band in one repository only proves nothing; the others, few, are compared by whole sketches.
-    # (Should two paths share a key, the comparison settles it.)
-    some = keyed.select("key", "band").join(shared, "band", "left_semi").join(whole, "key")
-    ends = some.groupBy("band").agg(F.min(F.struct("repo", "sketch")).alias("lo"), F.max(F.struct("repo", "sketch")).alias("hi"))
-    other = F.when(F.col("repo") == F.col("lo.repo"), F.col("hi.sketch")).otherwise(F.col("lo.sketch"))
-    agree = F.aggregate(F.zip_with("sketch", other, lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + x)
-    copies = some.join(ends, "band").where((F.col("lo.repo") != F.col("hi.repo")) & (agree >= same * N)).select("path").distinct()
-    return (
-        f.where("kind is not null").select("path", "kind")
-        .unionByName(f.where("kind is null").join(copies, "path", "left_semi").select("path", F.lit("copied").alias("kind")))
-    )
+    keyed = classes.select("cls", "repo", bands.alias("band"))  # short rows: sketches are not multiplied
+    size = keyed.groupBy("band").agg(F.count("*").alias("n"), F.count("repo").alias("single"), F.min("repo").alias("lo"), F.max("repo").alias("hi"))
+    # A band in one repository only proves nothing, and neither does one without open classes.
+    size = size.where("single > 0 and (lo <> hi or single < n)").select("band", F.ceil(F.col("n") / block).alias("parts"))
+    some = keyed.join(size, "band").select("band", "cls", "parts", F.pmod("cls", "parts").alias("at"))
+    some = some.select("band", "cls", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("mate"))
+    rows = some.select("band", F.least("at", "mate").alias("x"), F.greatest("at", "mate").alias("y"), "at", "cls").join(classes, "cls")
+
+    def compare(t: pa.Table) -> pa.Table:
+        cls, at = t.column("cls").to_numpy(), t.column("at").to_numpy()
+        repo, many = t.column("repo").fill_null(0).to_numpy(), t.column("repo").is_null().to_numpy()
+        s = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, N)
+        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
+        a, b = np.flatnonzero(at == x), np.flatnonzero(at == y)
+        out = [_nearest(s, repo, many, u, v, least) for u, v in ([(a, b)] if x == y else [(a, b), (b, a)])]
+        i, j, n = (np.concatenate(c) for c in zip(*out))
+        return pa.table({"cls": cls[i], "other": cls[j], "agree": n.astype(np.int32)})
+
+    ship(classes.sparkSession)
+    found = rows.groupBy("band", "x", "y").applyInArrow(compare, "cls bigint, other bigint, agree int")
+    return found.groupBy("cls").agg(F.max(F.struct("agree", "other")).alias("_m")).select("cls", "_m.other")
+
+
+def _nearest(s, repo, many, a, b, least) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``a``, the rows of ``b`` of other repositories that agree most with them, and how much, from ``least`` on."""
+    out = []
+    for k in range(0, len(a), 256):
+        u = a[k : k + 256]
+        agree = np.zeros((len(u), len(b)), dtype=np.uint8)
+        for c in range(N):
+            agree += s[u, c][:, None] == s[b, c]
+        agree[(repo[u][:, None] == repo[b]) & ~(many[u][:, None] | many[b]) | (u[:, None] == b)] = 0
+        if len(b):
+            at = agree.argmax(axis=1)
+            n = agree[np.arange(len(u)), at]
+            out.append((u[n >= least], b[at[n >= least]], n[n >= least]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, dtype=int),) * 3

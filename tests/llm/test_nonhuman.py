@@ -78,3 +78,36 @@ def test_sketches_tell_texts_apart():
             true = len(grams[i] & grams[j]) / len(grams[i] | grams[j])
             assert abs(agree[i, j] - true) < 0.25, (agree[i, j], true)
     assert sketch(gram_hashes(["a"] * 3)) is None
+
+
+def grown(text, seed, n):
+    """``text`` with ``n`` lines exchanged."""
+    r, lines = random.Random(seed), text.split("\n")
+    for k in r.sample(range(3, len(lines)), n):
+        lines[k] = f"    {r.choice(VERBS)}.{r.choice(NOUNS)}{seed}({r.randint(0, 10**6)});"
+    return "\n".join(lines)
+
+
+def test_near_copies_behind_a_less_similar_file_are_compared(spark):
+    # Each family shares bands with files of the first and the last repository that are similar, but not to 0.8.
+    files, want = [], set()
+    for k in range(12):
+        base = hand(200, 300 + k)
+        x, y = f"/ws/m1/x{k}.ts", f"/ws/m2/y{k}.ts"
+        files += [(x, base), (y, grown(base, 1, 1)), *((f"/ws/{r}/f{k}{j}.ts", grown(base, 10 + 40 * n + j, 28)) for n, r in enumerate(("a", "zz", "q")) for j in range(12))]
+        want |= {x, y}
+    assert set(run(spark, files)) == want
+
+
+def test_blocks_of_a_band_compare_every_pair(spark):
+    from codelattice.llm import nonhuman as M
+
+    base = hand(300, 700)
+    texts = [grown(base, 900 + k, 6 if k % 3 else 60) for k in range(60)]
+    rows = []
+    for k, t in enumerate(texts):
+        g = M.gram_hashes(M._TOKEN.findall(t))
+        rows.append((M.class_of(g), k % 7 or None, M.sketch(g)))
+    classes = spark.createDataFrame(rows, "cls long, repo long, sketch array<smallint>")
+    whole = {r["cls"] for r in M.near_classes(classes, 40).collect()}
+    assert len(whole) > 30 and {r["cls"] for r in M.near_classes(classes, 40, block=7).collect()} == whole
