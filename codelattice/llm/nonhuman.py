@@ -4,14 +4,14 @@ Layout statistics of the whole file, with thresholds per language, tell minified
 data tables (line lengths, share of white space and alphanumerics, density of numeric
 literals, long encoded runs) and tool output that repeats one form line after line. Leading
 comments tell files that carry a tool's or another project's mark. Copies without a mark are
-found by content: word 5-gram containment in the given upstream texts, and minhash agreement
-with a file of another repository.
+found by content: word 5-gram containment in the given upstream texts, and Jaccard similarity
+of the 5-gram sets with a file of another repository. Minhashes only propose the pairs.
 
 Text never leaves the task that reads it: one pass makes per-file features and a sketch of
 64 minhashes; only these move. Files with the same set of 5-grams are one class, so a
 library that a third of all files copy verbatim is one row. Classes that share a band of the
 sketch are compared, each with each: a band is cut into blocks of bounded size, and the pairs
-of blocks are the tasks.
+of blocks are the tasks. The few proposed classes are read once more for their exact gram sets.
 """
 
 from __future__ import annotations
@@ -213,27 +213,99 @@ def nonhuman_files(files: DataFrame, upstream: DataFrame, same: float = 0.8) ->
     classes = classes.groupBy("cls").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.first("sketch").alias("sketch"))
     classes = cut(classes.select("cls", F.when(one, F.col("lo")).alias("repo"), "sketch"))
     # The same set of grams in two repositories is settled; a class of one repository needs a near one in another.
-    copied = classes.where("repo is null").select("cls").union(near_classes(classes, int(np.ceil(same * N))).select("cls")).distinct()
+    copied = classes.where("repo is null").select("cls").unionByName(near_copies(files, f, classes, same)).distinct()
     copies = f.where("kind is null").join(copied, "cls", "left_semi")
     return f.where("kind is not null").select("path", "kind").unionByName(copies.select("path", F.lit("copied").alias("kind")))
 
 
+PROPOSE = 40  # equal minhashes of a proposed pair: 3.5 standard errors below the 51 that are expected at similarity 0.8
+MASK_BITS = 1 << 26  # of the filter of paths that are read again
+
+
+def near_copies(files: DataFrame, f: DataFrame, classes: DataFrame, same: float) -> DataFrame:
+    """``cls`` of the classes of one repository with an exact similarity of ``same`` to a class of another one.
+
+    The nearest proposed class is tried first. Only for classes that it does not settle, all proposed ones are.
+    """
+    first = cut(near_classes(classes, PROPOSE))
+    named = f.join(first.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.min("path").alias("path"))
+    grams = cut(class_grams(files, named))
+    one = classes.where("repo is not null").select("cls")
+    done = cut(exactly_near(first.select("cls", "other").join(one, "cls", "left_semi"), grams, same))
+    left = first.join(one, "cls", "left_semi").join(done, "cls", "left_anti").select("cls", F.lit(True).alias("open"))
+    rest = classes.join(first.select("cls"), "cls", "left_semi").join(left, "cls", "left")
+    return done.unionByName(exactly_near(near_classes(rest, PROPOSE, every=True), grams, same)).distinct()
+
+
+def class_grams(files: DataFrame, named: DataFrame) -> DataFrame:
+    """``cls, grams`` (sorted 64-bit hashes) of the classes of ``named`` (``cls, path``), from a second reading of the files.
+
+    A bit mask of fixed size keeps other paths from being tokenized; what passes it by chance is dropped by the join.
+    """
+    bit = F.pmod(F.xxhash64("path"), F.lit(MASK_BITS))
+    bits = named.select(bit.alias("b")).select(F.shiftright("b", 6).alias("w"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("v"))
+    got = bits.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()  # at most MASK_BITS / 64 rows
+    mask = np.zeros(MASK_BITS // 64, dtype=np.int64)
+    mask[got.column("w").to_numpy()] = got.column("v").to_numpy()
+    sent = files.sparkSession.sparkContext.broadcast(mask)
+
+    def make():
+        m = sent.value
+
+        def run(bits, texts):
+            classes, out = [], []
+            for b, t in zip(bits, texts):
+                if m[b >> 6] >> (b & 63) & 1:
+                    grams = gram_hashes(_TOKEN.findall(t))
+                    classes.append(class_of(grams))
+                    out.append(grams.tobytes())
+            return classes, out
+
+        return run
+
+    rows = files.where("path is not null and content is not null").select(norm_id("path").alias("path"), "content").select(bit.alias("bit"), "content")
+    read = map_rows(rows, make, "cls bigint, grams binary").join(named.select("cls"), "cls", "left_semi")
+    return read.groupBy("cls").agg(F.first("grams").alias("grams"))
+
+
+def exactly_near(pairs: DataFrame, grams: DataFrame, same: float) -> DataFrame:
+    """``cls`` of the pairs ``cls, other`` whose gram sets have a Jaccard similarity of at least ``same``."""
+
+    def make():
+        def run(classes, mine, theirs):
+            out = []
+            for c, a, b in zip(classes, mine, theirs):
+                a, b = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if both >= same * (len(a) + len(b) - both):
+                    out.append(c)
+            return (out,)
+
+        return run
+
+    rows = pairs.join(grams.withColumnRenamed("grams", "mine"), "cls")
+    rows = rows.join(grams.select(F.col("cls").alias("other"), F.col("grams").alias("theirs")), "other").select("cls", "mine", "theirs")
+    return map_rows(rows, make, "cls bigint").distinct()
+
+
 BLOCK = 4096  # classes on a side of one comparison task
 
 
-def near_classes(classes: DataFrame, least: int, block: int = 0) -> DataFrame:
+def near_classes(classes: DataFrame, least: int, block: int = 0, every: bool = False) -> DataFrame:
     """``cls, other``: for each class its nearest one in another repository, if they share a band and ``least`` minhashes.
 
     ``classes`` has ``cls, repo, sketch``; a null ``repo`` stands for several. All pairs of a band
-    are compared: its classes are dealt into blocks, each pair of blocks is one group.
+    are compared: its classes are dealt into blocks, each pair of blocks is one group. With
+    ``every``, each such pair is given, for the classes whose column ``open`` is true.
     """
     block = block or BLOCK
     width = N // BANDS
     bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("sketch", b * width + 1, width))))
-    keyed = classes.select("cls", "repo", bands.alias("band"))  # short rows: sketches are not multiplied
-    size = keyed.groupBy("band").agg(F.count("*").alias("n"), F.count("repo").alias("single"), F.min("repo").alias("lo"), F.max("repo").alias("hi"))
+    wanted = F.col("open") if every else F.lit(True)
+    keyed = classes.select("cls", "repo", wanted.alias("wanted"), bands.alias("band"))  # short rows: sketches are not multiplied
+    size = keyed.groupBy("band").agg(F.count("*").alias("n"), F.count("repo").alias("single"), F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.max("wanted").alias("wanted"))
     # A band in one repository only proves nothing, and neither does one without open classes.
-    size = size.where("single > 0 and (lo <> hi or single < n)").select("band", F.ceil(F.col("n") / block).alias("parts"))
+    size = size.where("wanted and single > 0 and (lo <> hi or single < n)").select("band", F.ceil(F.col("n") / block).alias("parts"))
     some = keyed.join(size, "band").select("band", "cls", "parts", F.pmod("cls", "parts").alias("at"))
     some = some.select("band", "cls", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("mate"))
     rows = some.select("band", F.least("at", "mate").alias("x"), F.greatest("at", "mate").alias("y"), "at", "cls").join(classes, "cls")
@@ -244,17 +316,23 @@ def near_classes(classes: DataFrame, least: int, block: int = 0) -> DataFrame:
         s = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, N)
         x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
         a, b = np.flatnonzero(at == x), np.flatnonzero(at == y)
-        out = [_nearest(s, repo, many, u, v, least) for u, v in ([(a, b)] if x == y else [(a, b), (b, a)])]
+        sides = [(a, b)] if x == y else [(a, b), (b, a)]
+        if every:
+            asked = t.column("open").fill_null(False).to_numpy()
+            sides = [(u[asked[u]], v) for u, v in sides]
+        out = [_nearest(s, repo, many, u, v, least, every) for u, v in sides]
         i, j, n = (np.concatenate(c) for c in zip(*out))
         return pa.table({"cls": cls[i], "other": cls[j], "agree": n.astype(np.int32)})
 
     ship(classes.sparkSession)
     found = rows.groupBy("band", "x", "y").applyInArrow(compare, "cls bigint, other bigint, agree int")
+    if every:
+        return found.select("cls", "other").distinct()
     return found.groupBy("cls").agg(F.max(F.struct("agree", "other")).alias("_m")).select("cls", "_m.other")
 
 
-def _nearest(s, repo, many, a, b, least) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of ``a``, the rows of ``b`` of other repositories that agree most with them, and how much, from ``least`` on."""
+def _nearest(s, repo, many, a, b, least, every=False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``a``, the rows of ``b`` of other repositories that agree most with them (or all), and how much, from ``least`` on."""
     out = []
     for k in range(0, len(a), 256):
         u = a[k : k + 256]
@@ -262,7 +340,10 @@ def _nearest(s, repo, many, a, b, least) -> tuple[np.ndarray, np.ndarray, np.nda
         for c in range(N):
             agree += s[u, c][:, None] == s[b, c]
         agree[(repo[u][:, None] == repo[b]) & ~(many[u][:, None] | many[b]) | (u[:, None] == b)] = 0
-        if len(b):
+        if every:
+            i, j = np.nonzero(agree >= least)
+            out.append((u[i], b[j], agree[i, j]))
+        elif len(b):
             at = agree.argmax(axis=1)
             n = agree[np.arange(len(u)), at]
             out.append((u[n >= least], b[at[n >= least]], n[n >= least]))

@@ -111,3 +111,26 @@ def test_blocks_of_a_band_compare_every_pair(spark):
     classes = spark.createDataFrame(rows, "cls long, repo long, sketch array<smallint>")
     whole = {r["cls"] for r in M.near_classes(classes, 40).collect()}
     assert len(whole) > 30 and {r["cls"] for r in M.near_classes(classes, 40, block=7).collect()} == whole
+
+
+def test_similarity_is_settled_by_the_exact_grams(spark):
+    from codelattice.llm import nonhuman as M
+
+    def grams(t):
+        return set(M.gram_hashes(M._TOKEN.findall(t)).tolist())
+
+    files, want, lost, let_in = [], set(), 0, 0
+    for k in range(60):
+        a = hand(150, 2000 + k)
+        b = grown(a, 1, 7 + k % 7)
+        x, y = grams(a), grams(b)
+        true = len(x & y) / len(x | y)
+        s = [M.sketch(M.gram_hashes(M._TOKEN.findall(t))) for t in (a, b)]
+        agree = sum(u == v for u, v in zip(*s))
+        lost += true >= 0.8 and agree < 52
+        let_in += true < 0.8 and agree >= 52
+        files += [(f"/ws/r{k}/a.ts", a), (f"/ws/s{k}/b.ts", b)]
+        if true >= 0.8:
+            want |= {f"/ws/r{k}/a.ts", f"/ws/s{k}/b.ts"}
+    assert lost and let_in  # the sketches alone are wrong both ways
+    assert set(run(spark, files)) == want
