@@ -151,27 +151,50 @@ def class_of(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-#: Above this many characters of upstream text, no copy of them is sent to the tasks; the sketch join finds their copies instead.
-UPSTREAM_CHARS = 50_000_000
+UPSTREAM_GRAMS = 8_000_000  # of upstream texts in one block
+
+
+def upstream_grams(upstream: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct grams of the upstream texts as ``gram, block``, and the number of blocks, each of about UPSTREAM_GRAMS."""
+
+    def make():
+        return lambda texts: ([g for t in texts for g in gram_hashes(_TOKEN.findall(t)).view(np.int64).tolist()],)
+
+    grams = cut(map_rows(upstream.where("content is not null").select("content"), make, "gram bigint").distinct())
+    blocks = max(1, -(-grams.count() // UPSTREAM_GRAMS))
+    return grams.select("gram", F.pmod("gram", F.lit(blocks)).alias("block")), blocks
+
+
+def _known(given: np.ndarray, grams: np.ndarray) -> int:
+    """How many of ``grams`` are in the sorted array ``given``."""
+    if not len(given):
+        return 0
+    return int((given[np.minimum(np.searchsorted(given, grams), len(given) - 1)] == grams).sum())
+
+
+def _sent(grams: DataFrame, block: int):
+    """The sorted grams of a block, at most about UPSTREAM_GRAMS, as a broadcast."""
+    got = grams.where(F.col("block") == block).select("gram").toArrow().column("gram").to_numpy()
+    return grams.sparkSession.sparkContext.broadcast(np.sort(got.view(np.uint64)))
 
 
 def file_features(files: DataFrame, upstream: DataFrame) -> DataFrame:
-    """``path, rank, kind, repo, sketch, cls`` of each row; ``kind`` null where the file alone shows nothing.
+    """``path, kind, repo, sketch, cls`` of the newest version of each path; ``kind`` null where it and the upstream texts show nothing.
 
-    ``cls`` is a hash of the set of 5-grams, null where there is no sketch.
+    ``cls`` is a hash of the set of 5-grams, null where there is no sketch. Upstream grams are
+    taken in blocks of bounded size; one block is met while the features are made, the others
+    by reading the files again.
     """
-    spark = files.sparkSession
-    size = upstream.agg(F.sum(F.length("content"))).first()[0] or 0
-    known = [r[0] for r in upstream.where("content is not null").select("content").collect()] if size <= UPSTREAM_CHARS else []
-    texts = spark.sparkContext.broadcast(known)  # at most UPSTREAM_CHARS characters
+    given, blocks = upstream_grams(upstream)
+    sent = _sent(given, 0)
 
     def make():
-        given = np.unique(np.concatenate([gram_hashes(_TOKEN.findall(t)) for t in texts.value])) if texts.value else np.empty(0, dtype=np.uint64)
+        known = sent.value
 
         def run(paths, whens, contents):
-            kinds, sketches, classes = [], [], []
+            kinds, sketches, classes, sizes, seen = [], [], [], [], []
             for path, text in zip(paths, contents):
-                kind = sk = cls = None
+                kind = sk = cls = size = hits = None
                 if text and text.strip():
                     head = leading_comments(text)
                     words = _TOKEN.findall(text)
@@ -182,21 +205,30 @@ def file_features(files: DataFrame, upstream: DataFrame) -> DataFrame:
                         grams = gram_hashes(words)
                         if _COPY_MARK.search(head) or COPY_FOLDERS & set(path.split("/")[:-1]):
                             kind = "copied"
-                        elif len(given) and len(grams) >= 20 and np.isin(grams, given, assume_unique=True).sum() >= 0.8 * len(grams):
-                            kind = "copied"
                         sk = sketch(grams)
-                        cls = class_of(grams) if sk else None
+                        if sk:
+                            cls, size, hits = class_of(grams), len(grams), _known(known, grams)
                 kinds.append(kind)
                 sketches.append(sk)
                 classes.append(cls)
-            return paths, whens, kinds, [p.split("/")[2] if p.count("/") > 2 else p.split("/")[0] for p in paths], sketches, classes
+                sizes.append(size)
+                seen.append(hits)
+            return paths, whens, kinds, [p.split("/")[2] if p.count("/") > 2 else p.split("/")[0] for p in paths], sketches, classes, sizes, seen
 
         return run
 
     rows = files.where("path is not null").select(
         norm_id("path").alias("path"), F.struct(F.col("mtime_ms"), F.length("content").alias("n")).alias("rank"), "content"
     )
-    return map_rows(rows, make, "path string, rank struct<mtime_ms:double,n:int>, kind string, repo string, sketch array<smallint>, cls bigint")
+    schema = "path string, rank struct<mtime_ms:double,n:int>, kind string, repo string, sketch array<smallint>, cls bigint, size int, hits int"
+    newest = F.max(F.struct("rank", "kind", "repo", "sketch", "cls", "size", "hits")).alias("_r")
+    f = cut(map_rows(rows, make, schema).groupBy("path").agg(newest).select("path", "_r.kind", "_r.repo", "_r.sketch", "_r.cls", "_r.size", "_r.hits"))
+    for k in range(1, blocks):  # blocks are disjoint, so their hits add up
+        open_ = f.where("cls is not null and kind is null").groupBy("cls").agg(F.min("path").alias("path"))
+        more = class_hits(files, open_, _sent(given, k)).withColumnRenamed("hits", "more")
+        f = cut(f.join(more, "cls", "left").withColumn("hits", F.col("hits") + F.coalesce("more", F.lit(0))).drop("more"))
+    copy = F.col("kind").isNull() & (F.col("hits") >= 0.8 * F.col("size"))
+    return f.select("path", F.when(copy, "copied").otherwise(F.col("kind")).alias("kind"), "repo", "sketch", "cls")
 
 
 def nonhuman_files(files: DataFrame, upstream: DataFrame, same: float = 0.8) -> DataFrame:
@@ -205,9 +237,7 @@ def nonhuman_files(files: DataFrame, upstream: DataFrame, same: float = 0.8) ->
     The newest version has the greatest (mtime, length); a null mtime ranks lowest. Rows
     without path are left out; null, empty and blank texts are hand-written by definition.
     """
-    newest = F.max(F.struct("rank", "kind", "repo", "sketch", "cls")).alias("_r")
-    f = file_features(files, upstream).groupBy("path").agg(newest).select("path", "_r.kind", "_r.repo", "_r.sketch", "_r.cls")
-    f = cut(f)
+    f = file_features(files, upstream)
     one = F.col("lo") == F.col("hi")
     classes = f.where("cls is not null").select("cls", F.xxhash64("repo").alias("repo"), "sketch")
     classes = classes.groupBy("cls").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.first("sketch").alias("sketch"))
@@ -238,7 +268,18 @@ def near_copies(files: DataFrame, f: DataFrame, classes: DataFrame, same: float)
 
 
 def class_grams(files: DataFrame, named: DataFrame) -> DataFrame:
-    """``cls, grams`` (sorted 64-bit hashes) of the classes of ``named`` (``cls, path``), from a second reading of the files.
+    """``cls, grams`` (sorted 64-bit hashes) of the classes of ``named`` (``cls, path``)."""
+    read = _read_again(files, named, lambda grams: grams.tobytes(), "grams binary")
+    return read.groupBy("cls").agg(F.first("grams").alias("grams"))
+
+
+def class_hits(files: DataFrame, named: DataFrame, sent) -> DataFrame:
+    """``cls, hits``: how many grams of the classes of ``named`` are in the block that was sent."""
+    return _read_again(files, named, lambda grams: _known(sent.value, grams), "hits int").groupBy("cls").agg(F.first("hits").alias("hits"))
+
+
+def _read_again(files: DataFrame, named: DataFrame, tell, column: str) -> DataFrame:
+    """``cls`` and what ``tell`` says of its grams, of the classes of ``named`` (``cls, path``), from another reading of the files.
 
     A bit mask of fixed size keeps other paths from being tokenized; what passes it by chance is dropped by the join.
     """
@@ -247,10 +288,10 @@ def class_grams(files: DataFrame, named: DataFrame) -> DataFrame:
     got = bits.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()  # at most MASK_BITS / 64 rows
     mask = np.zeros(MASK_BITS // 64, dtype=np.int64)
     mask[got.column("w").to_numpy()] = got.column("v").to_numpy()
-    sent = files.sparkSession.sparkContext.broadcast(mask)
+    masks = files.sparkSession.sparkContext.broadcast(mask)
 
     def make():
-        m = sent.value
+        m = masks.value
 
         def run(bits, texts):
             classes, out = [], []
@@ -258,14 +299,13 @@ def class_grams(files: DataFrame, named: DataFrame) -> DataFrame:
                 if m[b >> 6] >> (b & 63) & 1:
                     grams = gram_hashes(_TOKEN.findall(t))
                     classes.append(class_of(grams))
-                    out.append(grams.tobytes())
+                    out.append(tell(grams))
             return classes, out
 
         return run
 
     rows = files.where("path is not null and content is not null").select(norm_id("path").alias("path"), "content").select(bit.alias("bit"), "content")
-    read = map_rows(rows, make, "cls bigint, grams binary").join(named.select("cls"), "cls", "left_semi")
-    return read.groupBy("cls").agg(F.first("grams").alias("grams"))
+    return map_rows(rows, make, f"cls bigint, {column}").join(named.select("cls"), "cls", "left_semi")
 
 
 def exactly_near(pairs: DataFrame, grams: DataFrame, same: float) -> DataFrame:

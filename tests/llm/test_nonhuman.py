@@ -134,3 +134,15 @@ def test_similarity_is_settled_by_the_exact_grams(spark):
             want |= {f"/ws/r{k}/a.ts", f"/ws/s{k}/b.ts"}
     assert lost and let_in  # the sketches alone are wrong both ways
     assert set(run(spark, files)) == want
+
+
+def test_upstream_copies_at_every_size_of_the_upstream_texts(spark, monkeypatch):
+    from codelattice.llm import nonhuman as M
+
+    known = [hand(80, 50 + k) for k in range(6)]
+    files = [(f"/ws/r1/a{k}.ts", t.replace("const", "let", 2)) for k, t in enumerate(known)] + [("/ws/r1/own.ts", hand(80, 60))]
+    want = {f"/ws/r1/a{k}.ts" for k in range(6)}
+    monkeypatch.setattr(M, "UPSTREAM_CHARS", 1_000, raising=False)  # the limit that once was
+    monkeypatch.setattr(M, "UPSTREAM_GRAMS", 700, raising=False)
+    assert set(run(spark, files, known)) == want
+    assert set(run(spark, [*files, ("/ws/r1/null.ts", None)], [*known, None])) == want and run(spark, files) == {}
