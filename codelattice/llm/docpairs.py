@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -166,36 +167,270 @@ def documented_functions(nodes: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Grammar:
-    """What to look for in a language: where a signature starts and how its body is bounded."""
+    """What to look for in a language: where a signature may start, how it goes on after its name, and how its body is bounded."""
 
-    signature: re.Pattern
+    signature: re.Pattern  # up to the name, what follows is scanned
     comment: re.Pattern  # one line of documentation or annotation above a signature
+    scan: Callable | None = None
     indented: bool = False  # body by indentation, documentation inside it
 
 
+class Brackets:
+    """A text whose round, square and curly brackets are matched, strings and comments left out; a stray one ends with the block around it."""
+
+    def __init__(self, text: str, quotes: bool):
+        self.text, self.ends, self.skips = text, {}, {}
+        stack: list[int] = []
+        open_ = [{"(": 0, "[": 0, "{": 0}]  # brackets of each kind that are open in each block
+        for m in (_SCRIPT_TOKEN if quotes else _TOKEN).finditer(text):
+            c = m[0]
+            if len(c) > 1:
+                self.skips[m.start()] = m.end()
+            elif c in "([{":
+                stack.append(m.start())
+                open_[-1][c] += 1
+                if c == "{":
+                    open_.append({"(": 0, "[": 0, "{": 0})
+            elif c == "}" and len(open_) > 1 or c != "}" and open_[-1][_OPEN[c]]:
+                if c == "}":
+                    open_.pop()
+                while text[k := stack.pop()] != _OPEN[c]:
+                    if c != "}":
+                        open_[-1][text[k]] -= 1
+                open_[-1][_OPEN[c]] -= 1
+                self.ends[k] = m.end()
+        self.order = list(self.skips)
+
+    def blank(self, at: int) -> int:
+        """The next place that is neither white space nor comment."""
+        while at < len(self.text):
+            if self.text[at].isspace():
+                at += 1
+            elif self.text[at] == "/" and at in self.skips:
+                at = self.skips[at]
+            else:
+                break
+        return at
+
+    def at(self, at: int, what: str) -> bool:
+        return self.text.startswith(what, at)
+
+    def generics(self, at: int) -> int:
+        """The end of the type parameters that begin at ``at``, or ``at`` if there are none; -1 if they stay open."""
+        if not self.at(at, "<"):
+            return at
+        depth = 0
+        for place, c in self.tokens(at):
+            depth += (c == "<") - (c == ">")
+            if depth == 0:
+                return place + 1
+            if c in (";", ")", "]", "}"):
+                return -1
+        return -1
+
+    def tokens(self, at: int):
+        """Places and marks from ``at`` on; what stands in brackets is passed over as one mark, the opening one."""
+        while m := _MARK.search(self.text, at):
+            place, c = m.start(), m[0]
+            if place in self.skips:
+                at = self.skips[place]
+                continue
+            at = self.ends.get(place, m.end())
+            yield place, c
+
+    def parameters(self, at: int) -> int:
+        """The end of optional type parameters and the parameters from ``at``; -1 if there are none."""
+        at = self.generics(self.blank(at))
+        at = self.blank(at) if at >= 0 else at
+        return self.ends.get(at, -1) if at >= 0 and self.at(at, "(") else -1
+
+    def before(self, place: int) -> str:
+        """The last character before ``place`` that is no white space."""
+        while place > 0 and self.text[place - 1].isspace():
+            place -= 1
+        return self.text[place - 1 : place]
+
+    def line_end(self, at: int) -> int:
+        k = self.text.find("\n", at)
+        return len(self.text) if k < 0 else k
+
+
+# Each scan takes the match of the signature and gives (place of the body's brace, None), (None, end of a function without braces), or None.
+def _scan_ts(b: Brackets, m: re.Match):
+    at = m.end()
+    if m["arrow"]:
+        return _scan_arrow(b, at)
+    at = b.parameters(at)
+    if at < 0:
+        return None
+    at = b.blank(at)
+    if b.at(at, "{"):
+        return at, None
+    if b.at(at, ":"):
+        for place, c in b.tokens(at + 1):
+            if c == "{" and b.before(place) not in ":|&<,>":
+                return place, None
+            if c == "{" and b.before(place) == ">" and not b.text[:place].rstrip().endswith("=>"):
+                return place, None
+            if c in (";", ")", "]", "}", "="):
+                at = place
+                break
+    return (None, at) if m["name"] else None  # an overload or declared function has no body
+
+
+def _scan_arrow(b: Brackets, at: int):
+    if b.at(b.blank(at), ":"):
+        for place, c in b.tokens(at):
+            if c == "=":
+                at = place
+                break
+            if c in (";", ")", "]", "}"):
+                return None
+    at = b.blank(at)
+    if not b.at(at, "=") or b.text[at : at + 2] in ("==", "=>"):
+        return None
+    at = b.blank(at + 1)
+    if m := re.compile(r"async\b(?!\s*=>)\s*").match(b.text, at):
+        at = m.end()
+    if m := re.compile(r"[A-Za-z_$][\w$]*\s*(?==>)").match(b.text, at):
+        at = m.end()
+    else:
+        at = b.parameters(at)
+        if at < 0:
+            return None
+        at = b.blank(at)
+        if b.at(at, ":"):
+            for place, c in b.tokens(at):
+                if c == "=>":
+                    at = place
+                    break
+                if c in (";", ")", "]", "}", "="):
+                    return None
+    if not b.at(at, "=>"):
+        return None
+    at = b.blank(at + 2)
+    if b.at(at, "{"):
+        return at, None
+    # an expression: up to a semicolon, a closing bracket or a line end after which it does not go on
+    for place, c in b.tokens(at):
+        if c in (";", ")", "]", "}"):
+            return None, place
+        if c == "\n" and place > at and b.before(place) not in "=>+-*/&|?:,.<([{" and not re.compile(r"\s*[.?:+\-*/&|=<>,)\]]").match(b.text, place):
+            return None, place
+    return None, len(b.text)
+
+
+def _scan_go(b: Brackets, m: re.Match):
+    at = b.blank(m.end())
+    at = b.ends.get(at, -1) if b.at(at, "[") else at
+    at = b.parameters(at) if at >= 0 else -1
+    if at < 0:
+        return None
+    for place, c in b.tokens(at):
+        if c == "{" and not re.search(r"\b(?:interface|struct)\s*\Z", b.text[max(0, place - 40) : place]):
+            return place, None
+        if c == "\n":
+            return None, place
+    return None, len(b.text)
+
+
+def _scan_rs(b: Brackets, m: re.Match):
+    at = b.parameters(m.end())
+    if at < 0:
+        return None
+    for place, c in b.tokens(at):
+        if c == "{":
+            return place, None
+        if c in (";", "}"):
+            return None, place + (c == ";")
+    return None
+
+
+def _head(text: str, at: int) -> str:
+    """What stands before ``at`` in its line, and in those above while brackets reach there, without arguments in brackets."""
+    start = text.rfind("\n", 0, at) + 1
+    head = text[start:at].replace("->", "")
+    while start > 0 and (head.count("<") < head.count(">") or head.count("(") < head.count(")")):
+        start = text.rfind("\n", 0, start - 1) + 1
+        head = text[start:at].replace("->", "")
+        if ";" in head or "{" in head and "@" not in head:
+            break
+    old = None
+    while old != head:
+        old, head = head, re.sub(r"<[^<>]*>|\([^()]*\)|\[\[[^\[\]]*\]\]", " ", head)
+    return head
+
+
+_NOT_TYPES = frozenset("return new else throw if for while switch catch case do using goto delete assert yield co_return co_await co_yield typedef".split())
+_JAVA_HEAD = re.compile(r"\s*(?:@[\w.]+\s+|(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s+)*(?:[\w$.?]+(?:\s*\.\s*[\w$.]+)*(?:\s*\[\s*\]|\s*\.\.\.)*\s+)?")
+_CPP_HEAD = re.compile(r"\s*(?:[\w:*&~,]+[\s*&]+)*(?:\w+\s*::\s*)*~?")
+
+
+def _scan_java(b: Brackets, m: re.Match):
+    head = _head(b.text, m.start("name"))
+    if not _JAVA_HEAD.fullmatch(head) or _NOT_TYPES & set(head.split()) or not head.strip() and not _declared(b.text, m["name"]):
+        return None
+    at = b.parameters(m.end())
+    at = b.blank(at) if at >= 0 else at
+    for place, c in b.tokens(at) if at >= 0 else ():
+        between = b.text[at:place].strip()
+        if c == "{":
+            return (place, None) if not between or re.match(r"throws\b|\[|@", between) else None
+        if c in (";", "}", ")", "=", "=>", "->"):
+            return None
+    return None
+
+
+def _declared(text: str, name: str) -> bool:
+    return re.search(rf"\b(?:class|struct|enum|record)\b[^;{{}}()]*?\b{re.escape(name)}\b", text) is not None
+
+
+def _scan_cpp(b: Brackets, m: re.Match):
+    name = m["name"]
+    head = re.sub(r"^\s*(?:public|private|protected)\s*:(?!:)", "", _head(b.text, m.start("name")))
+    if re.search(r"(?<!:):(?!:)", head) or not _CPP_HEAD.fullmatch(head) or _NOT_TYPES & set(head.split()):
+        return None
+    if not re.sub(r"[\s~]", "", head) and not _declared(b.text, name):
+        return None  # a call or a macro
+    at = b.parameters(m.end())
+    listed = False
+    for place, c in b.tokens(at) if at >= 0 else ():
+        if c == ":" and not listed:
+            listed = b.text[place - 1] != ":" and b.text[place + 1 : place + 2] != ":"
+        if c == "{":
+            last = b.before(place)
+            if listed and (last.isalnum() or last in "_>"):
+                continue  # a member's initial value
+            return (place, None) if listed or re.fullmatch(r"(?s)\s*(?:const|volatile|noexcept|override|final|try|requires|mutable|throw|->|&|\[\[|//|/\*|$).*", b.text[at:place]) else None
+        if c in (";", "}", ")") or c == "=" and not listed:
+            return None
+    return None
+
+
 _C_COMMENT = re.compile(r"^[ \t]*(?://|/\*|\*|@\w|#\[)")
+_OPEN = {")": "(", "]": "[", "}": "{"}
+_STRINGS = r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`"
+_TOKEN = re.compile(_STRINGS + r"|'(?:\\.|[^'\\\n])'|[()\[\]{}]", re.S)
+_SCRIPT_TOKEN = re.compile(_STRINGS + r"|'(?:\\.|[^'\\\n])*'|[()\[\]{}]", re.S)
+_MARK = re.compile(r"//|/\*|[\"`']|->|=>|[()\[\]{}<>;:=\n]")
 _NAME = r"(?P<name>[A-Za-z_$][\w$]*)"
+_CALLED = re.compile(rf"(?<![\w$.]){_NAME}(?=[ \t]*\()(?<!\bif)(?<!\bfor)(?<!\bwhile)(?<!\bswitch)(?<!\bcatch)(?<!\breturn)(?<!\bsynchronized)(?<!\bsizeof)(?<!\bnew)(?<!\bthrow)")
 GRAMMARS = {
-    "py": Grammar(re.compile(rf"^(?P<in>[ \t]*)(?:async[ \t]+)?def[ \t]+{_NAME}[ \t]*\(", re.M), re.compile(r"^[ \t]*[#@]"), indented=True),
+    "py": Grammar(re.compile(rf"^(?P<in>[ \t]*)(?:async[ \t]+)?def[ \t]+{_NAME}[ \t]*[(\[]", re.M), re.compile(r"^[ \t]*[#@]"), indented=True),
     "ts": Grammar(
         re.compile(
-            rf"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?function[ \t]*\*?[ \t]*{_NAME}[ \t]*(?:<[^>(]*>)?\("
-            rf"|^[ \t]*(?:(?:public|private|protected|static|async|override|readonly|get|set)[ \t]+)*(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b|new\b|else\b)(?P<method>[A-Za-z_$][\w$]*)[ \t]*(?:<[^>(]*>)?\([^()\n]*\)[ \t]*(?::[^{{=;\n]+)?\{{"
-            r"|^[ \t]*(?:export[ \t]+)?(?:const|let|var)[ \t]+(?P<arrow>[A-Za-z_$][\w$]*)[ \t]*(?::[^=\n]+)?=[ \t]*(?:async[ \t]*)?\([^()\n]*\)[^=\n]*=>[ \t]*\{",
+            rf"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:async[ \t]+)?function[ \t]*\*?[ \t]*{_NAME}(?=[ \t]*[<(])"
+            r"|^[ \t]*(?:(?:public|private|protected|static|async|override|readonly|get|set)[ \t]+)*(?!(?:if|for|while|switch|catch|return|function|new|else)\b)(?P<method>[A-Za-z_$][\w$]*)(?=[ \t]*[<(])"
+            r"|^[ \t]*(?:export[ \t]+)?(?:const|let|var)[ \t]+(?P<arrow>[A-Za-z_$][\w$]*)(?=[ \t]*[:=])",
             re.M,
         ),
         _C_COMMENT,
+        _scan_ts,
     ),
-    "go": Grammar(re.compile(rf"^func[ \t]+(?:\([^)\n]*\)[ \t]*)?{_NAME}[ \t]*(?:\[[^\]\n]*\])?\(", re.M), _C_COMMENT),
-    "rs": Grammar(re.compile(rf"^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?(?:(?:async|const|unsafe|extern(?:[ \t]+\"[^\"]*\")?)[ \t]+)*fn[ \t]+{_NAME}[ \t]*(?:<[^>(]*>)?\(", re.M), _C_COMMENT),
-    "java": Grammar(
-        re.compile(rf"^[ \t]*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)[ \t]+)*(?:<[^>]*>[ \t]+)?(?!return\b|new\b|else\b|throw\b)[\w$.<>\[\],?]+[ \t]+(?!if\b|for\b|while\b|switch\b|catch\b){_NAME}[ \t]*\([^;{{}}]*\)[ \t]*(?:throws[^{{;]+)?\{{", re.M),
-        _C_COMMENT,
-    ),
-    "cpp": Grammar(
-        re.compile(rf"^[ \t]*(?:(?:static|inline|virtual|explicit|constexpr|template[ \t]*<[^>]*>)[ \t]+)*(?!return\b|else\b|new\b|throw\b|using\b)[\w:<>,*&~]+(?:[ \t]+[\w:<>,*&]+)*[ \t*&]+(?:\w+::)*(?!if\b|for\b|while\b|switch\b|catch\b){_NAME}[ \t]*\([^;{{}}]*\)[ \t]*(?:const|noexcept|override|final|[ \t])*\{{", re.M),
-        _C_COMMENT,
-    ),
+    "go": Grammar(re.compile(rf"^func[ \t]+(?:\([^)\n]*\)[ \t]*)?{_NAME}(?=[ \t]*[\[(])", re.M), _C_COMMENT, _scan_go),
+    "rs": Grammar(re.compile(rf"^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?(?:(?:async|const|unsafe|default|extern(?:[ \t]+\"[^\"]*\")?)[ \t]+)*fn[ \t]+{_NAME}(?=[ \t]*[<(])", re.M), _C_COMMENT, _scan_rs),
+    "java": Grammar(_CALLED, _C_COMMENT, _scan_java),
+    "cpp": Grammar(_CALLED, _C_COMMENT, _scan_cpp),
 }
 GRAMMARS |= {"tsx": GRAMMARS["ts"], "js": GRAMMARS["ts"], "jsx": GRAMMARS["ts"], "cc": GRAMMARS["cpp"], "h": GRAMMARS["cpp"], "hpp": GRAMMARS["cpp"]}
 _SKIP = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`|'(?:\\.|[^'\\\n])'|[{}]", re.S)
@@ -214,6 +449,12 @@ def _balanced_end(text: str, at: int) -> int:
     return len(text)
 
 
+def _within(b: Brackets, at: int) -> bool:
+    """Whether a string or comment reaches over ``at``."""
+    k = bisect_right(b.order, at) - 1
+    return k >= 0 and at < b.skips[b.order[k]]
+
+
 def parse_functions(text: str | None, ext: str) -> list[tuple[str, int, int, str, str, str]]:
     """``name, start_line, end_line, doc, signature, code`` of each function island of a file.
 
@@ -225,9 +466,15 @@ def parse_functions(text: str | None, ext: str) -> list[tuple[str, int, int, str
         return []
     starts = [0] + [m.end() for m in re.finditer("\n", text)]
     lines, out = text.split("\n"), []
+    brackets = None if g.indented else Brackets(text, g.scan is _scan_ts)
     for m in g.signature.finditer(text):
+        if brackets and _within(brackets, m.end() - 1):
+            continue
+        body = g.scan(brackets, m) if brackets else None
+        if brackets and body is None:
+            continue
         name = next(v for k, v in m.groupdict().items() if k != "in" and v)
-        row = bisect_right(starts, m.start() + len(m[0]) - len(m[0].lstrip())) - 1
+        row = bisect_right(starts, m.start() + len(m[0]) - len(m[0].lstrip())) - 1  # for Java and C++ the line of the name
         top = row
         while top > 0 and g.comment.match(lines[top - 1]):
             top -= 1
@@ -243,7 +490,7 @@ def parse_functions(text: str | None, ext: str) -> list[tuple[str, int, int, str
             doc, last = (inside[2] if inside else doc), end
             code = "\n".join(lines[row:end])
         else:
-            stop = _balanced_end(text, m.end() - 1 if m[0].endswith("{") else m.end())
+            stop = _balanced_end(text, body[0]) if body[1] is None else body[1]
             last = bisect_right(starts, max(stop - 1, 0))
             code = text[starts[row] : stop]
         out.append((name, row + 1, last, doc.strip(), lines[row].strip(), code))

@@ -61,3 +61,29 @@ def test_current_row_and_pairs(spark):
     files = spark.createDataFrame([("/a.ts", 2.0, src, "n"), ("/a.ts", 1.0, "function g() {\n}", "n"), ("/b.ts", None, None, "n")], "path string, mtime_ms double, content string, name string")
     assert [(r["id"], r["signature"]) for r in function_pairs(nodes, files).collect()] == [("/a.ts::g", "function g(a) {")]
     assert documented_functions(nodes.limit(0)).count() == 0 and function_pairs(nodes, files.limit(0)).count() == 0
+
+
+FORMS = [
+    ("rs", "fn f<T: Into<String>>(x: T) {\n    g();\n}"), ("rs", "pub fn f<F: Fn(u8) -> bool>(x: F) -> Vec<[u8; 4]>\nwhere\n    F: Copy,\n{\n}"),
+    ("java", "public Map<String, Integer> f(int a) {\n}"), ("java", "static <T extends Comparable<T>> T f(T a) {\n}"), ("java", '@Override @A(names = {"x", "y"}) public int f(@B(1) int a) throws E {\n}'),
+    ("java", "public Map<String, List<Integer>> f(\n    Map<String, Integer> a,\n    int b\n) {\n}"),
+    ("ts", "const f = (cb: () => void) => {\n};"), ("ts", "export const f = async (\n  a: number,\n  b = g(1),\n): Promise<void> => {\n};"), ("ts", "const f = (a) => a + 1;"), ("ts", "const f = a =>\n  g(a)\n    .h();"),
+    ("ts", "const f: (a: X) => void = (a) => {\n};"), ("ts", "  f(cb: () => void): { a: number } {\n  }"), ("ts", "function f<T extends Map<string, X>>(a: T): void {\n}"),
+    ("cpp", "Foo::f(int a) : a_(a), b_{1} {\n}"), ("cpp", "std::map<std::string, int> f(const std::vector<int>& a) const {\n}"), ("go", "func f[K comparable, V []int](a map[K]V) (int, error) {\n}"), ("go", "func f(a func(int) int) interface{} {\n}"),
+]
+
+
+@pytest.mark.parametrize("ext,form", FORMS)
+def test_signatures_of_every_form(ext, form):
+    text = "\n// Doc.\n" + form + "\n\n"
+    got = [x for x in parse_functions(text, ext) if x[0] == "f"]
+    assert [(n, a, d) for n, a, _, d, _, _ in got] == [("f", 3, "// Doc.")]
+    assert got[0][5].rstrip("\n; ") == form.rstrip("; ")
+
+
+def test_constructors_and_calls():
+    cpp = "struct Foo {\n  Foo(int a) : a_(a), b_{a} {\n    run(a);\n  }\n  explicit Foo(X<int> a) noexcept : a_(a.x()) { if (a) { } }\n};\n"
+    assert [x[:3] for x in parse_functions(cpp, "cpp")] == [("Foo", 2, 4), ("Foo", 5, 5)]
+    java = "class A {\n  A(int a) {\n    if (a) { run(() -> { }); }\n    new B() { };\n    return new C(a) { };\n  }\n}\n"
+    assert [x[:3] for x in parse_functions(java, "java")] == [("A", 2, 6)]
+    assert [x[0] for x in parse_functions("run(a, () => {\n  g();\n});\nif (a) {\n}\nconst x = 5;\nconst y = [1].map((a) => a);\n", "ts")] == []
