@@ -31,7 +31,7 @@ from codelattice.llm.batches import map_rows
 WINDOW = 5  # words of a shared window: 18 words with two changes hold an unchanged run of at least six
 LEAST = 18  # words of the item that have to be repeated
 SLACK = 0.12  # share of changed, dropped and added words that a repeated passage may have
-GAP = 8  # words between two aligned runs of one passage at most
+GAP = LEAST  # words between two aligned runs of one passage at most, and beyond the outermost ones: changes may leave that many without a window
 BLOCK_WORDS = 400_000  # words of items in one block
 
 _TAG = re.compile(r"</?(?:a|b|i|u|s|p|q|em|br|hr|li|ol|ul|dl|dt|dd|td|th|tr|h[1-6]|pre|sub|sup|div|tt|kbd|del|ins|code|span|font|mark|small|strong|table|tbody|thead|blockquote|details|summary|section|article|img|abbr|cite|samp|var|center)\b[^<>]{0,300}>", re.I)
@@ -187,10 +187,16 @@ def _longest(w, t, iw, it, hits) -> int:
 
 
 def _passage(w, t, iw, it, chain) -> int:
+    """The best of a near and a far reach: far words that match by chance can spoil the alignment of the ends."""
+    near = _aligned(w, t, iw, it, chain, LEAST // 2)
+    return near if near >= LEAST else max(near, _aligned(w, t, iw, it, chain, GAP))
+
+
+def _aligned(w, t, iw, it, chain, reach) -> int:
     j0, p0 = chain[0][0], chain[0][0] + chain[0][2]
     j1, p1 = chain[-1][1], chain[-1][1] + chain[-1][2]
-    a, b = max(0, j0 - GAP), min(len(iw), j1 + GAP)
-    steps = _align(iw[a:b], it[a:b], w[max(0, p0 - GAP - 2) : p1 + GAP + 2], t[max(0, p0 - GAP - 2) : p1 + GAP + 2])
+    a, b = max(0, j0 - reach), min(len(iw), j1 + reach)
+    steps = _align(iw[a:b], it[a:b], w[max(0, p0 - reach - 2) : p1 + reach + 2], t[max(0, p0 - reach - 2) : p1 + reach + 2])
     return _best_stretch(steps)
 
 

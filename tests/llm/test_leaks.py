@@ -80,3 +80,12 @@ def test_blocks_do_not_change_the_result(spark, monkeypatch):
     want = sorted(map(tuple, L.leaked_items(docs, items).collect()))
     monkeypatch.setattr(L, "BLOCK_WORDS", 90)
     assert len(L.item_blocks(items)) >= 3 and sorted(map(tuple, L.leaked_items(docs, items).collect())) == want and len(want) == 6
+
+
+def test_every_placement_of_two_changes_in_a_shortest_passage():
+    for n in (18,):
+        for x in range(1, n - 1):
+            for y in range(x + 1, n - 1):
+                w = part(n).split()
+                w[x], w[y] = "changed", "altered"
+                assert leaks(around(" ".join(w))) == [1], (n, x, y)
