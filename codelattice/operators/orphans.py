@@ -1,14 +1,16 @@
 """References to records that do not exist, as of the time of the reference.
 
-Parents are versions with a life span. The distinct non-null (key, time) pairs of the
-references are tested against the instants at which a sound parent lives, by a sweep over
-time per key, which is the as-of form of a left anti-join: no reference row meets more than
-one row of the other side, however many versions a key has. The offending pairs are joined
-back to the references.
-
-Skew: distinct pairs and the parents' begin/end marks are combined map-side; the running
-sums work per (key, span of days) with the spans' sums added from a second, smaller window,
-so no key's whole history is sorted in one task; the join back is salted.
+Parents are versions with a life span. The references are reduced to their distinct non-null
+(key, time) pairs, counted per end on the way; a left anti-join of these against the sound
+life spans of the same key leaves the offending pairs. Only these are told apart further, by a
+semi-join against all life spans and the first begin of their key, and joined back to the
+references. The report needs no join back: the pairs bring their counts.
+
+Skew: pairs are combined map-side, so a key with a single instant is one row; the anti-join
+shards keys by their measured number of instants, the join back by their number of rows. A key
+with more than VERSIONS versions is not tested against each of them: a sweep over time says at
+which instants it lives, in cells of a range partitioning, so no key's whole history is in one
+task, and the anti-join is on equal instants.
 
 Keys travel as two independent 64-bit hashes, not as text: paths are long, and shuffling
 them would cost several times the input. Two different ids of a billion share both hashes
@@ -20,16 +22,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelattice.functions.mask import mask_of, may_hold
 from codelattice.model import norm_id
+from codelattice.operators.skew import heavy_shards, sharded_join
+from codelattice.session import cut
 
 ENDPOINTS = ("source", "target")
-SALTS = 8
-SPAN_DAYS = 7
+VERSIONS = 256  # of a key that an instant is tested against one by one; above that its history is swept
+CELL = 1_000_000  # marks of histories in one cell of a sweep
+_KEY = ["k1", "k2"]
 _FIRST, _LAST = "0001-01-01 00:00:00", "9999-12-31 00:00:00"
 
 
+def _instant(text: str) -> Column:
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def _time(c: str, default: str) -> Column:
-    return F.coalesce(F.col(c).cast("timestamp_ntz"), F.lit(default).cast("timestamp_ntz"))
+    return F.coalesce(F.col(c).cast("timestamp_ntz"), _instant(default))
 
 
 def _key(c: str) -> list[Column]:
@@ -39,20 +49,13 @@ def _key(c: str) -> list[Column]:
 
 
 def parent_versions(nodes: DataFrame, externals: DataFrame) -> DataFrame:
-    """``k1, k2, begun, ended, ghost`` of all rows that an end may name."""
-    n = nodes.select(
-        *_key("id"),
-        F.col("scanned_at").alias("begun"),
-        F.col("removed_at").alias("ended"),
-        F.coalesce(F.col("unresolved"), F.lit(False)).alias("ghost"),
-    )
-    x = externals.select(
-        *_key("id"),
-        F.col("added_at").alias("begun"),
-        F.col("withdrawn_at").alias("ended"),
-        F.lit(False).alias("ghost"),
-    )
-    return n.unionByName(x)
+    """``k1, k2, begun, ended, real`` of the distinct versions that an end may name.
+
+    A version without begin begins after every reference; one that ends before it begins never lives.
+    """
+    n = nodes.where("id is not null").select(*_key("id"), _time("scanned_at", _LAST).alias("begun"), _time("removed_at", _LAST).alias("ended"), (~F.coalesce("unresolved", F.lit(False))).alias("real"))
+    x = externals.where("id is not null").select(*_key("id"), _time("added_at", _LAST).alias("begun"), _time("withdrawn_at", _LAST).alias("ended"), F.lit(True).alias("real"))
+    return n.unionByName(x).distinct()
 
 
 def references(edges: DataFrame, key: str = "ord", time: str = "scanned_at") -> DataFrame:
@@ -65,60 +68,71 @@ def references(edges: DataFrame, key: str = "ord", time: str = "scanned_at") ->
     )
 
 
-def unsound_instants(refs: DataFrame, parents: DataFrame) -> DataFrame:
-    """``k1, k2, at, kind`` of the distinct (key, at) of ``refs`` without a sound parent.
+def asked_instants(refs: DataFrame) -> DataFrame:
+    """``k1, k2, at`` and the number of references per end, ``source`` and ``target``: the distinct pairs of key and time."""
+    count = [F.sum((F.col("endpoint") == e).cast("long")).alias(e) for e in ENDPOINTS]
+    return refs.groupBy(*_KEY, "at").agg(*count)
+
+
+_TIMELESS = f"at = cast('{_FIRST}' as timestamp_ntz)"
+_LIVES = f"({_TIMELESS} or begun <= at and ended > at)"
+_SOUND = f"({_TIMELESS} or real and begun <= at and ended > at)"
+
+
+def living_instants(asked: DataFrame, versions: DataFrame) -> DataFrame:
+    """``k1, k2, at, sound`` of the instants of ``asked(k1, k2, at)`` at which a version lives; ``sound`` if one is no ghost.
+
+    A sweep: running sums of begins and ends within the cells of a range partitioning of (key,
+    time), to which the sums of the key's earlier cells are added.
+    """
+    n = lambda c: F.lit(c).cast("long")
+    real = F.col("real").cast("long")
+    v = versions.where("ended > begun")
+    begins = v.select(*_KEY, F.col("begun").alias("at"), n(1).alias("live"), real.alias("real"), F.lit(False).alias("asked"))
+    ends = v.select(*_KEY, F.col("ended").alias("at"), n(-1).alias("live"), (-real).alias("real"), F.lit(False).alias("asked"))
+    here = asked.select(*_KEY, "at", n(0).alias("live"), n(0).alias("real"), F.lit(True).alias("asked"))
+    marks = begins.unionByName(ends).unionByName(here).groupBy(*_KEY, "at").agg(F.sum("live").alias("live"), F.sum("real").alias("real"), F.max("asked").alias("asked"))
+    marks = cut(marks)
+    cells = max(int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-marks.count() // CELL))
+    marks = cut(marks.repartitionByRange(cells, *_KEY, "at").withColumn("cell", F.spark_partition_id()))
+    within = Window.partitionBy(*_KEY, "cell").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*_KEY).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # one row a cell
+    sums = marks.groupBy(*_KEY, "cell").agg(F.sum("live").alias("live"), F.sum("real").alias("real"))
+    sums = sums.select(*_KEY, "cell", F.coalesce(F.sum("live").over(before), n(0)).alias("live0"), F.coalesce(F.sum("real").over(before), n(0)).alias("real0"))
+    fine = marks.select(*_KEY, "cell", "at", "asked", F.sum("live").over(within).alias("live"), F.sum("real").over(within).alias("real")).where("asked")
+    out = fine.join(sums, [*_KEY, "cell"]).where("live + live0 > 0")
+    return out.select(*_KEY, "at", (F.col("real") + F.col("real0") > 0).alias("sound"))
+
+
+def unsound_instants(asked: DataFrame, versions: DataFrame) -> DataFrame:
+    """``k1, k2, at, source, target, kind`` of the pairs of ``asked_instants`` without a sound parent.
 
     'missing' no parent row has the id; 'late' nothing lives and all rows begin later;
     'deleted' nothing lives otherwise; 'unresolved' all that live are ghosts.
-    A parent without begin begins after every reference; an end before the begin means the
-    row never lives. A reference without time is tested for 'missing' only.
+    A reference without time is tested for 'missing' only.
     """
-    p = parents.where(F.col("k1").isNotNull()).select(
-        "k1", "k2", _time("begun", _LAST).alias("begun"), F.col("ended").cast("timestamp_ntz").alias("ended"), (~F.col("ghost")).cast("int").alias("real"),
-    )
-    n = lambda c: F.lit(c).cast("int")
-    none = F.lit(None).cast("timestamp_ntz")
-    begins = p.select("k1", "k2", F.col("begun").alias("at"), n(1).alias("live"), F.col("real").alias("sound"), F.col("begun").alias("first"), F.lit(False).alias("asked"))
-    ends = p.where(F.col("ended").isNotNull()).select(
-        "k1", "k2", F.greatest("ended", "begun").alias("at"), n(-1).alias("live"), (-F.col("real")).alias("sound"), none.alias("first"), F.lit(False).alias("asked")
-    )
-    asked = refs.select("k1", "k2", "at", n(0).alias("live"), n(0).alias("sound"), none.alias("first"), F.lit(True).alias("asked"))
-    # Keys are made non-nullable: an inferred "is not null" on one branch only would keep the
-    # two uses of ``fine`` below from sharing their exchanges.
-    solid = lambda df: df.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("k1", "k2")})
-    marks = (
-        solid(begins.unionByName(ends).unionByName(asked))
-        .groupBy("k1", "k2", "at")
-        .agg(F.sum("live").alias("live"), F.sum("sound").alias("sound"), F.min("first").alias("first"), F.max("asked").alias("asked"))
-        .withColumn("span", F.coalesce(F.floor(F.datediff(F.to_date("at"), F.lit("1970-01-01")) / SPAN_DAYS).cast("int"), F.lit(0)))
-    )
-    within = Window.partitionBy("k1", "k2", "span").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    fine = marks.select(
-        "k1", "k2", "span", "at", "asked", "first", F.sum("live").over(within).alias("live"), F.sum("sound").over(within).alias("sound"),
-    )
-    # A span's totals are those of its last mark. All columns of ``fine`` are read here too, so
-    # that both branches share one exchange.
-    spans = fine.groupBy("k1", "k2", "span").agg(
-        F.max_by("live", "at").alias("live"), F.max_by("sound", "at").alias("sound"), F.min("first").alias("first"), F.max("asked").alias("any"),
-    )
-    before = Window.partitionBy("k1", "k2").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("k1", "k2")
-    spans = spans.select(
-        "k1", "k2", "span", "any",
-        F.coalesce(F.sum("live").over(before), F.lit(0)).alias("live0"),
-        F.coalesce(F.sum("sound").over(before), F.lit(0)).alias("sound0"),
-        F.min("first").over(whole).alias("first0"),
-    ).where("any")
-    first = F.least("first0", "first")  # the same as first0; ``first`` is named so that no branch prunes it
-    kind = (
-        F.when(F.col("sound") + F.col("sound0") > 0, None)
-        .when(first.isNull(), "missing")
-        .when(F.col("at") == F.lit(_FIRST).cast("timestamp_ntz"), None)
-        .when(F.col("live") + F.col("live0") > 0, "unresolved")
-        .when(first > F.col("at"), "late")
-        .otherwise("deleted")
-    )
-    return fine.where("asked").join(spans, ["k1", "k2", "span"]).select("k1", "k2", "at", kind.alias("kind")).where(F.col("kind").isNotNull())
+    asked, versions = cut(asked), cut(versions)
+    first = cut(versions.groupBy(*_KEY).agg(F.min("begun").alias("first"), F.count("*").alias("n")))
+    many = cut(first.where(F.col("n") > VERSIONS).select(*_KEY))
+    rows, spans, living = asked, versions, None
+    if many.limit(1).count():
+        rows, spans = asked.join(many, _KEY, "left_anti"), versions.join(many, _KEY, "left_anti")
+        swept = asked.join(many, _KEY, "left_semi")
+        timed = swept.where(f"not ({_TIMELESS})")  # a timeless reference to a key that has versions is sound
+        living = cut(living_instants(timed, versions.join(many, _KEY, "left_semi")))
+    heavy = heavy_shards(cut(asked.groupBy(*_KEY).agg(F.count("*").alias("n"))), _KEY)
+    bad = sharded_join(rows, spans, _KEY, heavy, F.col("at"), "left_anti", F.expr(_SOUND))
+    if living is not None:
+        bad = bad.unionByName(timed.join(living.where("sound"), [*_KEY, "at"], "left_anti"))
+    bad = cut(bad)
+    if living is None:
+        ghosts = sharded_join(bad, spans, _KEY, heavy, F.col("at"), "left_semi", F.expr(_LIVES))
+    else:
+        ghosts = sharded_join(bad.join(many, _KEY, "left_anti"), spans, _KEY, heavy, F.col("at"), "left_semi", F.expr(_LIVES))
+        ghosts = ghosts.unionByName(bad.join(living, [*_KEY, "at"], "left_semi"))
+    kind = F.when(F.col("first").isNull(), "missing").when(F.col("ghost"), "unresolved").when(F.col("first") > F.col("at"), "late").otherwise("deleted")
+    told = bad.join(ghosts.select(*_KEY, "at", F.lit(True).alias("ghost")), [*_KEY, "at"], "left")
+    return sharded_join(told, first.drop("n"), _KEY, heavy, F.col("at"), "left").select(*_KEY, "at", *ENDPOINTS, kind.alias("kind"))
 
 
 def orphan_references(edges: DataFrame, nodes: DataFrame, externals: DataFrame) -> DataFrame:
@@ -128,17 +142,17 @@ def orphan_references(edges: DataFrame, nodes: DataFrame, externals: DataFrame)
     every end is 'missing'; without edges there is no row.
     """
     refs = references(edges)
-    bad = unsound_instants(refs, parent_versions(nodes, externals))
-    salted = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    keyed = refs.withColumn("salt", F.pmod(F.xxhash64("ord"), F.lit(SALTS)).cast("int"))
-    return keyed.join(salted, ["k1", "k2", "at", "salt"]).select("ord", "endpoint", "kind", "at")
+    bad = cut(unsound_instants(asked_instants(refs), parent_versions(nodes, externals)))
+    pair = F.xxhash64(*_KEY, "at")
+    some = may_hold(refs, mask_of(bad.select(pair.alias("h"))), pair)
+    heavy = heavy_shards(bad.select(*_KEY, "at", (F.col("source") + F.col("target")).alias("n")), [*_KEY, "at"])
+    return sharded_join(some, bad.drop(*ENDPOINTS), [*_KEY, "at"], heavy, F.col("ord")).select("ord", "endpoint", "kind", "at")
 
 
 def orphan_report(edges: DataFrame, nodes: DataFrame, externals: DataFrame, ref_table: str = "edges") -> DataFrame:
     """``ref_table, endpoint, kind, month, n``; the month of a missing time is null."""
-    month = F.when(F.col("at") > F.lit(_FIRST).cast("timestamp_ntz"), F.date_format("at", "yyyy-MM"))
-    return (
-        orphan_references(edges, nodes, externals)
-        .groupBy(F.lit(ref_table).alias("ref_table"), "endpoint", "kind", month.alias("month"))
-        .agg(F.count("*").alias("n"))
-    )
+    bad = unsound_instants(asked_instants(references(edges)), parent_versions(nodes, externals))
+    month = F.when(~F.expr(_TIMELESS), F.date_format("at", "yyyy-MM"))
+    ends = F.explode(F.array(*[F.struct(F.lit(e).alias("endpoint"), F.col(e).alias("n")) for e in ENDPOINTS]))
+    rows = bad.select("kind", month.alias("month"), ends.alias("_e")).select("kind", "month", "_e.endpoint", "_e.n").where("n > 0")
+    return rows.groupBy(F.lit(ref_table).alias("ref_table"), "endpoint", "kind", "month").agg(F.sum("n").alias("n"))

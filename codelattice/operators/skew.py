@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from codelattice.model import current_rows, norm_id
 
@@ -97,6 +99,39 @@ def balanced_join(left: DataFrame, right: DataFrame, plan: LoadPlan, key: str, b
     return fragment(left, plan, key, by).join(replicate(right, plan, key), ["_bin", key], how)
 
 
+def heavy_shards(loads: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
+    """``keys, _shards`` of the keys of ``loads(keys, n)`` above half of a task's fair share: at most twice as many as tasks.
+
+    ``loads`` is read twice and should be materialised. The result is made from driver rows, bounded by the tasks.
+    """
+    spark = loads.sparkSession
+    tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    share = max(1.0, (loads.agg(F.sum("n")).first()[0] or 0) / tasks / 2)
+    rows = loads.where(F.col("n") > share).select(*keys, F.ceil(F.col("n") / share).cast("int").alias("_shards")).collect()  # at most 2 * tasks
+    return spark.createDataFrame(rows, loads.select(*keys).schema.add("_shards", IntegerType()))
+
+
+def sharded_join(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFrame, by: Column, how: str = "inner", when: Column | None = None) -> DataFrame:
+    """``left`` joined with ``right`` on ``keys``, the keys of ``heavy_shards`` dealt over that many shards.
+
+    A row of ``left`` goes to one shard of its key, chosen by the hash of ``by``; rows of ``right``
+    are repeated for the shards of their key only. Rows are those of the plain join; null keys match
+    nothing. ``how`` is inner, left, left_semi or left_anti; ``when`` is a further condition over columns of both.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"unsupported join type: {how}")
+    few = F.broadcast(heavy)
+    shard = F.coalesce(F.pmod(F.xxhash64(by), F.col("_shards")).cast("int"), F.lit(0))
+    a = left.join(few, keys, "left").withColumn("_shard", shard).drop("_shards")
+    b = right.join(few, keys, "left").withColumn("_shard", F.explode(F.sequence(F.lit(0), F.coalesce("_shards", F.lit(1)) - 1))).drop("_shards")
+    if when is None:
+        return a.join(b, [*keys, "_shard"], how).drop("_shard")
+    b = b.withColumnsRenamed({k: f"_r_{k}" for k in [*keys, "_shard"]})
+    same = [F.col(k) == F.col(f"_r_{k}") for k in [*keys, "_shard"]]
+    out = a.join(b, reduce(lambda x, y: x & y, same) & when, how)
+    return out.drop("_shard", *[f"_r_{k}" for k in [*keys, "_shard"]])
+
+
 def link_ends(edges: DataFrame) -> DataFrame:
     """``key, other, n_in, n_out``: rows of edges per target and source, pre-aggregated, and per source."""
     e = edges.select(norm_id("source").alias("s"), norm_id("target").alias("t"))

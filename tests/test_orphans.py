@@ -60,3 +60,44 @@ def test_hot_key_with_many_instants(spark):
     got = {r["ord"] for r in orphan_references(e, n, x).collect()}
     want = {r["ord"] for r in e.where("scanned_at >= timestamp_ntz '2024-01-20' and scanned_at < timestamp_ntz '2024-01-25'").collect()}
     assert got == want and got
+
+
+def test_hot_key_with_one_instant(spark):
+    from pyspark.sql import functions as F
+
+    n = spark.createDataFrame([("a", t(1), None, None)], "id string, scanned_at timestamp_ntz, removed_at timestamp_ntz, unresolved boolean")
+    e = spark.range(30000).select(F.col("id").alias("ord"), F.lit("a").alias("source"), F.when(F.col("id") % 3 < 2, "gone").alias("target"), F.lit(t(4)).cast("timestamp_ntz").alias("scanned_at"))
+    x = spark.createDataFrame([], EXT)
+    assert orphan_references(e, n, x).count() == 20000
+    assert [tuple(r) for r in orphan_report(e, n, x).collect()] == [("edges", "target", "missing", "2024-01", 20000)]
+
+
+def test_long_histories_are_swept(spark, monkeypatch):
+    import random
+
+    from codelattice.operators import orphans
+
+    rnd = random.Random(3)
+    rows = lambda: [(rnd.choice("abcd"), b := t(rnd.randint(1, 25), rnd.randint(0, 23)), rnd.choice([None, t(rnd.randint(1, 28))]), rnd.choice([None, True, False])) for _ in range(60)]
+    nodes = rows() + [("e", t(3), t(9), None)]
+    edges = [(k, rnd.choice("abcdef"), rnd.choice("abcdef"), rnd.choice([None, t(rnd.randint(1, 28), rnd.randint(0, 23))])) for k in range(150)]
+    want = found(spark, nodes, [("d", t(2), t(4))], edges)
+    monkeypatch.setattr(orphans, "VERSIONS", 3)
+    assert found(spark, nodes, [("d", t(2), t(4))], edges) == want and {k for *_, k in want} == {"missing", "late", "deleted", "unresolved"}
+
+
+def test_anti_join_in_the_plan(spark):
+    from codelattice.operators.orphans import asked_instants, parent_versions, references, unsound_instants
+
+    d = "/root/testdata/sf0.001"
+    e, n, x = (spark.read.parquet(f"{d}/{name}.parquet") for name in ("edges", "nodes", "externals"))
+    seen = []
+    from codelattice.operators import orphans
+
+    keep = orphans.cut
+    orphans.cut = lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df)
+    try:
+        unsound_instants(asked_instants(references(e)), parent_versions(n, x))
+    finally:
+        orphans.cut = keep
+    assert any("LeftAnti" in p for p in seen)
