@@ -30,3 +30,15 @@ def may_hold(df: DataFrame, mask: DataFrame, h: Column) -> DataFrame:
     m = F.broadcast(mask.withColumnsRenamed({"block": "_block", "words": "_words"}))
     out = rows.join(m, F.shiftright("_h", 15).cast("int") == F.col("_block"))
     return out.where(F.expr(f"(shiftright(_words[cast(shiftright(_h, 6) % {_WORDS} as int)], cast(_h % 64 as int)) & 1) = 1")).drop("_h", "_block", "_words")
+
+
+def packed_mask(hashes: DataFrame, h: str = "h"):
+    """The same bits as one numpy array of 64-bit words, for Python stages; 2^MASK_BITS / 8 bytes reach the driver."""
+    import numpy as np
+
+    bit = F.pmod(F.col(h), F.lit(1 << MASK_BITS))
+    words = hashes.where(F.col(h).isNotNull()).select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod({h}, 64) as int))").alias("v"))
+    got = words.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    mask = np.zeros(1 << (MASK_BITS - 6), dtype=np.int64)
+    mask[got.column("w").to_numpy()] = got.column("v").to_numpy()
+    return mask.view(np.uint64)
