@@ -1,43 +1,55 @@
 """Evaluation items that leaked, wholly or partly, into a corpus.
 
 Template canonicalisation: texts become words without case, punctuation, markup and layout,
-with look-alike characters folded; numbers, names and measures become typed placeholders.
-Windows of five template words of the items are hashed and joined with those of the
-documents. For each document and item that share a window the words are aligned around the
-shared windows, slots are compared with the values they hold, and a stretch of at least 18
-words of the item with few changed, dropped or added words is a leak. A slot that is filled
-anew in a consistent way (the same old value always gives the same new one) counts as one
-change; any other counts each time.
-
-The items are the small, given side. They are taken in blocks whose index is bounded in
-size, and each block is sent to the tasks that read the documents, so document text is read
-once per block and never shuffled, and a document that is copied a million times costs a
-million independent scans, no pairs. The candidates of a document are items, not other
-documents; there is no cap on them.
+with look-alike characters folded; numbers, names (capitalised within a sentence, or written
+like identifiers) and measures become typed placeholders. A template window begins at every
+word and holds five words at least, three of them plain; so every place of an item that plain
+words follow is indexed, however many slots it has. Windows of the words as they are stand
+beside these, since a changed letter case hides names.
+
+Windows of documents are hash-joined with those of the items. A bit mask of fixed size keeps
+windows that no item has out of the join, so of a corpus only candidates move: documents with
+three windows of the mask at least, each distinct text once, however many copies it has. For
+each document and item that share three windows the words are aligned around these, slots are
+compared with the values they hold, and a stretch of at least 18 words of the item with few
+changed, dropped or added words is a leak. A slot filled anew in a consistent way (the same
+old value always gives the same new one, and no other) is one change for a repeated passage,
+and none for a re-parameterised one; any other counts each time.
+
+Nothing of items or documents reaches the driver but the mask. Joins are sharded by measured
+load, so a window or a text that a third of all documents share is no hot spot. There is no
+cap on the items of a document or the documents of an item.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import defaultdict
 from html import unescape
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelattice.functions.mask import MASK_BITS, packed_mask
 from codelattice.llm.batches import map_rows
+from codelattice.operators.skew import heavy_shards, sharded_join
+from codelattice.session import cut
 
-WINDOW = 5  # words of a shared window: 18 words with two changes hold an unchanged run of at least six
+WINDOW = 5  # words of a shared window at least: 18 words with two changes hold an unchanged run of at least six
+PLAIN = 3  # of them that are no placeholders
+SHARED = 3  # windows that a repeated passage of LEAST words keeps at least, changes allowed for
 LEAST = 18  # words of the item that have to be repeated
 SLACK = 0.12  # share of changed, dropped and added words that a repeated passage may have
 GAP = LEAST  # words between two aligned runs of one passage at most, and beyond the outermost ones: changes may leave that many without a window
-BLOCK_WORDS = 400_000  # words of items in one block
+KNOWN = 400_000  # words a task remembers
 
 _TAG = re.compile(r"</?(?:a|b|i|u|s|p|q|em|br|hr|li|ol|ul|dl|dt|dd|td|th|tr|h[1-6]|pre|sub|sup|div|tt|kbd|del|ins|code|span|font|mark|small|strong|table|tbody|thead|blockquote|details|summary|section|article|img|abbr|cite|samp|var|center)\b[^<>]{0,300}>", re.I)
 _LINK = re.compile(r"\]\((?:https?:|\.{0,2}/|#|www\.)[^()\s]*\)")
 _LINE_NO = re.compile(r"^[ \t>|*#/-]*(?:[Ll](?:ine[ \t]*)?)?\d{1,5}[ \t]*[.):|]?[ \t]+(?=\S)", re.M)
-_WORD = re.compile(r"\w+(?:[-'’]\w+)*")
+_PIECE = re.compile(r"\w+(?:[-'’]\w+)*|[.!?:](?=\s)|\n[ \t]*\n")  # words, and marks after which a sentence begins
 _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x200E, 0x200F, 0x180E, *range(0xFE00, 0xFE10)])
 # Letters of other scripts that look like Latin ones, and hyphens.
 _LOOK = str.maketrans(
@@ -45,12 +57,113 @@ _LOOK = str.maketrans(
     "ABESIJKMHOPCTYX" + "aeopcyxijsdhlqw" + "ABEZHIKMNOPTYX" + "aikvoptux" + "--",
 )
 _CAMEL = re.compile(r"[a-z0-9][A-Z]|_")
-_UNITS = frozenset("ms s sec secs second seconds min minute minutes h hour hours day days b kb mb gb tb kib mib gib byte bytes bit bits px em pt hz khz mhz ghz cm mm m km kg g mg usd eur".split())
+_UNITS = frozenset("ms s sec secs second seconds min minute minutes h hour hours day days week weeks month months year years b kb mb gb tb kib mib gib byte bytes bit bits px em pt hz khz mhz ghz cm mm m km kg g mg l ml usd eur dollar dollars euro euros cent cents percent".split())
 _NUMBER = re.compile(r"[+-]?(?:0x[0-9a-f]+|\d[\d_]*(?:[a-z]{1,3})?)", re.I)
 
-
-def words(text: str) -> tuple[list[str], list[str]]:
-    """The words of a text, folded, and the same with typed placeholders."""
+PLAINWORD, NUMBER, UNIT, NAME, FIRST = ".nuNf"  # FIRST: a capital where a sentence begins, plain in windows, perhaps a name in slots
+
+
+class Vocabulary:
+    """Words a task has met, with their folded form, kinds and hashes."""
+
+    def __init__(self):
+        self.ids: dict[str, int] = {}
+        self.low: list[str] = []
+        self.plain, self.mid, self.first, self.skip = (np.zeros(1 << 12, dtype=d) for d in (np.uint64, "U1", "U1", bool))
+
+    def add(self, w: str) -> None:
+        k = len(self.low)
+        if k == len(self.plain):
+            self.plain, self.mid, self.first, self.skip = (np.concatenate([a, np.zeros_like(a)]) for a in (self.plain, self.mid, self.first, self.skip))
+        self.ids[w] = k
+        word = w.strip("_").lower()
+        self.low.append(word)
+        self.skip[k] = re.match(r"\w", word) is None
+        kind = NUMBER if _NUMBER.fullmatch(w) else UNIT if word in _UNITS else NAME if _CAMEL.search(w) else PLAINWORD
+        capital = kind == PLAINWORD and w[:1].isupper()
+        self.mid[k], self.first[k] = (NAME, FIRST) if capital and len(w) > 1 else (kind, kind)
+        self.plain[k] = _hash64(word)
+
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of a folded text, and their kinds in place."""
+        pieces = _PIECE.findall(text)
+        if len(self.low) > KNOWN:
+            self.__init__()
+        ids = list(map(self.ids.get, pieces))
+        if None in ids:
+            for w in pieces:
+                if w not in self.ids:
+                    self.add(w)
+            ids = list(map(self.ids.get, pieces))
+        at = np.array(ids, dtype=np.int64)
+        marks = self.skip[at]
+        begins = np.empty(len(at), dtype=bool)
+        begins[:1] = True
+        begins[1:] = marks[:-1]
+        kinds = np.where(begins, self.first[at], self.mid[at])
+        return at[~marks], kinds[~marks]
+
+    def words(self, at: np.ndarray) -> list[str]:
+        low = self.low
+        return [low[k] for k in at.tolist()]
+
+
+def _hash64(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+
+
+_SLOT = {k: np.uint64(_hash64(f"<{k}>")) for k in (NUMBER, UNIT, NAME)}
+_B = np.uint64(0x9E3779B97F4A7C15)
+_BINV = np.uint64(pow(int(_B), -1, 1 << 64))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS[0]) < n:
+        size = max(n, 2 * len(_POWERS[0]))
+        for k, b in enumerate((_B, _BINV)):
+            p = np.full(size, b, dtype=np.uint64)
+            p[0] = 1
+            _POWERS[k] = np.cumprod(p, dtype=np.uint64)
+    return _POWERS[0], _POWERS[1]
+
+
+_POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _window_hashes(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    up, down = _powers(len(h) + 1)
+    sums = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(h * up[: len(h)], out=sums[1:])
+    x = (sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def windows(plain: np.ndarray, kinds: np.ndarray, templates: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, begin and end of each window: of five words as they are, and, with ``templates``, of templates that hold a slot."""
+    n = len(plain)
+    if n < WINDOW:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    begin = np.arange(n - WINDOW + 1)
+    found = [(_window_hashes(plain, begin, begin + WINDOW), begin, begin + WINDOW)]
+    slot = (kinds == NUMBER) | (kinds == UNIT) | (kinds == NAME)
+    if templates and slot.any():
+        typed = plain.copy()
+        for k, v in _SLOT.items():
+            typed[kinds == k] = v
+        before = np.zeros(n + 1, dtype=np.int64)
+        np.cumsum(~slot, out=before[1:])
+        places = np.flatnonzero(~slot)
+        begin = begin[before[begin] + PLAIN <= len(places)]
+        end = np.maximum(begin + WINDOW, places[before[begin] + PLAIN - 1] + 1) if len(begin) else begin
+        held = (end - begin) > before[end] - before[begin]
+        begin, end = begin[held], end[held]
+        found.append((_window_hashes(typed, begin, end) ^ np.uint64(1), begin, end))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def fold(text: str) -> str:
+    """A text without markup, links, line numbers and invisible characters, look-alike letters folded."""
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "&" in text:
@@ -61,114 +174,75 @@ def words(text: str) -> tuple[list[str], list[str]]:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text.translate(_INVISIBLE).translate(_LOOK))
         text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).translate(_LOOK)
-    raw = _WORD.findall(text)
-    if "_" in text:
-        raw = [w for w in (x.strip("_") for x in raw) if w]
-    low = [w.lower() for w in raw]
-    kinds = [_KIND.get(w) or _kind(w) for w in raw]
-    return low, [k if k != "." else w for k, w in zip(kinds, low)]
-
+    return text
 
-_KIND: dict[str, str] = {}
 
+def words(text: str) -> tuple[list[str], str]:
+    """The words of a text, folded, and one letter for the kind of each."""
+    v = Vocabulary()
+    at, kinds = v.read(fold(text))
+    return v.words(at), "".join(kinds.tolist())
 
-def _kind(w: str) -> str:
-    """Placeholder of a word: number, measure, name, or '.' for an ordinary word."""
-    k = "<num>" if _NUMBER.fullmatch(w) else "<unit>" if w.lower() in _UNITS else "<name>" if _CAMEL.search(w) else "."
-    if len(_KIND) < 200_000:
-        _KIND[w] = k
-    return k
 
+# ---- alignment of a document's words with an item's -------------------------------------
 
-def strip_instructions(texts: list[str]) -> list[str]:
-    """Cut the leading line off items that share it with an item that goes on differently."""
-    rest = defaultdict(set)
-    for t in texts:
-        head, nl, tail = t.strip().partition("\n")
-        if nl:
-            rest[" ".join(words(head)[0])].add(" ".join(words(tail)[0]))
-    out = []
-    for t in texts:
-        head, nl, tail = t.strip().partition("\n")
-        out.append(tail if nl and len(rest[" ".join(words(head)[0])]) > 1 else t)
-    return out
-
-
-class Index:
-    """Windows of a block of items."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.words: dict[int, list[str]] = {}
-        self.types: dict[int, list[str]] = {}
-        self.at: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-        for i, text in items:
-            w, t = self.words[i], self.types[i] = words(text)
-            for stream in {tuple(w), tuple(t)}:
-                for j, g in enumerate(_grams(list(stream))):
-                    if sum(x[0] != "<" for x in g) >= 3:
-                        self.at[g].append((i, j))
-
-    def leaks(self, text: str) -> list[int]:
-        """Ids of the items of which ``text`` repeats a long enough passage."""
-        w, t = words(text)
-        if len(w) < LEAST * (1 - SLACK) - 1:
-            return []
-        streams = [t] if t == w else [t, w]
-        at, hits = self.at, defaultdict(set)
-        for s in streams:
-            for p, g in [x for x in enumerate(_grams(s)) if x[1] in at]:
-                for i, j in at[g]:
-                    hits[i].add((p, j))
-        return sorted(i for i, h in hits.items() if self._may(w, t, i, h) and _longest(w, t, self.words[i], self.types[i], h) >= LEAST)
-
-    def _may(self, w, t, i, hits) -> bool:
-        """Whether some LEAST words of the item around the shared windows mostly occur near these in the document.
-
-        Needed for a leak, and cheap: a passage of LEAST words with the changes allowed holds three
-        shared windows at least, and all its words but the changed ones.
-        """
-        js = {j for _, j in hits}
-        if len(js) < 3:
-            return False
-        iw, it = self.words[i], self.types[i]
-        reach = LEAST + GAP
-        near_w, near_t = set(), set()
-        for p in sorted({p // WINDOW * WINDOW for p, _ in hits}):
-            near_w.update(w[max(0, p - reach) : p + reach + WINDOW])
-            near_t.update(t[max(0, p - reach) : p + reach + WINDOW])
-        need, a, b = LEAST - int(SLACK * LEAST + 0.5), max(0, min(js) - LEAST), max(js) + WINDOW + LEAST
-        there = [x in near_w or (y[0] == "<" and y in near_t) for x, y in zip(iw[a:b], it[a:b])]
-        n = sum(there[: LEAST - 1])
-        for k in range(LEAST - 1, len(there)):
-            n += there[k]
-            if n >= need:
-                return True
-            n -= there[k - LEAST + 1]
-        return False
 
+def passage(w: list[str], t: str, iw: list[str], it: str, hits: list[tuple[int, int, int]], free: bool = False) -> int:
+    """Words of the item in the longest passage that document words ``w`` of kinds ``t`` repeat; 0 if none is likely.
 
-def _grams(w: list[str]):
-    return zip(*(w[k:] for k in range(WINDOW)))
+    ``hits`` are the shared windows: place in the document, place in the item, length. With
+    ``free``, consistently refilled slots are no changes.
+    """
+    return _longest(w, t, iw, it, hits, free) if _may(w, t, iw, it, hits) else 0
 
 
-def _longest(w, t, iw, it, hits) -> int:
-    """Words of the item in the longest passage that document words repeat, changes allowed for.
+def _may(w, t, iw, it, hits) -> bool:
+    """Whether some LEAST words of the item around the shared windows mostly occur near these in the document.
 
-    Runs of shared windows are chained in order; the words between two runs are aligned by
-    edit distance, and so are the words before the first and after the last one.
+    Needed for a leak, and cheap: a passage of LEAST words with the changes allowed holds SHARED
+    windows at least, and all its words but the changed ones.
     """
+    js = {j for _, j, _ in hits}
+    if len(js) < SHARED:
+        return False
+    reach = LEAST + GAP
+    near_w, near_t = set(), set()
+    for p, n in sorted({(p // WINDOW * WINDOW, n) for p, _, n in hits}):
+        near_w.update(w[max(0, p - reach) : p + reach + n])
+        near_t.update(t[max(0, p - reach) : p + reach + n])
+    near_t -= {PLAINWORD}
+    if near_t & {NAME, FIRST}:
+        near_t |= {NAME, FIRST}
+    last = max(j + n for _, j, n in hits)
+    need, a, b = LEAST - int(SLACK * LEAST + 0.5), max(0, min(js) - LEAST), last + LEAST
+    there = [x in near_w or y in near_t for x, y in zip(iw[a:b], it[a:b])]
+    n = sum(there[: LEAST - 1])
+    for k in range(LEAST - 1, len(there)):
+        n += there[k]
+        if n >= need:
+            return True
+        n -= there[k - LEAST + 1]
+    return False
+
+
+def _longest(w, t, iw, it, hits, free) -> int:
+    """Runs of shared windows are chained in order; the words between two runs are aligned by
+    edit distance, and so are the words before the first and after the last one."""
     runs = []
-    for d in {p - j for p, j in hits}:
-        js = sorted(j for p, j in hits if p - j == d)
-        start = prev = js[0]
-        for j in [*js[1:], None]:
-            if j is None or j - prev > WINDOW:
-                runs.append((start, prev + WINDOW, d))
-                start = j
-            prev = j
+    for d in {p - j for p, j, _ in hits}:
+        at = sorted((j, j + n) for p, j, n in hits if p - j == d)
+        start, end, prev = *at[0], at[0][0]
+        for j, e in at[1:]:
+            if j - prev > WINDOW and j > end:
+                runs.append((start, end, d))
+                start, end = j, e
+            end, prev = max(end, e), j
+        runs.append((start, end, d))
     runs.sort()
-    best = 0
+    best, done = 0, set()
     for k, first in enumerate(runs):
+        if first in done:
+            continue
         chain, last = [first], first
         for r in runs[k + 1 :]:
             gap_i, gap_d = r[0] - last[1], (r[0] + r[2]) - (last[1] + last[2])
@@ -177,31 +251,29 @@ def _longest(w, t, iw, it, hits) -> int:
             if -WINDOW < gap_i and -WINDOW < gap_d <= GAP and r[1] > last[1] and r[1] + r[2] > last[1] + last[2]:
                 chain.append(r)
                 last = r
-        if k and any(first == c for c in done):
-            continue
-        done = chain if not k else done + chain
-        best = max(best, _passage(w, t, iw, it, chain))
+        done.update(chain)
+        best = max(best, _passage(w, t, iw, it, chain, free))
         if best >= len(iw):
             break
     return best
 
 
-def _passage(w, t, iw, it, chain) -> int:
+def _passage(w, t, iw, it, chain, free) -> int:
     """The best of a near and a far reach: far words that match by chance can spoil the alignment of the ends."""
-    near = _aligned(w, t, iw, it, chain, LEAST // 2)
-    return near if near >= LEAST else max(near, _aligned(w, t, iw, it, chain, GAP))
+    near = _aligned(w, t, iw, it, chain, LEAST // 2, free)
+    return near if near >= LEAST else max(near, _aligned(w, t, iw, it, chain, GAP, free))
 
 
-def _aligned(w, t, iw, it, chain, reach) -> int:
+def _aligned(w, t, iw, it, chain, reach, free) -> int:
     j0, p0 = chain[0][0], chain[0][0] + chain[0][2]
     j1, p1 = chain[-1][1], chain[-1][1] + chain[-1][2]
     a, b = max(0, j0 - reach), min(len(iw), j1 + reach)
     steps = _align(iw[a:b], it[a:b], w[max(0, p0 - reach - 2) : p1 + reach + 2], t[max(0, p0 - reach - 2) : p1 + reach + 2])
-    return _best_stretch(steps)
+    return _best_stretch(steps, free)
 
 
 def _align(iw, it, w, t) -> list[tuple]:
-    """Global alignment, document ends free: a list of (op, item word, document word), op one of = s d a."""
+    """Global alignment, document ends free: a list of (op, item word, document word), op one of = v s d a; v is a slot."""
     n, m = len(iw), len(w)
     rows = [[0] * (m + 1)]  # the document may begin anywhere
     for i in range(1, n + 1):
@@ -216,8 +288,8 @@ def _align(iw, it, w, t) -> list[tuple]:
     out = []
     while i > 0:
         if j > 0 and rows[i][j] == rows[i - 1][j - 1] + (iw[i - 1] != w[j - 1]):
-            same = iw[i - 1] == w[j - 1]
-            slot = not same and it[i - 1] == t[j - 1] and it[i - 1][:1] == "<"
+            same, x, y = iw[i - 1] == w[j - 1], it[i - 1], t[j - 1]
+            slot = not same and (x == y and x in "nuN" or x in "Nf" and y in "Nf")
             out.append(("=" if same else "v" if slot else "s", iw[i - 1], w[j - 1]))
             i, j = i - 1, j - 1
         elif rows[i][j] == rows[i - 1][j] + 1:
@@ -229,64 +301,168 @@ def _align(iw, it, w, t) -> list[tuple]:
     return out[::-1]
 
 
-def _best_stretch(steps: list[tuple]) -> int:
-    """Item words of the longest stretch that begins and ends with equal words and has few enough changes."""
+def _best_stretch(steps: list[tuple], free: bool) -> int:
+    """Item words of the longest stretch that begins and ends with equal words and has few enough changes.
+
+    With ``free`` a slot is no change if its value is replaced in one way wherever it stands in the
+    whole alignment, and at least half of the words have to be equal.
+    """
+    to, of = defaultdict(set), defaultdict(set)
+    if free:
+        for op, a, b in steps:
+            if op in "=v":
+                to[a].add(b)
+                of[b].add(a)
     edge = [k for k, s in enumerate(steps) if s[0] == "="]
     best = 0
     for x in range(len(edge)):
         if edge[-1] + 1 - edge[x] <= best:
             break
-        cost, size, slots, back, upto = 0, 0, {}, {}, edge[x]
+        cost, size, equal, slots, back = 0, 0, 0, {}, {}
         for k in range(edge[x], len(steps)):
             op, a, b = steps[k]
             size += op != "a"
-            if op == "v":  # a slot: consistently refilled, it is one change however often it comes
-                if slots.get(a) != b or back.get(b) != a:
-                    cost += 1
+            if op == "v" and free:
+                cost += len(to[a]) > 1 or len(of[b]) > 1
+            elif op == "v":  # filled anew in one way it is one change however often it comes
+                cost += slots.get(a) != b or back.get(b) != a
                 slots.setdefault(a, b)
                 back.setdefault(b, a)
             elif op != "=":
                 cost += 1
-            elif size > best and cost <= SLACK * size + 0.5:
-                best = size
+            else:
+                equal += 1
+                if size > best and cost <= SLACK * size + 0.5 and (not free or 2 * equal >= size):
+                    best = size
     return best
 
 
-def item_blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items, instruction lines cut off, in blocks of at most about BLOCK_WORDS words."""
-    rows = items.where("text is not null and item_id is not null").select("item_id", "text").orderBy("item_id").collect()  # the given query set
-    texts = strip_instructions([r["text"] for r in rows])
-    blocks, n = [[]], 0
-    for r, t in zip(rows, texts):
-        size = t.count(" ") + t.count("\n") + 1
-        if blocks[-1] and n + size > BLOCK_WORDS:
-            blocks.append([])
-            n = 0
-        blocks[-1].append((r["item_id"], t))
-        n += size
-    return blocks
+# ---- tables ----------------------------------------------------------------------------
 
 
-def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """``doc_id, item_id``: one row per document row and item of which it repeats a passage.
+def item_words(items: DataFrame) -> DataFrame:
+    """``item_id, words, kinds`` of each item, its leading line cut off if items that go on differently share it."""
+
+    def make():
+        def told(t):
+            w, k = words(t)
+            return " ".join(w), k
+
+        def ends(t):
+            head, nl, tail = t.strip().partition("\n")
+            return (told(head)[0], told(tail)[0]) if nl else (None, None)
+
+        def run(ids, texts):
+            rows = [(i, *told(t), *told(t.strip().partition("\n")[2]), *ends(t)) for i, t in zip(ids, texts)]
+            return list(map(list, zip(*rows))) if rows else [[] for _ in range(7)]
+
+        return run
 
-    Null and blank texts repeat nothing; repeated documents count each. Items shorter than the
-    least passage cannot leak; without items there is no row. A ``doc_id`` that comes twice
-    gives its rows twice.
+    rows = items.where("text is not null and item_id is not null").select("item_id", "text")
+    rows = cut(map_rows(rows, make, "item_id bigint, words string, kinds string, tail string, tail_kinds string, head string, rest string"))
+    heads = cut(rows.where("head is not null").groupBy("head").agg(F.count_distinct("rest").alias("ways"), F.count("*").alias("n")))
+    shared = heads.where("ways > 1").select("head", F.lit(True).alias("shared"))
+    rows = sharded_join(rows, shared, ["head"], heavy_shards(heads.select("head", "n"), ["head"]), F.col("item_id"), "left")
+    pick = lambda a, b: F.when(F.col("shared"), F.col(b)).otherwise(F.col(a))
+    return rows.select("item_id", pick("words", "tail").alias("words"), pick("kinds", "tail_kinds").alias("kinds"))
+
+
+def item_windows(items: DataFrame, templates: bool = True) -> DataFrame:
+    """``h, item_id, j, n``: the windows of the words of ``items(item_id, words, kinds)``."""
+
+    def make():
+        def run(ids, texts, kinds):
+            out = []
+            for i, t, k in zip(ids, texts, kinds):
+                hashes = np.array([_hash64(w) for w in t.split(" ")] if t else [], dtype=np.uint64)
+                h, b, e = windows(hashes, np.array(list(k), dtype="U1"), templates)
+                out += [(x, i, int(p), int(q - p)) for x, p, q in zip(h.view(np.int64).tolist(), b, e)]
+            return list(map(list, zip(*out))) if out else [[] for _ in range(4)]
+
+        return run
+
+    return map_rows(items, make, "h bigint, item_id bigint, j int, n int")
+
+
+def candidates(documents: DataFrame, item_w: DataFrame, templates: bool = True) -> DataFrame:
+    """``doc_id, text_id, words, kinds, hits`` of the documents with SHARED windows that may be an item's; equal words have one ``text_id``."""
+    sent = documents.sparkSession.sparkContext.broadcast(packed_mask(item_w))  # 2^MASK_BITS bits
+
+    def make():
+        mask, v = sent.value, Vocabulary()
+        low = np.uint64((1 << MASK_BITS) - 1)
+
+        def run(ids, texts):
+            out = []
+            for d, text in zip(ids, texts):
+                if not text:
+                    continue
+                at, kinds = v.read(fold(text))
+                if len(at) < LEAST * (1 - SLACK) - 1:
+                    continue
+                h, begin, _ = windows(v.plain[at], kinds, templates)
+                bit = h & low
+                seen = (mask[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)
+                k = np.flatnonzero(seen)
+                if len(k) >= SHARED:
+                    w, c = " ".join(v.words(at)), "".join(kinds.tolist())
+                    key = hashlib.blake2b(w.encode() + b"\0" + c.encode(), digest_size=16).digest()
+                    out.append((d, key, w, c, [{"h": x, "p": p} for x, p in zip(h[k].view(np.int64).tolist(), begin[k].tolist())]))
+            return list(map(list, zip(*out))) if out else [[] for _ in range(5)]
+
+        return run
+
+    schema = "doc_id bigint, text_id binary, words string, kinds string, hits array<struct<h:bigint,p:int>>"
+    return map_rows(documents.select("doc_id", "text"), make, schema)
+
+
+def leaks(documents: DataFrame, items: DataFrame, templates: bool = True) -> DataFrame:
+    """``doc_id, item_id, repeated, refilled``: words of the longest passage of the item that the document repeats, and
+    of the longest one with consistently refilled slots taken for equal; one of them is LEAST at least.
+
+    Null and blank texts repeat nothing; repeated documents count each, so a ``doc_id`` that comes
+    twice gives its rows twice. Items shorter than the least passage cannot leak; without items
+    there is no row. ``templates`` off leaves typed windows out, for comparison.
     """
-    out = None
-    for block in item_blocks(items):
-        sent = documents.sparkSession.sparkContext.broadcast(block)  # at most about BLOCK_WORDS words
+    items = cut(item_words(items))
+    item_w = cut(item_windows(items, templates))
+    docs = cut(candidates(documents, item_w, templates))
+    texts = docs.groupBy("text_id").agg(F.first(F.struct("words", "kinds", "hits")).alias("_t"), F.count("*").alias("n"))
+    texts = cut(texts.select("text_id", "_t.words", "_t.kinds", "_t.hits", "n"))
+    hits = texts.select("text_id", F.explode("hits").alias("_h")).select("text_id", "_h.h", "_h.p")
+    load = cut(hits.groupBy("h").agg(F.count("*").alias("n")))
+    met = sharded_join(hits, item_w, ["h"], heavy_shards(load, ["h"]), F.xxhash64("text_id", "p"))
+    pairs = met.groupBy("text_id", "item_id").agg(F.collect_set(F.struct("p", "j", "n")).alias("at"), F.count_distinct("j").alias("js"))  # places of one text
+    pairs = cut(pairs.where(F.col("js") >= SHARED).drop("js"))
+    heavy = lambda c: heavy_shards(pairs.groupBy(c).agg(F.count("*").alias("n")), [c])
+    rows = sharded_join(pairs, texts.select("text_id", "words", "kinds"), ["text_id"], heavy("text_id"), F.col("item_id"))
+    rows = sharded_join(rows, items.select("item_id", F.col("words").alias("asked"), F.col("kinds").alias("asked_kinds")), ["item_id"], heavy("item_id"), F.col("text_id"))
+
+    def make():
+        def run(keys, ids, at, ws, ks, iws, iks):
+            out = []
+            for key, i, a, w, k, iw, ik in zip(keys, ids, at, ws, ks, iws, iks):
+                args = w.split(" "), k, iw.split(" "), ik, [(x["p"], x["j"], x["n"]) for x in a]
+                r = passage(*args)
+                f = max(r, passage(*args, free=True)) if any(c in "nuN" for c in ik) else r
+                if max(r, f) >= LEAST:
+                    out.append((key, i, r, f))
+            return list(map(list, zip(*out))) if out else [[] for _ in range(4)]
+
+        return run
+
+    rows = rows.select("text_id", "item_id", "at", "words", "kinds", "asked", "asked_kinds")
+    told = map_rows(rows, make, "text_id binary, item_id bigint, repeated int, refilled int")
+    told = told.groupBy("text_id", "item_id").agg(F.max("repeated").alias("repeated"), F.max("refilled").alias("refilled"))
+    copies = heavy_shards(texts.select("text_id", "n"), ["text_id"])
+    return sharded_join(docs.select("doc_id", "text_id"), told, ["text_id"], copies, F.col("doc_id")).drop("text_id")
 
-        def make(sent=sent):
-            index = Index(sent.value)
 
-            def run(ids, texts):
-                found = [(d, i) for d, t in zip(ids, texts) if t for i in index.leaks(t)]
-                return [d for d, _ in found], [i for _, i in found]
+def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id, item_id``: one row per document row and item of which it repeats a passage (see ``leaks``)."""
+    return leaks(documents, items).where(F.col("repeated") >= LEAST).select("doc_id", "item_id")
 
-            return run
 
-        rows = map_rows(documents.select("doc_id", "text"), make, "doc_id bigint, item_id bigint")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def reparameterised_items(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id, item_id, words``: items that a document holds with other values in their slots, each value replaced in one way, and does not repeat."""
+    return leaks(documents, items).where((F.col("repeated") < LEAST) & (F.col("refilled") >= LEAST)).select("doc_id", "item_id", F.col("refilled").alias("words"))

@@ -44,6 +44,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_reparameterised(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold an evaluation item with other values in its slots."""
+    return leaks.reparameterised_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Sources that fall short of their share."""
     return mixing.short_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
@@ -71,7 +76,7 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found, "p3_text": p3_text, "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p5_pairs": p5_pairs,
-    "p7_found": p7_found, "p8_found": p8_found, "p8_rows": p8_rows, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels,
+    "p7_found": p7_found, "p7_reparameterised": p7_reparameterised, "p8_found": p8_found, "p8_rows": p8_rows, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels,
 }
 #: None of these can be said in SQL: they parse, tokenize, align or fit. tests/llm holds their brute-force and round-trip tests.
 SQL: dict[str, str] = {}

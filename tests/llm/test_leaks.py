@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from codelattice.llm import leaks as L
 
 R = random.Random(3)
@@ -9,8 +11,17 @@ CODE = "\n".join(f"    let {R.choice(WORDS)} = {R.choice(WORDS)}({R.choice(WORDS
 NOISE = [" ".join(R.choices(WORDS, k=40)) for _ in range(8)]
 
 
-def leaks(text, items=((1, ITEM), (2, CODE))):
-    return L.Index(list(items)).leaks(text)
+def leaks(text, items=((1, ITEM), (2, CODE)), free=False):
+    """Brute force over all pairs of windows."""
+    out = []
+    w, t = L.words(text)
+    for i, item in items:
+        iw, it = L.words(item)
+        (h, b, _), (g, c, e) = (L.windows(np.array([L._hash64(x) for x in ws], dtype=np.uint64), np.array(list(ks), dtype="U1")) for ws, ks in ((w, t), (iw, it)))
+        hits = [(int(p), int(j), int(k - j)) for x, p in zip(h, b) for y, j, k in zip(g, c, e) if x == y]
+        if hits and L.passage(w, t, iw, it, hits, free) >= L.LEAST:
+            out.append(i)
+    return out
 
 
 def around(x, k=0):
@@ -60,10 +71,54 @@ def test_slots_refilled_consistently():
     assert leaks(mixed, [(7, item)]) == []  # one change in five words, each another
 
 
-def test_instructions_are_cut():
+def test_reparameterised_questions():
+    word = (
+        "Anna buys 12 apples and Ben buys 7 pears at the market. Each apple costs 3 euros and each pear costs 2 euros. "
+        "Later Ben gives Anna 2 of his pears because Anna has given 3 apples away. How many euros do Anna and Ben spend together?"
+    )
+    sums = "Compute 17 + 4 * 3 and then subtract 17 from the result. Divide what is left by 4 and add 3 to it, then round the number up to the next integer."
+    refill = lambda t, m: L.re.sub(r"\w+", lambda x: m.get(x[0], x[0]), t)
+    items = [(1, word), (2, sums)]
+    assert leaks(around(refill(word, {"Anna": "Petra", "Ben": "Oskar", "12": "31", "7": "19", "3": "5", "2": "8"})), items, free=True) == [1]
+    assert leaks(around(refill(sums, {"17": "205", "4": "9", "3": "61"})), items, free=True) == [2]
+    dense = " ".join(f"{WORDS[k]} Anna {WORDS[k + 9]} 12 {WORDS[k + 18]}" for k in range(9))
+    one, each = iter(range(1000, 2000)), lambda x: str(next(one)) if x[0].isdigit() else "Q" + L.re.sub(r"\d", lambda d: "abcdefghij"[int(d[0])], str(next(one)))
+    assert leaks(around(refill(dense, {"Anna": "Mia", "12": "44"})), [(4, dense)], free=True) == [4]
+    assert leaks(around(L.re.sub(r"\d+|Anna", each, dense)), [(4, dense)], free=True) == []  # one value, many replacements
+    assert leaks(around(refill(sums, {"17": "5", "4": "5", "3": "5"}) + " "), [(3, " ".join(["Take 17 then 4 then 3 off it"] * 5))], free=True) == []
+
+
+def test_recall_on_generated_templates():
+    r = random.Random(11)
+    names, found, n = ["Mia", "Noah", "Lena", "Omar", "Ines", "Karl", "Yuki", "Zoe"], 0, 60
+    for _ in range(n):
+        who = r.sample(names, 4)
+        nums = r.sample(range(10, 9000), 8)
+        make = lambda a, b, v: " ".join(
+            f"{x} {a if k % 4 == 0 else b if k % 4 == 1 else v[k % 4]}" if k % 3 == 0 else x for k, x in enumerate(plain)
+        )
+        plain = r.choices(WORDS, k=36)
+        item, text = make(who[0], who[1], nums[:4]), make(who[2], who[3], nums[4:])
+        found += leaks(around(text), [(1, item)], free=True) == [1]
+    assert found >= 0.9 * n, found
+
+
+def test_all_slots_are_indexed():
+    w, t = L.words("take 1 2 3 4 5 6 7 8 9 from it")
+    h, b, e = L.windows(np.array([L._hash64(x) for x in w], dtype=np.uint64), np.array(list(t), dtype="U1"))
+    assert (0, 12) in {(int(x), int(y)) for x, y in zip(b, e)}  # a window reaches over a run of numbers
+
+
+def test_instructions_are_cut(spark):
     a, b = "Read the passage about all of these many different things and then answer in one short sentence please now.", NOISE[0]
-    assert L.strip_instructions([a + "\n" + b, a + "\n" + NOISE[1], b + "\n" + NOISE[2]]) == [b, NOISE[1], b + "\n" + NOISE[2]]
-    assert L.strip_instructions([a + "\n" + b, a + "\n" + b]) == [a + "\n" + b] * 2  # a repeated item shares everything
+
+    def cut(texts):
+        df = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+        return [r["words"] for r in L.item_words(df).orderBy("item_id").collect()]
+
+    low = lambda t: " ".join(L.words(t)[0])
+    assert cut([a + "\n" + b, a + "\n" + NOISE[1], b + "\n" + NOISE[2]]) == [low(b), low(NOISE[1]), low(b + "\n" + NOISE[2])]
+    assert cut([a + "\n" + b, a + "\n" + b]) == [low(a + "\n" + b)] * 2  # a repeated item shares everything
 
 
 def test_table(spark):
@@ -74,12 +129,16 @@ def test_table(spark):
     assert L.leaked_items(docs.limit(0), items).count() == 0 and L.leaked_items(docs, items.limit(0)).count() == 0
 
 
-def test_blocks_do_not_change_the_result(spark, monkeypatch):
-    docs = spark.createDataFrame([(k, around(" ".join(NOISE[k].split()[:30]), 6)) for k in range(6)], "doc_id long, text string")
-    items = spark.createDataFrame([(k, NOISE[k]) for k in range(6)], "item_id long, text string")
-    want = sorted(map(tuple, L.leaked_items(docs, items).collect()))
-    monkeypatch.setattr(L, "BLOCK_WORDS", 90)
-    assert len(L.item_blocks(items)) >= 3 and sorted(map(tuple, L.leaked_items(docs, items).collect())) == want and len(want) == 6
+def test_placeholders_matter(spark):
+    often = " ".join(f"{WORDS[k]} Anna {WORDS[k + 9]} 12 {WORDS[k + 18]}" for k in range(9))  # two values, each refilled once
+    many = " ".join(f"{WORDS[k]} Name{chr(97 + k)} {WORDS[k + 9]} {10 + k} {WORDS[k + 18]}" for k in range(9))
+    refilled = L.re.sub(r"\d+", lambda x: str(900 - int(x[0])), L.re.sub("Name", "Other", many))
+    rows = [(1, around(often)), (2, around(often.replace("Anna", "Mira").replace("12", "40"))), (3, NOISE[4]), (4, around(many)), (5, around(refilled)), (5, around(refilled))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, often), (2, many)], "item_id long, text string")
+    assert sorted(tuple(r) for r in L.leaked_items(docs, items).collect()) == [(1, 1), (2, 1), (4, 2)]
+    assert [tuple(r)[:2] for r in L.reparameterised_items(docs, items).collect()] == [(5, 2), (5, 2)]
+    assert {r["doc_id"] for r in L.leaks(docs, items, templates=False).collect()} == {1, 4}
 
 
 def test_every_placement_of_two_changes_in_a_shortest_passage():
