@@ -30,13 +30,14 @@ from collections import defaultdict
 from html import unescape
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.functions.mask import MASK_BITS, packed_mask
 from codelattice.llm.batches import map_rows
 from codelattice.operators.skew import heavy_shards, sharded_join
-from codelattice.session import cut
+from codelattice.session import cut, ship
 
 WINDOW = 5  # words of a shared window at least: 18 words with two changes hold an unchanged run of at least six
 PLAIN = 3  # of them that are no placeholders
@@ -49,8 +50,9 @@ KNOWN = 400_000  # words a task remembers
 _TAG = re.compile(r"</?(?:a|b|i|u|s|p|q|em|br|hr|li|ol|ul|dl|dt|dd|td|th|tr|h[1-6]|pre|sub|sup|div|tt|kbd|del|ins|code|span|font|mark|small|strong|table|tbody|thead|blockquote|details|summary|section|article|img|abbr|cite|samp|var|center)\b[^<>]{0,300}>", re.I)
 _LINK = re.compile(r"\]\((?:https?:|\.{0,2}/|#|www\.)[^()\s]*\)")
 _LINE_NO = re.compile(r"^[ \t>|*#/-]*(?:[Ll](?:ine[ \t]*)?)?\d{1,5}[ \t]*[.):|]?[ \t]+(?=\S)", re.M)
-_PIECE = re.compile(r"\w+(?:[-'’]\w+)*|[.!?:](?=\s)|\n[ \t]*\n")  # words, and marks after which a sentence begins
-_INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x200E, 0x200F, 0x180E, *range(0xFE00, 0xFE10)])
+_PIECE = re.compile(r"\w+(?:[-'’‐‑]\w+)*|[.!?:](?=\s)|\n[ \t]*\n")  # words, and marks after which a sentence begins
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff\u180e\ufe00-\ufe0f]+")
+_COMBINING = re.compile("[\u0300-\u036f]")
 # Letters of other scripts that look like Latin ones, and hyphens.
 _LOOK = str.maketrans(
     "АВЕЅІЈКМНОРСТУХ" + "аеорсухіјѕԁһӏԛԝ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" + "αικνορτυχ" + "‐‑",
@@ -69,19 +71,21 @@ class Vocabulary:
     def __init__(self):
         self.ids: dict[str, int] = {}
         self.low: list[str] = []
-        self.plain, self.mid, self.first, self.skip = (np.zeros(1 << 12, dtype=d) for d in (np.uint64, "U1", "U1", bool))
+        self.plain, self.mid, self.first, self.skip = (np.zeros(1 << 12, dtype=d) for d in (np.uint64, np.uint8, np.uint8, bool))
 
     def add(self, w: str) -> None:
         k = len(self.low)
         if k == len(self.plain):
             self.plain, self.mid, self.first, self.skip = (np.concatenate([a, np.zeros_like(a)]) for a in (self.plain, self.mid, self.first, self.skip))
         self.ids[w] = k
+        if not w.isascii():
+            w = plain_letters(w)
         word = w.strip("_").lower()
         self.low.append(word)
         self.skip[k] = re.match(r"\w", word) is None
         kind = NUMBER if _NUMBER.fullmatch(w) else UNIT if word in _UNITS else NAME if _CAMEL.search(w) else PLAINWORD
         capital = kind == PLAINWORD and w[:1].isupper()
-        self.mid[k], self.first[k] = (NAME, FIRST) if capital and len(w) > 1 else (kind, kind)
+        self.mid[k], self.first[k] = map(ord, (NAME, FIRST) if capital and len(w) > 1 else (kind, kind))
         self.plain[k] = _hash64(word)
 
     def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -103,9 +107,6 @@ class Vocabulary:
         kinds = np.where(begins, self.first[at], self.mid[at])
         return at[~marks], kinds[~marks]
 
-    def words(self, at: np.ndarray) -> list[str]:
-        low = self.low
-        return [low[k] for k in at.tolist()]
 
 
 def _hash64(word: str) -> int:
@@ -146,11 +147,11 @@ def windows(plain: np.ndarray, kinds: np.ndarray, templates: bool = True) -> tup
         return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     begin = np.arange(n - WINDOW + 1)
     found = [(_window_hashes(plain, begin, begin + WINDOW), begin, begin + WINDOW)]
-    slot = (kinds == NUMBER) | (kinds == UNIT) | (kinds == NAME)
+    slot = (kinds == ord(NUMBER)) | (kinds == ord(UNIT)) | (kinds == ord(NAME))
     if templates and slot.any():
         typed = plain.copy()
         for k, v in _SLOT.items():
-            typed[kinds == k] = v
+            typed[kinds == ord(k)] = v
         before = np.zeros(n + 1, dtype=np.int64)
         np.cumsum(~slot, out=before[1:])
         places = np.flatnonzero(~slot)
@@ -163,7 +164,7 @@ def windows(plain: np.ndarray, kinds: np.ndarray, templates: bool = True) -> tup
 
 
 def fold(text: str) -> str:
-    """A text without markup, links, line numbers and invisible characters, look-alike letters folded."""
+    """A text without markup, links, line numbers and invisible characters."""
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "&" in text:
@@ -172,60 +173,130 @@ def fold(text: str) -> str:
     if "](" in text:
         text = _LINK.sub("]", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text.translate(_INVISIBLE).translate(_LOOK))
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).translate(_LOOK)
+        text = _INVISIBLE.sub("", text)
+        if _COMBINING.search(text):
+            text = unicodedata.normalize("NFC", text)
     return text
 
 
-def words(text: str) -> tuple[list[str], str]:
-    """The words of a text, folded, and one letter for the kind of each."""
-    v = Vocabulary()
+def plain_letters(word: str) -> str:
+    """A word in its compatible form, without accents, look-alike letters as Latin ones."""
+    word = unicodedata.normalize("NFKC", word.translate(_LOOK))
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c)).translate(_LOOK)
+
+
+def words(text: str, v: Vocabulary | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the words of a text, folded, and a letter for the kind of each."""
+    v = v or Vocabulary()
     at, kinds = v.read(fold(text))
-    return v.words(at), "".join(kinds.tolist())
+    return v.plain[at], kinds
+
+
+def told(w: np.ndarray, kinds: np.ndarray) -> tuple[bytes, bytes]:
+    """Hashes and kinds as bytes, to be moved between tasks."""
+    return w.tobytes(), kinds.tobytes()
+
+
+def heard(w: bytes, kinds: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(w, dtype=np.uint64), np.frombuffer(kinds, dtype=np.uint8)
 
 
 # ---- alignment of a document's words with an item's -------------------------------------
 
 
-def passage(w: list[str], t: str, iw: list[str], it: str, hits: list[tuple[int, int, int]], free: bool = False) -> int:
-    """Words of the item in the longest passage that document words ``w`` of kinds ``t`` repeat; 0 if none is likely.
+def passages(w: np.ndarray, t: np.ndarray, iw: np.ndarray, it: np.ndarray, hits: list[tuple[int, int, int]], refills: bool = True) -> tuple[int, int]:
+    """Words of the item in the longest passage that document words ``w`` of kinds ``t`` repeat, and in the longest one
+    whose consistently refilled slots are no changes (not sought without ``refills``); 0 where a cheap test rules LEAST words out.
 
-    ``hits`` are the shared windows: place in the document, place in the item, length. With
-    ``free``, consistently refilled slots are no changes.
+    Words are hashes, kinds bytes; ``hits`` are the shared windows: place in the document, place in the item, length.
+    Without ``refills`` the first passage of LEAST words is enough.
     """
-    return _longest(w, t, iw, it, hits, free) if _may(w, t, iw, it, hits) else 0
+    repeat, refill = _may(w, t, iw, it, hits, refills)
+    if not repeat and not refill:
+        return 0, 0
+    lists = w.tolist(), t.tobytes().decode(), iw.tolist(), it.tobytes().decode()
+    repeated = _longest(*lists, hits, False, len(iw) if refills else LEAST) if repeat else 0
+    if repeated >= LEAST or not refill:
+        return repeated, repeated
+    return repeated, max(repeated, _longest(*lists, hits, True, len(iw)))
+
+
+def near_groups(hits: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Hits ``(diagonal, place in the item, length)`` in groups of neighbouring diagonals that hold SHARED windows of the item at least."""
+    hits = sorted((p - j, j, n) for p, j, n in hits)
+    if hits[-1][0] - hits[0][0] <= NEAR:
+        return [hits] if len({j for _, j, _ in hits}) >= SHARED else []
+    out, group = [], []
+    for h in hits:
+        if group and h[0] - group[-1][0] > NEAR:
+            out.append(group)
+            group = []
+        group.append(h)
+    out.append(group)
+    return [g for g in out if len({j for _, j, _ in g}) >= SHARED]
+
+
+def _may(w, t, iw, it, hits, refills) -> tuple[bool, bool]:
+    """Whether LEAST words of the item may be repeated, and whether they may be with refilled slots.
+
+    Needed for a leak, and cheap: the words of a passage lie near the diagonals of its shared
+    windows, and those that are found nowhere near their place are changes, of which a stretch has
+    few enough. Values of slots that are not found count once each for a repeated passage, and not
+    at all for a refilled one. More than LEAST words beyond the outermost windows only make a stretch
+    worse: there are no five of them without a change.
+    """
+    repeat = refill = False
+    for group in near_groups(hits):
+        lo, hi = group[0][0] - NEAR, group[-1][0] + NEAR
+        a, b = max(0, min(j for _, j, _ in group) - LEAST), min(len(iw), max(j + n for _, j, n in group) + LEAST)
+        if b - a < LEAST:
+            continue
+        asked = iw[a:b]
+        gone = ~(_around(w, a + lo, b - a, hi - lo + 1) == asked[:, None]).any(axis=1)
+        kind = _CLASS[it[a:b]]
+        cost = np.where(gone & (kind == 0), 1.0, 0.0)
+        if not _stretch(cost):
+            continue
+        slot = gone & (kind > 0)
+        if slot.any():
+            like = (_around(_CLASS[t], a + lo, b - a, hi - lo + 1) == kind[:, None]).any(axis=1)
+            cost[slot & ~like] = 1.0
+            slot &= like
+            refill = refill or refills and slot.any() and _stretch(cost)
+            met = set()
+            for k in np.flatnonzero(slot).tolist():
+                if (x := int(asked[k])) not in met:
+                    met.add(x)
+                    cost[k] = 1.0
+        repeat = repeat or _stretch(cost)
+        if repeat and (refill or not refills):
+            break
+    return repeat, refill
 
 
-def _may(w, t, iw, it, hits) -> bool:
-    """Whether some LEAST words of the item around the shared windows mostly occur near these in the document.
+def _around(x: np.ndarray, start: int, n: int, width: int) -> np.ndarray:
+    """``n`` windows of ``width`` of ``x`` from ``start`` on, zeros where they reach over its ends."""
+    end = start + n + width - 1
+    out = np.zeros(end - start, dtype=x.dtype)
+    p, q = max(0, start), min(len(x), end)
+    if p < q:
+        out[p - start : q - start] = x[p:q]
+    return out[np.arange(n)[:, None] + np.arange(width)]
 
-    Needed for a leak, and cheap: a passage of LEAST words with the changes allowed holds SHARED
-    windows at least, and all its words but the changed ones.
-    """
-    js = {j for _, j, _ in hits}
-    if len(js) < SHARED:
-        return False
-    reach = LEAST + GAP
-    near_w, near_t = set(), set()
-    for p, n in sorted({(p // WINDOW * WINDOW, n) for p, _, n in hits}):
-        near_w.update(w[max(0, p - reach) : p + reach + n])
-        near_t.update(t[max(0, p - reach) : p + reach + n])
-    near_t -= {PLAINWORD}
-    if near_t & {NAME, FIRST}:
-        near_t |= {NAME, FIRST}
-    last = max(j + n for _, j, n in hits)
-    need, a, b = LEAST - int(SLACK * LEAST + 0.5), max(0, min(js) - LEAST), last + LEAST
-    there = [x in near_w or y in near_t for x, y in zip(iw[a:b], it[a:b])]
-    n = sum(there[: LEAST - 1])
-    for k in range(LEAST - 1, len(there)):
-        n += there[k]
-        if n >= need:
-            return True
-        n -= there[k - LEAST + 1]
-    return False
-
-
-def _longest(w, t, iw, it, hits, free) -> int:
+
+def _stretch(cost: np.ndarray) -> bool:
+    """Whether some LEAST or more words in a row have few enough changes."""
+    sums = np.zeros(len(cost) + 1)
+    np.cumsum(cost - SLACK, out=sums[1:])
+    return bool((sums[LEAST:] - np.maximum.accumulate(sums[: len(sums) - LEAST]) <= 0.5 + 1e-9).any())
+
+
+NEAR = 8  # words by which changes may shift a passage
+_CLASS = np.zeros(256, dtype=np.uint8)  # kinds that can fill each other's slots
+_CLASS[[ord(NUMBER), ord(UNIT), ord(NAME), ord(FIRST)]] = 1, 2, 3, 3
+
+
+def _longest(w, t, iw, it, hits, free, enough) -> int:
     """Runs of shared windows are chained in order; the words between two runs are aligned by
     edit distance, and so are the words before the first and after the last one."""
     runs = []
@@ -253,7 +324,7 @@ def _longest(w, t, iw, it, hits, free) -> int:
                 last = r
         done.update(chain)
         best = max(best, _passage(w, t, iw, it, chain, free))
-        if best >= len(iw):
+        if best >= enough:
             break
     return best
 
@@ -344,22 +415,20 @@ def item_words(items: DataFrame) -> DataFrame:
     """``item_id, words, kinds`` of each item, its leading line cut off if items that go on differently share it."""
 
     def make():
-        def told(t):
-            w, k = words(t)
-            return " ".join(w), k
+        v = Vocabulary()
 
         def ends(t):
             head, nl, tail = t.strip().partition("\n")
-            return (told(head)[0], told(tail)[0]) if nl else (None, None)
+            return (words(head, v)[0].tobytes(), words(tail, v)[0].tobytes()) if nl else (None, None)
 
         def run(ids, texts):
-            rows = [(i, *told(t), *told(t.strip().partition("\n")[2]), *ends(t)) for i, t in zip(ids, texts)]
+            rows = [(i, *told(*words(t, v)), *told(*words(t.strip().partition("\n")[2], v)), *ends(t)) for i, t in zip(ids, texts)]
             return list(map(list, zip(*rows))) if rows else [[] for _ in range(7)]
 
         return run
 
     rows = items.where("text is not null and item_id is not null").select("item_id", "text")
-    rows = cut(map_rows(rows, make, "item_id bigint, words string, kinds string, tail string, tail_kinds string, head string, rest string"))
+    rows = cut(map_rows(rows, make, "item_id bigint, words binary, kinds binary, tail binary, tail_kinds binary, head binary, rest binary"))
     heads = cut(rows.where("head is not null").groupBy("head").agg(F.count_distinct("rest").alias("ways"), F.count("*").alias("n")))
     shared = heads.where("ways > 1").select("head", F.lit(True).alias("shared"))
     rows = sharded_join(rows, shared, ["head"], heavy_shards(heads.select("head", "n"), ["head"]), F.col("item_id"), "left")
@@ -373,9 +442,8 @@ def item_windows(items: DataFrame, templates: bool = True) -> DataFrame:
     def make():
         def run(ids, texts, kinds):
             out = []
-            for i, t, k in zip(ids, texts, kinds):
-                hashes = np.array([_hash64(w) for w in t.split(" ")] if t else [], dtype=np.uint64)
-                h, b, e = windows(hashes, np.array(list(k), dtype="U1"), templates)
+            for i, *wk in zip(ids, texts, kinds):
+                h, b, e = windows(*heard(*wk), templates)
                 out += [(x, i, int(p), int(q - p)) for x, p, q in zip(h.view(np.int64).tolist(), b, e)]
             return list(map(list, zip(*out))) if out else [[] for _ in range(4)]
 
@@ -385,7 +453,7 @@ def item_windows(items: DataFrame, templates: bool = True) -> DataFrame:
 
 
 def candidates(documents: DataFrame, item_w: DataFrame, templates: bool = True) -> DataFrame:
-    """``doc_id, text_id, words, kinds, hits`` of the documents with SHARED windows that may be an item's; equal words have one ``text_id``."""
+    """``doc_id, text_id, words, kinds, h, p`` (hash and place of each window) of the documents with SHARED windows that may be an item's; equal words have one ``text_id``."""
     sent = documents.sparkSession.sparkContext.broadcast(packed_mask(item_w))  # 2^MASK_BITS bits
 
     def make():
@@ -400,25 +468,26 @@ def candidates(documents: DataFrame, item_w: DataFrame, templates: bool = True)
                 at, kinds = v.read(fold(text))
                 if len(at) < LEAST * (1 - SLACK) - 1:
                     continue
-                h, begin, _ = windows(v.plain[at], kinds, templates)
+                hashes = v.plain[at]
+                h, begin, _ = windows(hashes, kinds, templates)
                 bit = h & low
                 seen = (mask[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)
                 k = np.flatnonzero(seen)
                 if len(k) >= SHARED:
-                    w, c = " ".join(v.words(at)), "".join(kinds.tolist())
-                    key = hashlib.blake2b(w.encode() + b"\0" + c.encode(), digest_size=16).digest()
-                    out.append((d, key, w, c, [{"h": x, "p": p} for x, p in zip(h[k].view(np.int64).tolist(), begin[k].tolist())]))
-            return list(map(list, zip(*out))) if out else [[] for _ in range(5)]
+                    w, c = told(hashes, kinds)
+                    key = hashlib.blake2b(w + c, digest_size=16).digest()
+                    out.append((d, key, w, c, h[k].view(np.int64), begin[k].astype(np.int32)))
+            return list(map(list, zip(*out))) if out else [[] for _ in range(6)]
 
         return run
 
-    schema = "doc_id bigint, text_id binary, words string, kinds string, hits array<struct<h:bigint,p:int>>"
+    schema = "doc_id bigint, text_id binary, words binary, kinds binary, h array<bigint>, p array<int>"
     return map_rows(documents.select("doc_id", "text"), make, schema)
 
 
-def leaks(documents: DataFrame, items: DataFrame, templates: bool = True) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, templates: bool = True, refills: bool = True) -> DataFrame:
     """``doc_id, item_id, repeated, refilled``: words of the longest passage of the item that the document repeats, and
-    of the longest one with consistently refilled slots taken for equal; one of them is LEAST at least.
+    of the longest one with consistently refilled slots taken for equal (the same without ``refills``); one of them is LEAST at least.
 
     Null and blank texts repeat nothing; repeated documents count each, so a ``doc_id`` that comes
     twice gives its rows twice. Items shorter than the least passage cannot leak; without items
@@ -427,32 +496,39 @@ def leaks(documents: DataFrame, items: DataFrame, templates: bool = True) -> Dat
     items = cut(item_words(items))
     item_w = cut(item_windows(items, templates))
     docs = cut(candidates(documents, item_w, templates))
-    texts = docs.groupBy("text_id").agg(F.first(F.struct("words", "kinds", "hits")).alias("_t"), F.count("*").alias("n"))
-    texts = cut(texts.select("text_id", "_t.words", "_t.kinds", "_t.hits", "n"))
-    hits = texts.select("text_id", F.explode("hits").alias("_h")).select("text_id", "_h.h", "_h.p")
+    texts = docs.groupBy("text_id").agg(F.first(F.struct("words", "kinds", "h", "p")).alias("_t"), F.count("*").alias("n"))
+    texts = cut(texts.select("text_id", "_t.*", "n"))
+    hits = texts.select("text_id", F.explode(F.arrays_zip("h", "p")).alias("_h")).select("text_id", "_h.h", "_h.p")
     load = cut(hits.groupBy("h").agg(F.count("*").alias("n")))
     met = sharded_join(hits, item_w, ["h"], heavy_shards(load, ["h"]), F.xxhash64("text_id", "p"))
-    pairs = met.groupBy("text_id", "item_id").agg(F.collect_set(F.struct("p", "j", "n")).alias("at"), F.count_distinct("j").alias("js"))  # places of one text
-    pairs = cut(pairs.where(F.col("js") >= SHARED).drop("js"))
-    heavy = lambda c: heavy_shards(pairs.groupBy(c).agg(F.count("*").alias("n")), [c])
-    rows = sharded_join(pairs, texts.select("text_id", "words", "kinds"), ["text_id"], heavy("text_id"), F.col("item_id"))
-    rows = sharded_join(rows, items.select("item_id", F.col("words").alias("asked"), F.col("kinds").alias("asked_kinds")), ["item_id"], heavy("item_id"), F.col("text_id"))
-
-    def make():
-        def run(keys, ids, at, ws, ks, iws, iks):
-            out = []
-            for key, i, a, w, k, iw, ik in zip(keys, ids, at, ws, ks, iws, iks):
-                args = w.split(" "), k, iw.split(" "), ik, [(x["p"], x["j"], x["n"]) for x in a]
-                r = passage(*args)
-                f = max(r, passage(*args, free=True)) if any(c in "nuN" for c in ik) else r
-                if max(r, f) >= LEAST:
-                    out.append((key, i, r, f))
-            return list(map(list, zip(*out))) if out else [[] for _ in range(4)]
-
-        return run
-
-    rows = rows.select("text_id", "item_id", "at", "words", "kinds", "asked", "asked_kinds")
-    told = map_rows(rows, make, "text_id binary, item_id bigint, repeated int, refilled int")
+    place = F.array(F.col("p") - F.col("j"), F.col("p"), F.col("j"), F.col("n"))
+    pairs = met.groupBy("text_id", "item_id").agg(F.array_sort(F.collect_list(place)).alias("at"))  # places of one text
+    close = F.exists(F.sequence(F.lit(SHARED), F.size("at")), lambda i: F.element_at("at", i)[0] - F.element_at("at", i - SHARED + 1)[0] <= (SHARED - 1) * NEAR)
+    pairs = cut(pairs.where(F.size("at") >= SHARED).where(close))
+    load = cut(pairs.groupBy("item_id").agg(F.count("*").alias("n")))
+    asked = sharded_join(pairs, items, ["item_id"], heavy_shards(load, ["item_id"]), F.col("text_id"))
+    rows = asked.groupBy("text_id").agg(F.collect_list(F.struct("item_id", "words", "kinds", F.flatten("at").alias("at"))).alias("asked"))  # items of one text
+    rows = rows.join(texts.select("text_id", "words", "kinds"), "text_id")
+
+    def verify(batches):
+        for b in batches:
+            keys, ws, ks, lists = b.column("text_id"), b.column("words"), b.column("kinds"), b.column("asked")
+            items = lists.flatten()
+            ids, iws, iks, places = (items.field(k) for k in range(4))
+            ends, at = places.offsets.to_numpy(), places.values.to_numpy().reshape(-1, 4)[:, 1:]
+            ids, ends, out, k = ids.to_pylist(), ends // 4, [], 0
+            for row, n in enumerate(lists.value_lengths().to_pylist()):
+                wk = heard(ws[row].as_py(), ks[row].as_py())
+                for k in range(k, k + n):
+                    r, f = passages(*wk, *heard(iws[k].as_py(), iks[k].as_py()), at[ends[k] : ends[k + 1]].tolist(), refills)
+                    if f >= LEAST:
+                        out.append((keys[row].as_py(), ids[k], r, f))
+                k += n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), found)] if out else [pa.array([], f.type) for f in found], schema=found)
+
+    found = pa.schema([("text_id", pa.binary()), ("item_id", pa.int64()), ("repeated", pa.int32()), ("refilled", pa.int32())])
+    ship(docs.sparkSession)
+    told = rows.select("text_id", "asked", "words", "kinds").mapInArrow(verify, "text_id binary, item_id bigint, repeated int, refilled int")
     told = told.groupBy("text_id", "item_id").agg(F.max("repeated").alias("repeated"), F.max("refilled").alias("refilled"))
     copies = heavy_shards(texts.select("text_id", "n"), ["text_id"])
     return sharded_join(docs.select("doc_id", "text_id"), told, ["text_id"], copies, F.col("doc_id")).drop("text_id")
@@ -460,7 +536,7 @@ def leaks(documents: DataFrame, items: DataFrame, templates: bool = True) -> Dat
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id``: one row per document row and item of which it repeats a passage (see ``leaks``)."""
-    return leaks(documents, items).where(F.col("repeated") >= LEAST).select("doc_id", "item_id")
+    return leaks(documents, items, refills=False).select("doc_id", "item_id")
 
 
 def reparameterised_items(documents: DataFrame, items: DataFrame) -> DataFrame:
