@@ -17,13 +17,16 @@ from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelattice.functions.mask import mask_of, may_hold
 from codelattice.llm.batches import map_rows
 from codelattice.llm.comments import strip_marks
 from codelattice.llm.markup import convert
 from codelattice.model import norm_id
+from codelattice.operators.skew import heavy_shards, sharded_join
+from codelattice.session import cut
 
 # ---- documentation islands -------------------------------------------------------------
 
@@ -497,36 +500,55 @@ def parse_functions(text: str | None, ext: str) -> list[tuple[str, int, int, str
     return out
 
 
-def function_islands(files: DataFrame) -> DataFrame:
-    """``file, rank, name, start_line, end_line, doc, signature, code`` of the newest version of each file."""
+_ISLAND = ["file", "rank", "name", "start_line"]
+
+
+def file_islands(files: DataFrame) -> DataFrame:
+    """``file, rank, name, start_line, doc, signature, code`` of the function islands of every version of each file.
+
+    A version has one more row, without a name, which tells that it is there even if it has no islands.
+    """
 
     def make():
         def run(paths, whens, texts):
-            out = [(p, w, *f) for p, w, t in zip(paths, whens, texts) for f in parse_functions(t, p.rpartition(".")[2])]
-            return [list(c) for c in zip(*out)] if out else [[] for _ in range(8)]
+            out = [(p, w, *f) for p, w, t in zip(paths, whens, texts) for f in [(None,) * 5, *((n, a, d, g, c) for n, a, _, d, g, c in parse_functions(t, p.rpartition(".")[2]))]]
+            return [list(c) for c in zip(*out)] if out else [[] for _ in range(7)]
 
         return run
 
-    rows = files.where("path is not null and content is not null").select(
-        norm_id("path").alias("path"), F.struct(F.coalesce("mtime_ms", F.lit(-1.0)).alias("mtime_ms"), F.length("content").alias("n")).alias("rank"), "content"
-    )
-    schema = "file string, rank struct<mtime_ms:double,n:int>, name string, start_line int, end_line int, doc string, signature string, code string"
-    islands = map_rows(rows, make, schema)
-    newest = rows.groupBy(F.col("path").alias("file")).agg(F.max("rank").alias("rank"))
-    return islands.join(newest, ["file", "rank"], "left_semi").dropDuplicates(["file", "name", "start_line"])
+    rank = F.struct(F.coalesce("mtime_ms", F.lit(-1.0)).alias("mtime_ms"), F.coalesce(F.length("content"), F.lit(-1)).alias("n"))
+    rows = files.where("path is not null").select(norm_id("path").alias("path"), rank.alias("rank"), "content")
+    return map_rows(rows, make, "file string, rank struct<mtime_ms:double,n:int>, name string, start_line int, doc string, signature string, code string")
 
 
 def function_pairs(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """``id, name, description, signature, code``: the documented functions with their code.
 
-    Code and node agree on file and name; of namesakes in a file the island nearest to the
-    node's line is taken (the first one if the node has no line). Functions whose file or code
-    is not there have no pair.
+    Code and node agree on file and name; of namesakes in a file the island on the node's line is
+    taken, else the nearest one (the first one if the node has no line). Functions whose file or
+    code is not there have no pair. Repeated rows of a file count once.
+
+    Files are parsed in one pass; the islands are written as they come, and which one belongs to a
+    function is settled by lines alone: an equality join on (file, name, line), and for what is left
+    one row per file and name with its lines, so namesakes are never paired with each other. Code
+    is moved once, and only that of islands which were chosen.
     """
     judged = judged_versions(nodes)
     cur = judged.groupBy("id").agg(F.max(F.struct("at", "ord", "name", "file", "start_line", "description")).alias("_r")).select("id", "_r.*")
-    cur = cur.where("description is not null and file is not null").drop("at", "ord")
-    code = function_islands(files).select("file", "name", F.col("start_line").alias("at_line"), "signature", "code")
-    near = Window.partitionBy("id").orderBy(F.abs(F.coalesce("start_line", F.lit(0)) - F.col("at_line")), "at_line")
-    pairs = cur.join(code, ["file", "name"]).withColumn("_n", F.row_number().over(near)).where("_n = 1")
-    return pairs.select("id", "name", "description", "signature", "code")
+    cur = cut(cur.where("description is not null and file is not null and name is not null").drop("at", "ord"))
+    islands = cut(file_islands(files))
+    light = islands.select(*_ISLAND)
+    newest = light.groupBy("file").agg(F.max("rank").alias("rank"))
+    lines = light.where("name is not null").join(newest, ["file", "rank"], "left_semi").distinct()
+    lines = cut(lines.select("file", "rank", "name", F.col("start_line").alias("at_line")))
+    exact = cur.join(lines.withColumn("start_line", F.col("at_line")), ["file", "name", "start_line"])
+    rest = cut(cur.join(exact.select("id"), "id", "left_anti"))
+    all_ = lines.groupBy("file", "rank", "name").agg(F.collect_list("at_line").alias("lines"))  # of one file's text
+    heavy = heavy_shards(cut(rest.groupBy("file", "name").agg(F.count("*").alias("n"))), ["file", "name"])
+    moved = sharded_join(rest, all_, ["file", "name"], heavy, F.col("id"))
+    near = F.array_min(F.transform("lines", lambda x: F.struct(F.abs(F.coalesce("start_line", F.lit(0)) - x).alias("d"), x.alias("at_line"))))
+    chosen = exact.unionByName(moved.withColumn("at_line", near["at_line"]).drop("lines"))
+    chosen = cut(chosen.select("id", "description", "file", "rank", "name", F.col("at_line").alias("start_line")))
+    key = F.xxhash64("file", "rank.mtime_ms", "rank.n", "name", "start_line")
+    some = may_hold(islands.where("name is not null").select(*_ISLAND, "signature", "code"), mask_of(chosen.select(key.alias("h"))), key)
+    return chosen.join(some.dropDuplicates(_ISLAND), _ISLAND).select("id", "name", "description", "signature", "code")

@@ -43,16 +43,14 @@ class Layout:
     run: int = 60  # characters of an unbroken encoded run
     run_share: float = 0.3  # of the text in such runs
     repeats: float = 0.72  # share of lines whose form, digits aside, came before
-    min_lines: int = 10
+    min_lines: int = 10  # of repeated forms
+    min_tokens: int = 40  # of a table of literals, on however few lines
 
 
 DEFAULT = Layout()
 #: Scripts are the ones that get minified; the others tolerate dense lines, as generics and macros make them.
 LAYOUTS = {"js": DEFAULT, "ts": DEFAULT, "tsx": DEFAULT, "py": Layout(min_space=0.06), "go": Layout(min_space=0.06), "java": Layout(min_space=0.06), "cpp": Layout(min_space=0.06), "rs": Layout(min_space=0.06)}
 
-#: Folders whose name says that another project's files lie in them.
-COPY_FOLDERS = {"vendor", "third_party", "third-party", "thirdparty", "node_modules", "bower_components"}
-
 _TOOL_MARK = re.compile(
     r"""<auto-?generated | \bcode\ generated\ by\b | (?<![\w.])@generated\b | \bauto-?\ ?generated\ (?:file|code|by|from|source)\b
     | \bautomatically\ (?:generated|produced|created|written)\b
@@ -82,47 +80,81 @@ _A, _B = (_R.integers(0, 1 << 63, N, dtype=np.uint64) * np.uint64(2) + np.uint64
 _POWERS = np.array([pow(1000003, k, 1 << 64) for k in range(5)], dtype=np.uint64)
 
 
-def leading_comments(text: str, most: int = 40) -> str:
-    """The comment lines, up to ``most`` lines of them, before the first line of code."""
-    out = []
-    for line in text.split("\n", most)[:most]:
-        if line.strip() and not _COMMENT.match(line) and not (out and _inside(out)):
-            break
-        out.append(line)
-    return "\n".join(out)
-
-
-def _inside(lines: list[str]) -> bool:
-    text = "\n".join(lines)
-    return text.rfind("/*") > text.rfind("*/")
-
-
-def layout_kind(text: str, ext: str, words: list[str] | None = None) -> str | None:
+def leading_comments(text: str) -> str:
+    """All comment lines before the first line of code, blocks and docstrings whole, however long."""
+    at, until = 0, None  # until: what closes the block that is open
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end]
+        if until is None:
+            if opened := _BLOCK.match(line):
+                until = _CLOSES[opened["open"]]
+                line = line[opened.end() :]
+            elif line.strip() and not _COMMENT.match(line):
+                break
+        if until is not None and (k := line.find(until)) >= 0:
+            if line[k + len(until) :].strip(" \t\r;"):
+                at = end + 1  # code follows in the line
+                break
+            until = None
+        at = end + 1
+    return text[:at].removesuffix("\n")
+
+
+_BLOCK = re.compile(r"\s*(?:[rRuUbB]{0,2}(?P<open>/\*|<!--|\"{3}|'{3}))")
+_CLOSES = {"/*": "*/", "<!--": "-->", '"""': '"""', "'" * 3: "'" * 3}
+
+#: Layout statistics of a text, as Spark expressions over the column ``content``.
+LAYOUT_SQL = {
+    "n": "length(content)",
+    "n_lines": "size(filter(split(content, '\n'), x -> x rlike '\\\\S'))",
+    "line_chars": "aggregate(filter(split(content, '\n'), x -> x rlike '\\\\S'), 0, (a, x) -> a + length(x))",
+    "max_line": "aggregate(filter(split(content, '\n'), x -> x rlike '\\\\S'), 0, (a, x) -> greatest(a, length(x)))",
+    "space": "length(content) - length(translate(content, ' \n\t\r', ''))",
+    "digits": "length(content) - length(translate(content, '0123456789', ''))",
+}
+
+
+def layout_statistics(files: DataFrame) -> DataFrame:
+    """``files`` with the columns of LAYOUT_SQL; ``n_lines``, ``line_chars`` and ``max_line`` are of lines that are not blank, null for a null text."""
+    return files.withColumns({k: F.expr(v).cast("int") for k, v in LAYOUT_SQL.items()})
+
+
+def text_statistics(text: str) -> tuple[int, ...]:
+    """The same of one text."""
+    lengths = [len(x) for x in text.split("\n") if x.strip()]
+    return len(text), len(lengths), sum(lengths), max(lengths, default=0), sum(map(text.count, " \n\t\r")), sum(map(text.count, "0123456789"))
+
+
+def layout_kind(text: str, ext: str, words: list[str] | None = None, stats: tuple[int, ...] | None = None) -> str | None:
     """'minified', 'data', 'repetitive' or None, from the statistics of the whole text."""
     lim = LAYOUTS.get(ext, DEFAULT)
-    lines = [x for x in text.split("\n") if x.strip()]
-    if not lines:
+    n, n_lines, chars, longest, space, digits = stats or text_statistics(text)
+    if not n_lines:
         return None
-    n = len(text)
-    lengths = [len(x) for x in lines]
-    space = sum(map(text.count, " \n\t\r")) / n
-    mean = sum(lengths) / len(lines)
+    space, mean = space / n, chars / n_lines
     if max(map(len, text.split())) >= lim.run:
         alnum = len(text.encode("latin-1", "replace").translate(None, _NOT_WORD)) / n
         if alnum > 0.6 and sum(map(len, _RUN.findall(text))) > lim.run_share * n:
             return "data"
-    if n >= 300 and space < lim.min_space and (mean > lim.mean_line or max(lengths) > lim.max_line):
+    if n >= 300 and space < lim.min_space and (mean > lim.mean_line or longest > lim.max_line):
         return "minified"
-    if len(lines) >= lim.min_lines:
-        if sum(map(text.count, "0123456789")) > lim.digit_share * n and len(_NUMBER.findall(text)) > lim.number_share * len(words or _TOKEN.findall(text)):
-            return "data"
-        forms = len(set(_DIGITS.sub("0", "\n".join(lines)).split("\n")))
-        if 1 - forms / len(lines) > lim.repeats:
-            return "repetitive"
-        # rows of literals: brackets, strings and numbers only, and no name outside quotes
-        rows = [x for x in lines if x.lstrip()[0] in "[](){},;:\"'+-0123456789tfnTFN"]
-        if len(rows) > 0.8 * len(lines) and sum(1 for x in rows if _LITERAL_ROW.fullmatch(x)) > 0.8 * len(lines):
+    words = _TOKEN.findall(text) if words is None else words
+    if len(words) < lim.min_tokens and n_lines < lim.min_lines:
+        return None
+    if digits > lim.digit_share * n and len(_NUMBER.findall(text)) > lim.number_share * len(words):
+        return "data"
+    lines = [x for x in text.split("\n") if x.strip()]
+    if n_lines >= lim.min_lines and 1 - len(set(_DIGITS.sub("0", "\n".join(lines)).split("\n"))) / n_lines > lim.repeats:
+        return "repetitive"
+    # rows of literals: brackets, strings and numbers only, and no name outside quotes
+    rows = [x for x in lines if x.lstrip()[0] in "[](){},;:\"'+-0123456789tfnTFN"]
+    if n_lines >= lim.min_lines:
+        if len(rows) > 0.8 * n_lines and sum(1 for x in rows if _LITERAL_ROW.fullmatch(x)) > 0.8 * n_lines:
             return "data"
+    elif sum(map(len, rows)) > 0.8 * chars and sum(len(x) for x in rows if _LITERAL_ROW.fullmatch(x)) > 0.8 * chars:  # a few long rows
+        return "data"
     return None
 
 
@@ -140,8 +172,8 @@ def gram_hashes(words: list[str]) -> np.ndarray:
 
 
 def sketch(grams: np.ndarray) -> list[int] | None:
-    """64 minhashes, 16 bits of each; None below 20 grams."""
-    if len(grams) < 20:
+    """64 minhashes, 16 bits of each; None without grams."""
+    if not len(grams):
         return None
     return ((grams[:, None] * _A + _B) >> np.uint64(32)).min(axis=0).astype(np.uint16).astype(np.int16).tolist()
 
@@ -178,6 +210,12 @@ def _sent(grams: DataFrame, block: int):
     return grams.sparkSession.sparkContext.broadcast(np.sort(got.view(np.uint64)))
 
 
+def repository(path: str) -> str:
+    """The repository of a path: the folder below the root folder of an absolute path, the first folder of a relative one."""
+    parts = path.split("/")
+    return parts[2] if len(parts) > 3 and not parts[0] else parts[0]
+
+
 def file_features(files: DataFrame, upstream: DataFrame) -> DataFrame:
     """``path, kind, repo, sketch, cls`` of the newest version of each path; ``kind`` null where it and the upstream texts show nothing.
 
@@ -191,19 +229,19 @@ def file_features(files: DataFrame, upstream: DataFrame) -> DataFrame:
     def make():
         known = sent.value
 
-        def run(paths, whens, contents):
+        def run(paths, whens, contents, *stats):
             kinds, sketches, classes, sizes, seen = [], [], [], [], []
-            for path, text in zip(paths, contents):
+            for path, text, *told in zip(paths, contents, *stats):
                 kind = sk = cls = size = hits = None
                 if text and text.strip():
                     head = leading_comments(text)
                     words = _TOKEN.findall(text)
-                    kind = layout_kind(text, path.rpartition(".")[2].lower(), words)
+                    kind = layout_kind(text, path.rpartition(".")[2].lower(), words, tuple(told))
                     if kind is None and _TOOL_MARK.search(head):
                         kind = "generated"
                     if kind is None:
                         grams = gram_hashes(words)
-                        if _COPY_MARK.search(head) or COPY_FOLDERS & set(path.split("/")[:-1]):
+                        if _COPY_MARK.search(head):
                             kind = "copied"
                         sk = sketch(grams)
                         if sk:
@@ -213,12 +251,12 @@ def file_features(files: DataFrame, upstream: DataFrame) -> DataFrame:
                 classes.append(cls)
                 sizes.append(size)
                 seen.append(hits)
-            return paths, whens, kinds, [p.split("/")[2] if p.count("/") > 2 else p.split("/")[0] for p in paths], sketches, classes, sizes, seen
+            return paths, whens, kinds, list(map(repository, paths)), sketches, classes, sizes, seen
 
         return run
 
-    rows = files.where("path is not null").select(
-        norm_id("path").alias("path"), F.struct(F.col("mtime_ms"), F.length("content").alias("n")).alias("rank"), "content"
+    rows = layout_statistics(files.where("path is not null")).select(
+        norm_id("path").alias("path"), F.struct(F.col("mtime_ms"), F.length("content").alias("n")).alias("rank"), "content", *LAYOUT_SQL
     )
     schema = "path string, rank struct<mtime_ms:double,n:int>, kind string, repo string, sketch array<smallint>, cls bigint, size int, hits int"
     newest = F.max(F.struct("rank", "kind", "repo", "sketch", "cls", "size", "hits")).alias("_r")

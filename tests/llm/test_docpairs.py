@@ -87,3 +87,24 @@ def test_constructors_and_calls():
     java = "class A {\n  A(int a) {\n    if (a) { run(() -> { }); }\n    new B() { };\n    return new C(a) { };\n  }\n}\n"
     assert [x[:3] for x in parse_functions(java, "java")] == [("A", 2, 6)]
     assert [x[0] for x in parse_functions("run(a, () => {\n  g();\n});\nif (a) {\n}\nconst x = 5;\nconst y = [1].map((a) => a);\n", "ts")] == []
+
+
+def test_namesakes_are_not_paired_with_each_other(spark, monkeypatch):
+    from codelattice.llm import docpairs
+
+    n = 600
+    src = "".join(f"class C{k} {{\n  run(a) {{ return {k}; }}\n}}\n" for k in range(n))
+    rows = [(k, f"/m.ts::C{k}.run", "function", "run", "/m.ts", 3 * k + 2 + (k % 5 == 0), None, f"Never blocks on {k}.", None, "x") for k in range(n)]
+    nodes = spark.createDataFrame(rows, NODE)
+    files = spark.createDataFrame([("/m.ts", 2.0, src, "n")] * 2 + [("/m.ts", 3.0, "", "n")][:0], "path string, mtime_ms double, content string, name string")
+    sizes, keep = [], docpairs.cut
+    monkeypatch.setattr(docpairs, "cut", lambda df: (sizes.append((out := keep(df)).count()), out)[1])
+    got = function_pairs(nodes, files).collect()
+    assert len(got) == n and all(f"return {r['id'].split('C')[1].split('.')[0]};" in r["code"] for r in got)
+    assert max(sizes) <= 2 * (n + 1)  # no join has more rows than the islands
+
+
+def test_newest_version_without_functions(spark):
+    nodes = spark.createDataFrame([(1, "/a.ts::f", "function", "f", "/a.ts", 1, None, "Never blocks.", None, "x")], NODE)
+    files = spark.createDataFrame([("/a.ts", 1.0, "function f() {\n}"), ("/a.ts", 2.0, "const x = 1;")], "path string, mtime_ms double, content string")
+    assert function_pairs(nodes, files).count() == 0

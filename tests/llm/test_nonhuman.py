@@ -1,6 +1,6 @@
 import random
 
-from codelattice.llm.nonhuman import layout_kind, leading_comments, nonhuman_files
+from codelattice.llm.nonhuman import _TOKEN, gram_hashes, layout_kind, layout_statistics, leading_comments, nonhuman_files, text_statistics
 
 R = random.Random(5)
 VERBS, NOUNS = "fold merge pack trim walk scan sort bind".split(), "queue ring slot token trie cache edge heap span stub".split()
@@ -23,10 +23,10 @@ KINDS = {
     "/ws/r1/e.ts": "\n".join(f"  case {i}: return this.op{i}(stack, {i % 5});" for i in range(40)),
     "/ws/r1/f.go": "// Code generated by toolc v1.2. DO NOT EDIT.\n" + hand(20, 1), "/ws/r1/g.py": "# <auto-generated>\n#  x\n# </auto-generated>\nx = 1\n",
     "/ws/r1/h.ts": "/*\n * Dieser Code wurde von toolc erzeugt. Nicht von Hand aendern.\n */\n" + hand(20, 2), "/ws/r1/i.rs": "// upstream: lib@1.2.3\n" + hand(20, 3),
-    "/ws/r1/vendor/lib/j.ts": hand(20, 4), "/ws/r1/k.ts": "// lib v1.2.3 - (c) the dock project\n" + hand(20, 5),
+    "/ws/r1/k.ts": "// lib v1.2.3 - (c) the dock project\n" + hand(20, 5),
 }
 HUMAN = {
-    "/ws/r1/m.js": hand(60, 6), "/ws/r1/vendors/n.ts": hand(60, 7), "/ws/r1/generated_docs/o.ts": hand(60, 8), "/ws/r1/p.min.ts": "// The minified output is written elsewhere.\n" + hand(30, 9),
+    "/ws/r1/vendor/lib/j.ts": hand(20, 4), "/ws/r1/m.js": hand(60, 6), "/ws/r1/vendors/n.ts": hand(60, 7), "/ws/r1/generated_docs/o.ts": hand(60, 8), "/ws/r1/p.min.ts": "// The minified output is written elsewhere.\n" + hand(30, 9),
     "/ws/r1/q.go": hand(30, 10) + '\nconst BANNER = "// Code generated by x v1.0. DO NOT EDIT.";\n', "/ws/r1/r.py": "", "/ws/r1/s.py": "   \n", "/ws/r1/t.rs": "// Replaces the vendored copy we had until last year.\n" + hand(30, 11),
     "/ws/r1/u.rs": "pub enum A {\n    " + ",\n    ".join(NOUNS).upper() + "\n}\n", "/ws/r1/v.ts": "// Tests for auto-generated names live next door.\n// This module generates ids; do not edit the map while it runs.\n" + hand(30, 12),
 }
@@ -146,3 +146,55 @@ def test_upstream_copies_at_every_size_of_the_upstream_texts(spark, monkeypatch)
     monkeypatch.setattr(M, "UPSTREAM_GRAMS", 700, raising=False)
     assert set(run(spark, files, known)) == want
     assert set(run(spark, [*files, ("/ws/r1/null.ts", None)], [*known, None])) == want and run(spark, files) == {}
+
+
+MARK = "Code generated by toolc v1.2. DO NOT EDIT."
+
+
+def test_marks_anywhere_in_the_leading_comment(spark):
+    licence = [f"line {k} of a licence that goes on and on" for k in range(45)]
+    files = [
+        ("/ws/r1/a.go", "\n".join("// " + x for x in [*licence, MARK]) + "\n" + hand(20, 40)), ("/ws/r1/b.ts", "/*\n" + "\n".join([*licence, MARK]) + "\n*/\n" + hand(20, 41)),
+        ("/ws/r1/c.py", '"""\nA module.\n\n' + MARK + '\n"""\n' + hand(20, 42)), ("/ws/r1/d.ts", "<!--\nsome words\n" + MARK + "\n-->\n" + hand(20, 43)),
+        ("/ws/r1/e.go", "// " + licence[0] + "\nx := 1\n// " + MARK + "\n" + hand(20, 44)),
+    ]
+    assert set(run(spark, files)) == {p for p, _ in files[:4]}
+    assert leading_comments('"""one line"""\nx = 1\n# y').strip() == '"""one line"""' and leading_comments("/* a */ x = 1\n// y").strip() == "/* a */ x = 1"
+    assert leading_comments("\n".join("// x" for _ in range(3000))).count("x") == 3000
+
+
+def test_tables_on_few_long_lines():
+    r = random.Random(8)
+    numbers = ", ".join(str(r.randint(0, 99999)) for _ in range(400))
+    assert layout_kind(f"static int T[] = {{ {numbers} }};", "cpp") == "data"
+    strings = ",  ".join(f"'{r.choice(NOUNS)} {r.choice(NOUNS)}'" for _ in range(300))
+    assert layout_kind(f"words = [\n  {strings},\n  {strings}\n]", "py") == "data"
+    assert layout_kind("x = [1, 2, 3]\ny = [4, 5]", "py") is None
+
+
+def test_short_copies_are_copies(spark):
+    short, other = "let total = merge(queue, slot, ring) + trim(edge, heap, span);", "fold the queue with each slot that ring and heap share today"
+    got = run(spark, [("/ws/r1/a.ts", short), ("/ws/r2/b.ts", short), ("/ws/r3/c.ts", other), ("/ws/r4/d.ts", "x = 1")], [other])
+    assert got == {"/ws/r1/a.ts": "copied", "/ws/r2/b.ts": "copied", "/ws/r3/c.ts": "copied"}
+
+
+def test_recall_of_drifting_copies(spark):
+    """Each of 60 repositories holds the version after the last one's, four lines in ninety changed; all are copies of another."""
+    r, lines, files = random.Random(12), hand(90, 50).split("\n"), []
+    for k in range(60):
+        for _ in range(2):
+            lines[r.randrange(3, len(lines))] = f"    const {r.choice(NOUNS)} = {r.choice(VERBS)}({r.choice(NOUNS)}, {r.randint(0, 4000)});"
+        files.append((f"/ws/repo{k}/lib.ts", "\n".join(lines)))
+    grams = [set(map(int, gram_hashes(_TOKEN.findall(t)))) for _, t in files]
+    want = {p for k, (p, _) in enumerate(files) if any(j != k and len(grams[k] & grams[j]) >= 0.8 * len(grams[k] | grams[j]) for j in range(60))}
+    got = set(run(spark, files))
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 50
+
+
+def test_layout_statistics_agree(spark):
+    texts = ["a b\n\n  c1\t2\r\n", "", "   ", None, "x" * 50 + "\n" + "ü 9", *KINDS.values()]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, content string")
+    for row in layout_statistics(df).collect():
+        t = texts[row["k"]]
+        if t:
+            assert tuple(row)[2:] == text_statistics(t), t
