@@ -48,6 +48,23 @@ def fixed1(x: float) -> str:
     return str(Decimal(x).quantize(Decimal("0.1"), ROUND_HALF_UP))
 
 
+def without_ansi(c: Column) -> Column:
+    """Text without the control sequences of terminals."""
+    return F.regexp_replace(c, r"[\u001b\u009b][\[()#;?]*(?:[0-9]{1,4}(?:;[0-9]{0,4})*)?[0-9A-ORZcf-nqry=><]", "")
+
+
+def html_escaped(c: Column) -> Column:
+    """Text that can stand in HTML: ampersand, angle brackets and both quotes as entities."""
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;")):
+        c = F.replace(c, F.lit(sign), F.lit(entity))
+    return c
+
+
+def in_locale_order(c: Column) -> Column:
+    """A sort key for the order of dictionaries instead of code points: case and accents decide last."""
+    return F.collate(c, "UNICODE")
+
+
 def hundredths(c: Column) -> Column:
     """Two decimals, half up."""
     return F.floor(c * 100 + 0.5) / 100

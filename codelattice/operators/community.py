@@ -2,34 +2,44 @@
 
 The analytics take any partition ``(id, community)``. Detection is Louvain's method as
 DataFrame rounds: in each, half of the nodes, chosen by hash, move to the neighbouring
-community of greatest directed modularity gain, if that beats where they are; then
-communities become nodes, and again. Ties are broken by label, so reruns agree.
+community of greatest directed modularity gain, if that beats where they are, until no node
+moves or modularity rises no more; then communities become nodes, and again, until nothing
+moves. Ties are broken by label, so reruns agree. Graphs of bounded size can be given to the
+sequential method in one task instead, which visits nodes in the order of a seeded generator.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import deque
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.functions.text import hundredths
 from codelattice.model import Graph
-from codelattice.operators.measure import degrees, is_noise
-from codelattice.session import cut
+from codelattice.operators.measure import is_noise, node_degrees
+from codelattice.session import cut, ship
+
+
+RISE = 1e-6  # of modularity in LOOK rounds, below which a level ends
+LOOK = 6
 
 
-def louvain(g: Graph, levels: int = 3, rounds: int = 6, least_moved: float = 0.01) -> DataFrame:
+def louvain(g: Graph) -> DataFrame:
     """``id, community`` of every node; the community is named by its least id. Isolated nodes stand alone."""
     edges = cut(g.edges.select("src", "dst", F.lit(1.0).alias("w")))
     m = edges.agg(F.sum("w")).first()[0]
     own = g.nodes.select("id", F.col("id").alias("community"))
     if not m:
         return own
-    for level in range(levels):
-        part, moved = _local_moves(edges, m, rounds, least_moved)
+    reached = -1.0
+    while True:
+        part, q = _local_moves(edges, m)
+        if q <= reached + RISE:
+            break
+        reached = q
         own = own.withColumnRenamed("community", "at").join(part.withColumnRenamed("id", "at"), "at", "left")
         own = cut(own.select("id", F.coalesce("community", "at").alias("community")))
-        if not moved or level == levels - 1:
-            break
         a = part.select(F.col("id").alias("src"), F.col("community").alias("s"))
         b = part.select(F.col("id").alias("dst"), F.col("community").alias("d"))
         edges = cut(edges.join(a, "src").join(b, "dst").groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("w").alias("w")))
@@ -37,7 +47,8 @@ def louvain(g: Graph, levels: int = 3, rounds: int = 6, least_moved: float = 0.0
     return own.join(least, "community").select("id", F.col("name").alias("community"))
 
 
-def _local_moves(edges: DataFrame, m: float, rounds: int, least: float) -> tuple[DataFrame, bool]:
+def _local_moves(edges: DataFrame, m: float) -> tuple[DataFrame, float]:
+    """The partition at which moves end, and its modularity."""
     out = edges.select(F.col("src").alias("id"), F.col("w").alias("o"), F.lit(0.0).alias("i"))
     into = edges.select(F.col("dst").alias("id"), F.lit(0.0).alias("o"), F.col("w").alias("i"))
     ends = cut(out.unionByName(into).groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i")))
@@ -45,8 +56,8 @@ def _local_moves(edges: DataFrame, m: float, rounds: int, least: float) -> tuple
     loops = F.col("src") != F.col("dst")
     sym = edges.where(loops).select(F.col("src").alias("id"), F.col("dst").alias("other"), "w")
     sym = sym.unionByName(edges.where(loops).select(F.col("dst").alias("id"), F.col("src").alias("other"), "w"))
-    ever = False
-    for r in range(rounds):
+    still, r, reached = 0, 0, -1.0
+    while True:
         mass = ends.join(part, "id").groupBy("community").agg(F.sum("o").alias("co"), F.sum("i").alias("ci"))
         links = sym.join(part.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.sum("w").alias("w"))
         here = part.withColumnRenamed("community", "now").join(ends, "id")
@@ -61,12 +72,121 @@ def _local_moves(edges: DataFrame, m: float, rounds: int, least: float) -> tuple
         )
         turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
         part = cut(best.select("id", F.when(turn, F.col("_b.community")).otherwise(F.col("now")).alias("community"), (turn & (F.col("_b.community") != F.col("now"))).alias("moved")))
-        n, k = part.agg(F.count("*"), F.sum(F.col("moved").cast("long"))).first()
-        part = part.select("id", "community")
-        ever = ever or bool(k)
-        if (k or 0) <= least * n and r > 0:
+        moved = part.where("moved").limit(1).count()
+        part, r = part.select("id", "community"), r + 1
+        still = 0 if moved else still + 1
+        if still == 2 or r % LOOK == 0:
+            q = _quality(edges, ends, part, m)
+            if still == 2 or q <= reached + RISE:
+                return part, q
+            reached = q
+
+
+def _quality(edges: DataFrame, ends: DataFrame, part: DataFrame, m: float) -> float:
+    a, b = part.select(F.col("id").alias("src"), F.col("community").alias("a")), part.select(F.col("id").alias("dst"), F.col("community").alias("b"))
+    inside = edges.join(a, "src").join(b, "dst").where("a = b").agg(F.sum("w")).first()[0] or 0.0
+    mass = ends.join(part, "id").groupBy("community").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+    return inside / m - mass.agg(F.sum(F.col("o") * F.col("i"))).first()[0] / m**2
+
+
+SEQUENTIAL_EDGES = 2_000_000  # the sequential method refuses more
+
+
+def input_order(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """Nodes ``pos, id`` by code point and distinct edges ``pos, src, dst`` by locale order of their ends: the order detection reads them in."""
+    from pyspark.sql import Window
+
+    ids = g.nodes.select("id").distinct()
+    n = ids.select((F.row_number().over(Window.orderBy("id")) - 1).alias("pos"), "id")
+    order = [F.collate("src", "UNICODE"), F.collate("dst", "UNICODE"), "src", "dst"]
+    e = g.edges.select("src", "dst").distinct()
+    return n, e.select((F.row_number().over(Window.orderBy(*order)) - 1).alias("pos"), "src", "dst")
+
+
+def louvain_sequential(g: Graph) -> DataFrame:
+    """``id, community`` by the sequential method, communities numbered from 0; more than SEQUENTIAL_EDGES edges raise an error.
+
+    One task, since each move depends on the one before. Deterministic: nodes and edges in
+    ``input_order``, visits from a seeded generator.
+    """
+    if (k := g.edges.count()) > SEQUENTIAL_EDGES:
+        raise ValueError(f"{k} edges; the sequential method takes at most {SEQUENTIAL_EDGES}")
+    n, e = input_order(g)  # bounded by the line above
+    rows = n.select(F.lit(0).alias("kind"), "pos", F.col("id").alias("a"), F.lit(None).cast("string").alias("b"))
+    rows = rows.unionByName(e.select(F.lit(1).alias("kind"), "pos", F.col("src").alias("a"), F.col("dst").alias("b")))
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["kind", "pos"])
+        ids = pdf.loc[pdf["kind"] == 0, "a"].tolist()
+        at = {x: k for k, x in enumerate(ids)}
+        links = [(at[a], at[b]) for a, b in pdf.loc[pdf["kind"] == 1, ["a", "b"]].itertuples(index=False) if a in at and b in at]
+        return pd.DataFrame({"id": ids, "community": sequential_moves(len(ids), links)}).astype({"community": "int32"})
+
+    ship(g.nodes.sparkSession)
+    return rows.groupBy(F.lit(0)).applyInPandas(run, "id string, community int")
+
+
+def sequential_moves(n: int, links: list[tuple[int, int]]) -> list[int]:
+    """Community of each of ``n`` nodes: local moves from a queue until none gains, communities become nodes, and again."""
+    seed = 123456789
+    weights: dict[tuple[int, int], float] = {}
+    for a, b in links:
+        weights[a, b] = weights.get((a, b), 0.0) + 1.0
+    m, size, member = float(len(links)), n, list(range(n))
+    while m:
+        near: list[dict[int, float]] = [{} for _ in range(size)]
+        out, into = [0.0] * size, [0.0] * size
+        for (a, b), w in weights.items():
+            out[a] += w
+            into[b] += w
+            if a != b:
+                near[a][b] = near[a].get(b, 0.0) + w
+                near[b][a] = near[b].get(a, 0.0) + w
+        com, co, ci = list(range(size)), out[:], into[:]
+        seed = (seed * 9301 + 49297) % 233280
+        start = int(seed / 233280 * size)
+        queue = deque((start + k) % size for k in range(size))
+        waiting, moved = [True] * size, False
+        while queue:
+            v = queue.popleft()
+            waiting[v] = False
+            own = com[v]
+            shared: dict[int, float] = {own: 0.0}
+            for u, w in near[v].items():
+                shared[com[u]] = shared.get(com[u], 0.0) + w
+            co[own] -= out[v]
+            ci[own] -= into[v]
+            gain = lambda c: shared[c] - (out[v] * ci[c] + into[v] * co[c]) / m  # noqa: B023, E731
+            best, most = own, gain(own)
+            for c in shared:
+                if gain(c) > most + 1e-12:
+                    best, most = c, gain(c)
+            co[best] += out[v]
+            ci[best] += into[v]
+            if best != own:
+                com[v], moved = best, True
+                for u in near[v]:
+                    if com[u] != best and not waiting[u]:
+                        waiting[u] = True
+                        queue.append(u)
+        if not moved:
             break
-    return part, ever
+        names = {c: k for k, c in enumerate(dict.fromkeys(com))}
+        inner = [names[c] for c in com]
+        member = [inner[c] for c in member]
+        merged: dict[tuple[int, int], float] = {}
+        for (a, b), w in weights.items():
+            merged[inner[a], inner[b]] = merged.get((inner[a], inner[b]), 0.0) + w
+        weights, size = merged, len(names)
+    names = {c: k for k, c in enumerate(dict.fromkeys(member))}
+    return [names[c] for c in member]
+
+
+def communities_by_size(part: DataFrame, g: Graph) -> DataFrame:
+    """``community, n, cohesion`` of each community, the largest first; communities keep their names."""
+    return cohesion(g, part).select("community", "n", "cohesion").orderBy(F.desc("n"), "community")
 
 
 def modularity(g: Graph, part: DataFrame) -> float:
@@ -106,7 +226,7 @@ def surprises(g: Graph, part: DataFrame) -> DataFrame:
     score 1, +2 for references, +1 from a node of degree at most 2 to one of at least 5, +3
     ambiguous or +2 inferred. The best per pair is a map-side combined maximum; the first edge wins ties.
     """
-    side = part.join(g.nodes.where(~is_noise()).select("id", "name"), "id").join(degrees(g.edges), "id")
+    side = part.join(g.nodes.where(~is_noise()).select("id", "name"), "id").join(node_degrees(g), "id")
     s = side.select(F.col("id").alias("src"), F.col("community").alias("a"), F.col("name").alias("sn"), F.col("degree").alias("sd"))
     d = side.select(F.col("id").alias("dst"), F.col("community").alias("b"), F.col("name").alias("dn"), F.col("degree").alias("dd"))
     e = g.edges.where(~F.col("relation").isin("imports", "defines")).join(s, "src").join(d, "dst").where(F.col("a") != F.col("b"))
@@ -114,6 +234,7 @@ def surprises(g: Graph, part: DataFrame) -> DataFrame:
     low = F.col("sd") <= 2
     conf = F.coalesce("confidence", F.lit(""))
     score = 1 + F.when(F.col("relation") == "references", 2).otherwise(0) + F.when(reaches, 1).otherwise(0) + F.when(conf == "AMBIGUOUS", 3).when(conf == "INFERRED", 2).otherwise(0)
+    # The wording of reasons.
     why = F.concat_ws(
         "; ", F.format_string("bridges community %s → community %s", F.col("a").cast("string"), F.col("b").cast("string")),
         F.when(F.col("relation") == "references", "references relationship (deep AST coupling)"),
@@ -136,8 +257,9 @@ def surprises_page(g: Graph, part: DataFrame, page: int = 1, limit: int = 20) ->
 def suggested_questions(n_surprises: DataFrame, first_god: DataFrame, n_gaps: DataFrame, n_communities: DataFrame) -> DataFrame:
     """``pos, question`` from four one-row counts (``n``) and the first ranked node's ``name`` (no row: no node)."""
     s, gaps, c = (F.coalesce(F.col(x), F.lit(0)) for x in ("s", "g", "c"))
-    one = n_surprises.select(F.col("n").alias("s")).join(F.broadcast(n_gaps.select(F.col("n").alias("g")))).join(F.broadcast(n_communities.select(F.col("n").alias("c"))))
-    one = one.join(F.broadcast(first_god.agg(F.first("name").alias("name"), F.count("*").alias("gods"))))
+    one = first_god.agg(F.first("name").alias("name"), F.count("*").alias("gods"))
+    one = one.select("name", "gods", n_surprises.select("n").scalar().alias("s"), n_gaps.select("n").scalar().alias("g"), n_communities.select("n").scalar().alias("c"))
+    # The wording of questions.
     q = F.array(
         F.when(s > 0, "Why are these distinct communities connected via Surprising Connections?"),
         F.when(F.col("gods") > 0, F.format_string("How would the system react if the core logic in '%s' was refactored?", F.col("name"))),

@@ -9,10 +9,10 @@ from codelattice.functions.text import base_name, file_part
 from codelattice.model import norm_id
 
 BLOCK = 64  # lines; ranges meet lines by (file, block of lines), so a long file is many small groups
-# Lock files, whose history says nothing about code.
+# Files whose history says nothing about code.
 LOCK_FILES = (
-    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "bun.lock", "npm-shrinkwrap.json", "composer.lock", "Gemfile.lock", "Cargo.lock",
-    "poetry.lock", "Pipfile.lock", "uv.lock", "pdm.lock", "go.sum", "mix.lock", "pubspec.lock", "flake.lock",
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "shrinkwrap.json", "npm-shrinkwrap.json", "Gemfile.lock", "Cargo.lock", "Pipfile.lock",
+    "poetry.lock", "composer.lock", "packages.lock.json", "CHANGELOG.md", "CHANGELOG.txt", "go.sum", "uv.lock", "gradle.lockfile",
 )
 
 

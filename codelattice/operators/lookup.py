@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.model import Graph
-from codelattice.operators.measure import by_degree, degrees, in_out_degrees, page_of, with_degree
+from codelattice.operators.measure import by_degree, in_out_degrees, node_degrees, page_of, with_degree
 
 TIERS = ("exact", "suffix", "suffix, any case", "part", "part, any case")
 
@@ -49,7 +49,7 @@ def resolve(g: Graph, symbol: str, type_: str | None = None, source: str | None
     hits = rows.select("id", "ord", tier.alias("tier")).where("tier is not null")
     best = hits.agg(F.min("tier").alias("_t"))
     hits = hits.join(F.broadcast(best), F.col("tier") == F.col("_t")).drop("_t")  # one row
-    hits = hits.join(degrees(g.edges), "id", "left")
+    hits = hits.join(node_degrees(g), "id", "left")
     part = F.col("tier") >= 4
     commit = part & i.startswith("commit::") & F.lower(F.split(i, "::").getItem(1)).startswith(s)
     order = [F.when(commit, 0).otherwise(1), F.when(part & ~commit, -F.coalesce("degree", F.lit(0))).otherwise(0), F.col("ord"), F.col("id")]
@@ -66,6 +66,8 @@ def resolve_id(g: Graph, symbol: str, type_: str | None = None, source: str | No
 def node_lookup(g: Graph, symbol: str, type_: str | None = None, source: str | None = None) -> DataFrame:
     """``id, name, type, file, line, incoming, outgoing`` of the node a symbol means."""
     one = g.nodes.join(F.broadcast(resolve(g, symbol, type_, source).select("id")), "id")  # at most one row
+    if "indeg" in g.nodes.columns:
+        return one.select("id", "name", "type", "file", F.col("start_line").alias("line"), F.col("indeg").alias("incoming"), F.col("outdeg").alias("outgoing"))
     ends = g.edges.join(F.broadcast(one.select(F.col("id").alias("_i"))), (F.col("src") == F.col("_i")) | (F.col("dst") == F.col("_i")))
     both = in_out_degrees(Graph(one, ends.select("src", "dst")))
     return one.join(both, "id").select("id", "name", "type", "file", F.col("start_line").alias("line"), F.col("indeg").alias("incoming"), F.col("outdeg").alias("outgoing"))
@@ -81,10 +83,12 @@ def neighbors(g: Graph, node: str, direction: str, type_: str | None = None, pag
         raise ValueError("direction is 'in' or 'out'")
     here, there = ("dst", "src") if direction == "in" else ("src", "dst")
     e = g.edges.where((F.col(here) == node) & (F.col(there) != node)).groupBy(F.col(there).alias("id"), "relation").agg(F.min(F.struct("ord", "confidence")).alias("_e"))
-    rows = e.select("id", "relation", F.col("_e.confidence").alias("confidence"), F.col("_e.ord").alias("eord")).join(g.nodes.select("id", "name", "type", "ord"), "id")
+    rows = e.select("id", "relation", F.col("_e.confidence").alias("confidence"), F.col("_e.ord").alias("eord"))
+    stored = ["degree"] if "degree" in g.nodes.columns else []
+    rows = rows.join(g.nodes.select("id", "name", "type", *stored), "id")
     if type_ is not None:
         rows = rows.where(F.col("type") == type_)
-    d = degrees(g.edges).join(rows.select("id").distinct(), "id", "left_semi")
-    rows = rows.join(d, "id", "left")
+    if not stored:
+        rows = rows.join(node_degrees(g).join(rows.select("id").distinct(), "id", "left_semi"), "id", "left")
     order = [F.when(F.col("type") == "intent", 0).otherwise(1), F.col("degree").desc(), F.col("eord"), F.col("id")]
     return page_of(rows, order, page, limit).select("rank", "id", "name", "type", "relation", "confidence")

@@ -21,8 +21,17 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
+def node_degrees(g: Graph) -> DataFrame:
+    """``id, degree`` of the nodes that edges end at: from a stored graph's column, else counted."""
+    if "degree" in g.nodes.columns:
+        return g.nodes.select("id", "degree").where("degree > 0")
+    return degrees(g.edges)
+
+
 def in_out_degrees(g: Graph) -> DataFrame:
     """``id, indeg, outdeg`` of every node, in one aggregation."""
+    if "indeg" in g.nodes.columns:
+        return g.nodes.select("id", "indeg", "outdeg")
     ends = F.explode(F.array(F.struct(F.col("dst").alias("id"), F.lit(1).alias("i")), F.struct(F.col("src").alias("id"), F.lit(0).alias("i")))).alias("_e")
     d = g.edges.select(ends).groupBy("_e.id").agg(F.sum("_e.i").alias("indeg"), F.sum(1 - F.col("_e.i")).alias("outdeg"))
     zero = F.lit(0).cast("long")
@@ -31,6 +40,8 @@ def in_out_degrees(g: Graph) -> DataFrame:
 
 def with_degree(g: Graph) -> DataFrame:
     """The nodes with ``degree``, 0 where no edge ends."""
+    if "degree" in g.nodes.columns:
+        return g.nodes
     return g.nodes.join(degrees(g.edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
 
 
@@ -93,9 +104,8 @@ def knowledge_gaps(g: Graph) -> DataFrame:
 
 
 def graph_size(g: Graph) -> DataFrame:
-    n = g.nodes.agg(F.count("*").alias("n_nodes"))
-    e = g.edges.agg(F.count("*").alias("n_edges"))
-    return n.join(F.broadcast(e))  # one row each
+    e = g.edges.agg(F.count("*").alias("n"))
+    return g.nodes.agg(F.count("*").alias("n_nodes")).select("n_nodes", e.scalar().alias("n_edges"))
 
 
 def view_model(g: Graph) -> DataFrame:
@@ -105,7 +115,7 @@ def view_model(g: Graph) -> DataFrame:
     """
     rows = with_degree(g)
     top = hubs(g, 50).select("id", F.lit(True).alias("hub"))
-    most = rows.agg(F.greatest(F.max("degree"), F.lit(1)).alias("most"), F.count("*").alias("n"))
-    rows = rows.join(F.broadcast(top), "id", "left").join(F.broadcast(most))
+    most, n = rows.agg(F.greatest(F.max("degree"), F.lit(1)).alias("most")).scalar(), rows.agg(F.count("*").alias("n")).scalar()
+    rows = rows.join(F.broadcast(top), "id", "left").withColumns({"most": most, "n": n})
     label = F.when((F.col("n") <= 50) | F.col("hub"), F.coalesce("name", "id")).otherwise("")
     return rows.select("id", label.alias("label"), (10 + 30 * F.col("degree") / F.col("most")).alias("size"), "type", "degree")

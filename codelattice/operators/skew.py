@@ -176,6 +176,5 @@ def target_report(edges: DataFrame, nodes: DataFrame, externals: DataFrame, task
 
 def hot_targets(edges: DataFrame, nodes: DataFrame, externals: DataFrame, share: float = 0.01) -> DataFrame:
     """The ``target_report`` of targets that at least ``share`` of all rows name, null targets counted in the total."""
-    total = edges.agg(F.count("*").alias("_total"))  # one row
-    out = target_report(edges, nodes, externals).join(F.broadcast(total), F.col("n_rows") >= F.col("_total") * share)
-    return out.drop("_total")
+    total = edges.agg(F.count("*").alias("n")).scalar()
+    return target_report(edges, nodes, externals).where(F.col("n_rows") >= total * share)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,19 +16,35 @@ from codelattice.operators import measure as M
 from codelattice.operators import merge as W
 from codelattice.operators import traverse as T
 from codelattice.operators import view as V
-from codelattice.session import cut, table
+from codelattice.session import shared_folder, table
+from codelattice.sources.texts import load_graph, save_graph
 
 HOT = "falconstack/core::emit"
 QUESTION = "How does useStore render the emit, emit?"
 
 
 def graph(spark: SparkSession, d: str) -> Graph:
+    """The graph of the tables in ``d``, built from its rows."""
     return build_graph(table(spark, d, "nodes"), table(spark, d, "edges"), table(spark, d, "externals"))
 
 
-def held(g: Graph) -> Graph:
-    """The graph written once, for queries that read it again and again."""
-    return Graph(cut(g.nodes.select("id", "ord", "type", "name", "file", "start_line")), cut(g.edges))
+def stored(spark: SparkSession, d: str) -> Graph:
+    """The same, built once for each state of the tables and stored with degrees in the shared folder; reads take it from there.
+
+    The state is what the listing of the tables' files tells: a file that is added, removed or
+    written anew makes another graph.
+    """
+    sc = spark.sparkContext
+    files = [f for name in ("nodes", "edges", "externals") for f in table(spark, d, name).inputFiles()]
+    hadoop, conf = sc._jvm.org.apache.hadoop.fs, sc._jsc.hadoopConfiguration()
+    at = [hadoop.Path(f) for f in sorted(files)]
+    status = [p.getFileSystem(conf).getFileStatus(p) for p in at]
+    state = sha256("\n".join(f"{p} {s.getLen()} {s.getModificationTime()}" for p, s in zip(at, status)).encode()).hexdigest()[:24]
+    path = f"{shared_folder(spark)}/graph-{state}"
+    done = hadoop.Path(f"{path}/edges/_SUCCESS")
+    if not done.getFileSystem(conf).exists(done):
+        save_graph(graph(spark, d), path)
+    return load_graph(spark, path)
 
 
 def partition_by_folder(nodes: DataFrame) -> DataFrame:
@@ -44,31 +62,32 @@ def blame(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _g(f):
-    return lambda s, d: f(graph(s, d))
-
-
-def _h(f):
-    return lambda s, d: f(held(graph(s, d)))
+    return lambda s, d: f(stored(s, d))
 
 
 def _part(f):
     def run(s, d):
-        g = held(graph(s, d))
+        g = stored(s, d)
         return f(g, partition_by_folder(g.nodes))
 
     return run
 
 
+def _ghosts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    g = stored(s, d)
+    return W.resolve_ghosts(g.nodes.drop("indeg", "outdeg", "degree"), g.edges)
+
+
 def _path(a: str, b: str):
     def run(s, d):
-        hops = T.shortest_path(held(graph(s, d)), a, b)
+        hops = T.shortest_path(stored(s, d), a, b)
         return s.createDataFrame([(a, b, len(hops) if hops is not None else None)], "src string, dst string, hops int")
 
     return run
 
 
 def _questions(s: SparkSession, d: str) -> DataFrame:
-    g = held(graph(s, d))
+    g = stored(s, d)
     count = lambda df: df.agg(F.count("*").alias("n"))
     p = partition_by_folder(g.nodes)
     return C.suggested_questions(count(C.surprises(g, p)), M.god_nodes(g, 1, 1).select("name"), count(M.knowledge_gaps(g)), count(p.select("community").distinct()))
@@ -93,7 +112,7 @@ def _top5(g: Graph, p: DataFrame) -> DataFrame:
 def _commits(s: SparkSession, d: str) -> DataFrame:
     from codelattice.sources.report import recent_commits
 
-    return recent_commits(graph(s, d).nodes)
+    return recent_commits(stored(s, d).nodes)
 
 
 QUERIES = {
@@ -104,24 +123,24 @@ QUERIES = {
     "merge_nodes_last": lambda s, d: W.merge_nodes(table(s, d, "nodes").where("id is not null").select("id", "ord", "type", "name", "file", "start_line")),
     "merge_nodes_definition": lambda s, d: W.merge_nodes(table(s, d, "nodes").where("id is not null").select("id", "ord", "type", "name", "placeholder", "external"), "prefer_definition").select("id", "type", "name", "ord"),
     "placeholder_nodes": lambda s, d: W.complete_ends(
-        table(s, d, "edges").select(F.translate("source", "\\", "/").alias("src"), F.translate("target", "\\", "/").alias("dst")), graph(s, d).nodes
+        table(s, d, "edges").select(F.translate("source", "\\", "/").alias("src"), F.translate("target", "\\", "/").alias("dst")), stored(s, d).nodes
     ).select("id", "name", "file"),
-    "degree_all": lambda s, d: M.degrees(graph(s, d).edges),
+    "degree_all": lambda s, d: M.degrees(stored(s, d).edges),
     "in_out_degree": _g(M.in_out_degrees),
     "god_nodes_top10": _g(M.god_nodes),
     "god_nodes_page2": _g(lambda g: M.god_nodes(g, 2, 10)),
     "god_nodes_no_ghosts": _g(lambda g: M.god_nodes(g, 1, 10, True)),
-    "confidence_breakdown": lambda s, d: M.confidence_breakdown(graph(s, d).edges),
-    "node_type_counts": lambda s, d: M.type_counts(graph(s, d).nodes),
-    "max_degree": lambda s, d: M.degrees(graph(s, d).edges).agg(F.greatest(F.max("degree"), F.lit(1)).alias("max_degree")),
+    "confidence_breakdown": lambda s, d: M.confidence_breakdown(stored(s, d).edges),
+    "node_type_counts": lambda s, d: M.type_counts(stored(s, d).nodes),
+    "max_degree": lambda s, d: M.degrees(stored(s, d).edges).agg(F.greatest(F.max("degree"), F.lit(1)).alias("max_degree")),
     "hub_threshold": _g(M.hub_threshold),
     "hubs_top50": _g(M.hubs),
     "knowledge_gaps": _g(lambda g: M.knowledge_gaps(g).select("id", "degree")),
     "view_model": _g(M.view_model),
-    "view_visible": lambda s, d: V.visible(graph(s, d).nodes.select("id", "type"), partition_by_folder(graph(s, d).nodes), ["intent", "function"], ["/ws/ember-grid-107/lib"]).select("id", "type", "community"),
+    "view_visible": lambda s, d: V.visible(stored(s, d).nodes.select("id", "type"), partition_by_folder(stored(s, d).nodes), ["intent", "function"], ["/ws/ember-grid-107/lib"]).select("id", "type", "community"),
     "view_suggestions": _g(lambda g: V.suggestions(g, "Merge rust .go", ("intent",))),
     "view_neighbours": _g(lambda g: V.neighbour_list(g, HOT, "in", g.nodes.where("type <> 'class'"))),
-    "view_legend": lambda s, d: V.legend(partition_by_folder(graph(s, d).nodes)),
+    "view_legend": lambda s, d: V.legend(partition_by_folder(stored(s, d).nodes)),
     "search_page": _g(lambda g: L.search(g, "Merge")),
     "search_typed": _g(lambda g: L.search(g, "queue", "class", 1, 15)),
     "search_page3": _g(lambda g: L.search(g, "merge", None, 3, 10)),
@@ -135,29 +154,32 @@ QUERIES = {
     "neighbors_in": _g(lambda g: L.neighbors(g, HOT, "in")),
     "neighbors_in_page2": _g(lambda g: L.neighbors(g, HOT, "in", "function", 2, 25)),
     "neighbors_out": _g(lambda g: L.neighbors(g, "import::orchardpress", "out")),
-    "ghost_winners": lambda s, d: W.ghost_winners(graph(s, d).nodes),
-    "ghost_resolved_edges": lambda s, d: W.resolve_ghosts(graph(s, d).nodes, graph(s, d).edges)[1].select("src", "dst", "relation", "confidence"),
-    "ghost_resolved_nodes": lambda s, d: W.resolve_ghosts(graph(s, d).nodes, graph(s, d).edges)[0].select("id", "type", "name"),
-    "community_sizes": lambda s, d: partition_by_folder(graph(s, d).nodes).groupBy("community").agg(F.count("*").alias("n")),
+    "ghost_winners": lambda s, d: W.ghost_winners(stored(s, d).nodes),
+    "ghost_resolved_edges": lambda s, d: _ghosts(s, d)[1].select("src", "dst", "relation", "confidence"),
+    "ghost_resolved_nodes": lambda s, d: _ghosts(s, d)[0].select("id", "type", "name"),
+    "community_sizes": lambda s, d: partition_by_folder(stored(s, d).nodes).groupBy("community").agg(F.count("*").alias("n")),
     "cohesion": _part(C.cohesion),
     "surprises_all": _part(lambda g, p: C.surprises(g, p).drop("ord")),
     "surprises_page": _part(lambda g, p: C.surprises_page(g, p, 1, 5)),
     "suggested_questions": _questions,
     "term_scores": _g(lambda g: T.term_scores(g, terms_of(QUESTION)).select("id", "score")),
-    "crawl_seeds": _h(_seeds),
-    "bfs_levels": _h(lambda g: T.bfs_levels(g, _seeds(g), 3)),
-    "crawl_edges": _h(lambda g: T.crawl_edges(g, T.bfs_levels(g, _seeds(g), 2))),
-    "dfs_crawl": _h(lambda g: T.dfs_levels(g, _seeds(g), 2)),
+    "crawl_seeds": _g(_seeds),
+    "bfs_levels": _g(lambda g: T.bfs_levels(g, _seeds(g), 3)),
+    "crawl_edges": _g(lambda g: T.crawl_edges(g, T.bfs_levels(g, _seeds(g), 2))),
+    "dfs_crawl": _g(lambda g: T.dfs_levels(g, _seeds(g), 2)),
     "shortest_path_hops": _path(HOT, "wharfloom::useStore"),
     "shortest_path_far": _path("import::orchardpress", "zephyrport::Result"),
     "report_members": _g(_members),
     "report_communities_top5": _part(_top5),
     "recent_commits": _commits,
-    "range_commits": lambda s, d: H.symbol_commits(graph(s, d).nodes, blame(s, d)),
+    "range_commits": lambda s, d: H.symbol_commits(stored(s, d).nodes, blame(s, d)),
     "missing_commits": lambda s, d: H.missing_commits(
         table(s, d, "nodes").where(F.col("id").startswith("commit::")).select(F.split_part("id", F.lit("::"), F.lit(2)).alias("hash")), table(s, d, "git_commits").where("author is not null")
     ),
-    "louvain_partition": _h(lambda g: C.louvain(g)),
+    "louvain_partition": _g(C.louvain),
+    "louvain_sequential": _g(C.louvain_sequential),
+    "communities_by_size": _g(lambda g: C.communities_by_size(C.louvain(g), g)),
+    "input_order_nodes": _g(lambda g: C.input_order(g)[0]),
 }
 
 _G = r"""
@@ -327,12 +349,13 @@ SQL = {
     "shortest_path_far": _hops("import::orchardpress", "zephyrport::Result"),
     "report_members": _q(
         "SELECT file, pos, member, more FROM (SELECT src AS file, (row_number() OVER (PARTITION BY src ORDER BY e.ord, dst))::INT AS pos, coalesce(m.name, dst) AS member, greatest(count(*) OVER (PARTITION BY src) - 5, 0) AS more FROM ge e JOIN gn m ON m.id = dst WHERE relation = 'defines' AND src IN (SELECT id FROM top)) WHERE pos <= 5",
-        "top AS (SELECT id FROM gn WHERE type = 'file' AND NOT coalesce(external, false) ORDER BY ord, id LIMIT 100)",
+        "top AS (SELECT id FROM (SELECT id, external FROM gn WHERE type = 'file' ORDER BY ord, id LIMIT 100) WHERE NOT coalesce(external, false))",
     ),
     "report_communities_top5": _q(
         "SELECT community, pos, id FROM (SELECT community, id, (row_number() OVER (PARTITION BY community ORDER BY degree DESC, ord, id))::INT AS pos FROM part JOIN nd USING (id) WHERE NOT (starts_with(id, 'commit::') OR starts_with(id, 'import::') OR starts_with(id, 'unresolved_'))) WHERE pos <= 5"
     ),
     "recent_commits": _q("SELECT (row_number() OVER (ORDER BY commit_date DESC, ord, id))::INT AS pos, id, author, commit_date, split_part(message, chr(10), 1) AS subject FROM (SELECT * FROM gn WHERE type = 'intent' AND commit_date IS NOT NULL ORDER BY commit_date DESC, ord, id LIMIT 50)"),
     "range_commits": _q("SELECT id, hash, line FROM rc", _BLAME),
+    "input_order_nodes": _q("SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS pos, id FROM gn"),
     "missing_commits": "SELECT DISTINCT split_part(id, '::', 2) AS hash FROM nodes WHERE starts_with(id, 'commit::') AND split_part(id, '::', 2) NOT IN (SELECT hash FROM git_commits WHERE hash IS NOT NULL AND author IS NOT NULL)",
 }

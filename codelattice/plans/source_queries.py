@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelattice.operators.merge import keep_sound_edges, merge_edges, merge_nodes, resolve_ghosts
+from codelattice.scan import linked
 from codelattice.session import cut, table
 from codelattice.sources import code, files, texts
 from codelattice.streaming.incremental import newest_versions
@@ -30,10 +31,11 @@ def _fragments(s: SparkSession, d: str) -> DataFrame:
 
 
 def _extracted(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    f = _fragments(s, d)
-    nodes = merge_nodes(code.fragment_nodes(f))
-    edges = keep_sound_edges(merge_edges(code.fragment_edges(f)), nodes)
-    return nodes, edges
+    """Nodes and edges of the newest files, imports led to the files they name."""
+    listing = _newest(s, d).select("path")
+    nodes, edges = linked(_fragments(s, d), listing, [])
+    nodes = merge_nodes(nodes)
+    return nodes, keep_sound_edges(merge_edges(edges), nodes)
 
 
 def _definition_lines(s: SparkSession, d: str) -> DataFrame:
@@ -66,6 +68,6 @@ SQL = {
     "files_changed": _NEW + "SELECT path, size, mtime_ms FROM new n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.rn = 1 AND o.path = n.path AND o.size = n.size AND o.mtime_ms = n.mtime_ms)",
     "files_nodes": _NEW + r"SELECT path AS id, 'file' AS type, split_part(path, '/', -1) AS name, path AS file, 0 AS start_line, '.' || regexp_extract(path, '\.([^./]+)$', 1) AS extension FROM new",
     "markdown_stats": r"""SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> ''))::INT AS words,
-  len(list_distinct(list_concat(regexp_extract_all(coalesce(text, ''), '\[[^\]\n]*\]\(([^)\n]+)\)', 1), list_filter(regexp_extract_all(coalesce(text, ''), '`([^`\n]+)`', 1), lambda s: contains(s, '.') AND NOT contains(s, ' ')))))::INT AS refs FROM documents""",
+  len(list_distinct(list_concat(regexp_extract_all(coalesce(text, ''), '\[.*?\]\(([^)]+)\)', 1), list_filter(regexp_extract_all(coalesce(text, ''), '`([^`]+)`', 1), lambda s: contains(s, '.') AND NOT contains(s, ' ')))))::INT AS refs FROM documents""",
     "json_keys": "SELECT event_id, len(json_keys(props))::INT AS keys FROM events",
 }

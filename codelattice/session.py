@@ -14,11 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; fall back to a local one only where nothing is set."""
+    """Use the folder the cluster names; a local one only where nothing is set and all executors are this process.
+
+    On a cluster without a named folder this is an error: a machine's own folder would lose data with the machine.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="codelattice-checkpoint-"))
 
 
@@ -39,6 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see, for tables that live as long as the application."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per application, so that Python stages find it wherever they run."""
     sc = spark.sparkContext

@@ -4,9 +4,9 @@ A lexer blanks out comments and strings; what is left is searched for definition
 bodies are bounded by braces or indentation, and for calls within them. Python is parsed by
 its own parser where it can be. Files are independent: one Arrow pass, no shuffle.
 
-Fidelity: names, scopes, lines, ``defines`` and ``imports`` are exact for ordinary code; calls
-follow a table of decisions (imported, local, unknown) and are as good as names allow, since
-no types are inferred.
+Fidelity: names, scopes, lines, docs, ``defines`` and ``imports`` are exact for ordinary code; calls
+follow a table of decisions (standard library, built in, shadowed, imported, local, unknown) and
+are as good as names allow, since no types are inferred.
 """
 
 from __future__ import annotations
@@ -22,25 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.session import ship, spread
+from codelattice.sources.names import BUILT_INS, is_standard
 
-# Words that look like calls but are none, per language family, and names that are never of interest.
+# Words that look like calls but are none, per language family.
 _CONTROL = frozenset("if for while switch catch return else do new throw match".split())
 _KEYWORDS = {
     "ts": _CONTROL | frozenset("function try await typeof in of instanceof void delete yield super import export class extends constructor as case with".split()),
     "py": _CONTROL | frozenset("elif except lambda not and or is in del assert print yield with await from import def class super raise".split()) - {"catch", "switch", "do", "new", "throw", "match"},
-    "go": _CONTROL | frozenset("func go defer select case range chan map struct interface type".split()) - {"while", "catch", "do", "new", "throw", "match"},
+    "go": _CONTROL | frozenset("func go defer select case range chan map struct interface type import package var const".split()) - {"while", "catch", "do", "new", "throw", "match"},
     "rs": _CONTROL | frozenset("loop unsafe move in as fn let mut ref impl where async await".split()) - {"switch", "catch", "do", "new", "throw"},
     "java": _CONTROL | frozenset("try super this synchronized assert instanceof case".split()) - {"match"},
     "cpp": _CONTROL | frozenset("try sizeof typedef using case delete alignas operator".split()) - {"match"},
 }
-_BUILTIN = {
-    "ts": frozenset("require parseInt parseFloat isNaN isFinite setTimeout setInterval clearTimeout clearInterval fetch String Number Boolean Array Object Promise Symbol BigInt Error Date Map Set JSON Math console process".split()),
-    "py": frozenset("len range str int float bool list dict set tuple open isinstance issubclass getattr setattr hasattr super type sorted reversed enumerate zip map filter min max sum abs any all repr format iter next vars id hash input".split()),
-    "go": frozenset("len cap make new append copy delete panic recover print println close string int int64 float64 byte error bool min max".split()),
-    "rs": frozenset("Some None Ok Err Box Vec String format println print eprintln vec panic assert assert_eq assert_ne debug_assert todo unimplemented unreachable write writeln matches".split()),
-    "java": frozenset("String Integer Long Double Boolean Object System Math List Map Set Optional".split()),
-    "cpp": frozenset("printf malloc free memcpy memset static_cast dynamic_cast reinterpret_cast const_cast decltype alignof noexcept assert move forward make_unique make_shared".split()),
-}
 _LANG = {"ts": "ts", "tsx": "ts", "js": "ts", "jsx": "ts", "mjs": "ts", "cjs": "ts", "py": "py", "go": "go", "rs": "rs", "java": "java", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "c": "cpp", "h": "cpp", "hpp": "cpp", "hxx": "cpp"}
 
 _N = r"(?P<name>[A-Za-z_$][\w$]*)"
@@ -84,9 +77,9 @@ _IMPORT = {
     "java": re.compile(r"^[ \t]*import\s+(?:static\s+)?(?P<src>[\w.]+(?:\.\*)?)\s*;", re.M),
     "cpp": re.compile(r"^[ \t]*#\s*include\s+[<\"](?P<src>[^>\"\n]+)[>\"]", re.M),
 }
-_CALL = re.compile(r"(?:(?P<obj>[A-Za-z_$][\w$]*)\s*(?P<op>\.|->|::)\s*)?(?<![\w$])(?P<name>[A-Za-z_$][\w$]*)(?P<bang>!)?\s*\(")
+_CALL = re.compile(r"(?<![\w$])(?P<name>[A-Za-z_$][\w$]*)(?P<bang>!)?\s*\(")
+_OPERATORS = ("?.", ".", "->", "::")
 _TYPE_REF = re.compile(r"(?:\bnew\s+|\bextends\s+|\bimplements\s+|:\s*&?(?:mut\s+)?|->\s*|<)(?P<name>[A-Z]\w*)")
-_BASE = re.compile(r"^(?:node:)?(@[^/]+/[^/]+|[^/]+)")
 
 
 @dataclass
@@ -106,7 +99,7 @@ class Symbol:
 class Fragment:
     """What one file adds to the graph."""
 
-    nodes: list[tuple] = field(default_factory=list)  # id, type, name, file, start_line, end_line, external
+    nodes: list[tuple] = field(default_factory=list)  # id, type, name, file, start_line, end_line, external, doc, deprecated
     edges: list[tuple] = field(default_factory=list)  # source, target, type, confidence, caller_line
 
 
@@ -258,7 +251,7 @@ def _use_tree(use: str, base: str = "") -> list[tuple[str, str, str]]:
 
 def parse(text: str | None, path: str) -> Fragment:
     """The fragment of one file; unknown languages, null and blank texts give the file's node only."""
-    frag = Fragment([(path, "file", path.rpartition("/")[2], path, 0, None, False)])
+    frag = Fragment([(path, "file", path.rpartition("/")[2], path, 0, None, False, None, None)])
     lang = _LANG.get(path.rpartition(".")[2].lower())
     if not lang or not text or not text.strip():
         return frag
@@ -270,20 +263,29 @@ def parse(text: str | None, path: str) -> Fragment:
     def node(*row) -> None:
         if row[0] not in seen_nodes:
             seen_nodes.add(row[0])
-            frag.nodes.append(row)
+            frag.nodes.append(row + (None,) * (9 - len(row)))
 
     def edge(a: str, b: str, kind: str, conf: str, line: int | None = None) -> None:
         if a != b and (a, b) not in seen_edges:
             seen_edges.add((a, b))
             frag.edges.append((a, b, kind, conf, line))
 
+    docs = symbol_docs(text, lang, syms)
     for s in syms:
-        node(s.id, s.kind, s.name, path, s.line, s.end_line, False)
+        doc = docs.get(s.start)
+        node(s.id, s.kind, s.name, path, s.line, s.end_line, False, doc, "@deprecated" in doc if doc and lang == "ts" else None)
         edge(s.parent if s.parent in ids else path, s.id, "defines", "EXTRACTED")
+        for link in doc_links(doc) if lang == "ts" else ():
+            node(link, "file", link.rpartition("/")[2], link, 0, None, True)
+            edge(s.id, link, "explains", "EXTRACTED")
     bound: dict[str, tuple[str, str]] = {}
     packs: dict[str, str] = {}
+    standard = set()
     for src, names in imports(text, lang):
-        pack = f"import::{_BASE.match(src)[1] if lang == 'ts' and not src.startswith('.') and _BASE.match(src) else src}"
+        if is_standard(src, lang, lang == "cpp" and f"<{src}>" in text):
+            standard.update(names)
+            continue
+        pack = f"import::{src}"
         node(pack, "file", pack[8:], "", 0, None, True)
         edge(path, pack, "imports", "EXTRACTED")
         packs[src] = pack
@@ -296,12 +298,21 @@ def parse(text: str | None, path: str) -> Fragment:
         by_name.setdefault(s.name, []).append(s)
     order = sorted(syms, key=lambda s: s.start)
     at_start = {s.start for s in syms} | {s.start + len(re.match(r"[^\w]*(?:async\s+)?(?:def|class)\s+", clean[s.start :] or " ")[0]) for s in syms if lang == "py" and re.match(r"[^\w]*(?:async\s+)?(?:def|class)\s+", clean[s.start :])}
-    words, skip, prefix = _KEYWORDS[lang], _BUILTIN[lang], "" if lang == "ts" else "import::"
+    words, skip, prefix = _KEYWORDS[lang], BUILT_INS[lang], "" if lang == "ts" else "import::"
+    outer = _declared(clean, lang, 0, len(clean), syms) if lang in ("ts", "go") else frozenset()
+    inner = {s.start: _parameters(clean, lang, s) | _declared(clean, lang, s.start, s.end, ()) for s in syms if s.kind == "function"}
+    known = lambda x: lang == "ts" and (x in by_name or x in bound)
     open_: list[Symbol] = []
     k = 0
+    openings = _openings(clean)
     for m in _CALL.finditer(clean):
-        name, obj, at = m["name"], m["obj"], m.start("name")
-        if name in words or at in at_start or (obj is None and name in skip) or obj in skip:
+        name, at = m["name"], m.start("name")
+        obj = _receiver(clean, at, openings)
+        if name in words or at in at_start or obj in words and obj not in ("this", "self", "super"):
+            continue
+        if name in skip and not known(name) or obj is not None and obj in skip - _SELVES and not known(obj):
+            continue
+        if (obj or name) in standard or obj is not None and lang in ("py", "rs", "java") and obj not in bound and obj not in by_name and is_standard(obj, lang):
             continue
         while k < len(order) and order[k].start <= at:
             open_.append(order[k])
@@ -310,6 +321,8 @@ def parse(text: str | None, path: str) -> Fragment:
         caller = max(open_, key=lambda s: s.start) if open_ else None
         if caller and caller.start <= at < caller.start + len(caller.name) + 1:
             continue
+        if obj is None and (name in outer or any(name in inner.get(s.start, ()) for s in open_)):
+            continue  # a variable or parameter
         who, line = caller.id if caller else path, bisect_right(starts, at)
         local = [s for s in by_name.get(name, ()) if s.kind == "function" or obj is None]
         if obj is not None and obj not in ("this", "self", "super", "cls"):
@@ -351,6 +364,8 @@ def parse(text: str | None, path: str) -> Fragment:
             _ghost(node, edge, who, name, path, line)
     for m in _TYPE_REF.finditer(clean):
         at = m.start("name")
+        if any(m["name"] in inner.get(s.start, ()) for s in order if s.start <= at < s.end):
+            continue
         hits = [s for s in by_name.get(m["name"], ()) if s.kind != "function"]
         if hits:
             inside = [s for s in order if s.start <= at < s.end]
@@ -358,6 +373,153 @@ def parse(text: str | None, path: str) -> Fragment:
     return frag
 
 
+def _openings(clean: str) -> dict[int, int]:
+    """Position after each closing round or square bracket to that of its opening one."""
+    out, stack = {}, []
+    for m in re.finditer(r"[()\[\]]", clean):
+        if m[0] in "([":
+            stack.append(m.start())
+        elif stack:
+            out[m.end()] = stack.pop()
+    return out
+
+
+def _receiver(clean: str, at: int, openings: dict[int, int]) -> str | None:
+    """The first name of the chain that a call at ``at`` ends, as ``a`` in ``a.b(c)?.d(``; None for a bare call or an expression."""
+    root = None
+    while True:
+        at = len(clean[max(0, at - 200) : at].rstrip()) + max(0, at - 200)
+        op = next((o for o in _OPERATORS if clean.startswith(o, at - len(o))), None) if at > 1 else None
+        if op is None:
+            return root
+        at -= len(op)
+        at = len(clean[max(0, at - 200) : at].rstrip()) + max(0, at - 200)
+        if clean[at - 1 : at] == "!":
+            at -= 1
+        while at in openings:
+            at = openings[at]
+        end = at
+        while at > 0 and (clean[at - 1].isalnum() or clean[at - 1] in "_$"):
+            at -= 1
+        if at == end:
+            return None
+        root = clean[at:end]
+
+
+_SELVES = frozenset(("this", "self", "super", "cls", "Self"))
+_COMMENT = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)", re.S)
+_ANNOTATION = re.compile(r"(?:@[\w.]+(?:\([^)]*\))?|#!?\[[^\]]*\]|template\s*<[^>]*>)\s*\Z")
+
+
+def symbol_docs(text: str, lang: str, syms: list[Symbol]) -> dict[int, str]:
+    """The documentation of each symbol, by its place: what comments stand right before it, as each language writes them.
+
+    Scripts keep the comments as they are, others without their marks; Java takes a ``/**`` block only,
+    Rust lines of ``///`` and ``//!`` only, Python the docstring.
+    """
+    if lang == "py":
+        return {s.start: d for s in syms if (d := _docstring(text, s))}
+    spans = {m.end(): m.start() for m in _COMMENT.finditer(text) if blank(text[m.start() : m.end()], lang).strip() == ""}
+    ends = sorted(spans)
+    out = {}
+    for s in syms:
+        at = text.rfind("\n", 0, s.start) + 1
+        got: list[str] = []
+        while True:
+            at = len(text[:at].rstrip())
+            if at in spans:
+                k = bisect_right(ends, at) - 1
+                got.insert(0, text[spans[ends[k]] : at])
+                at = spans[ends[k]]
+            elif not got and (m := _ANNOTATION.search(text, max(0, at - 300), at)):
+                at = m.start()
+            else:
+                break
+        doc = _doc_text(got, lang)
+        if doc:
+            out[s.start] = doc
+    return out
+
+
+def _doc_text(comments: list[str], lang: str) -> str | None:
+    if lang == "ts":
+        return "\n".join(comments) or None
+    if lang == "java":
+        if not comments or not comments[-1].startswith("/**"):
+            return None
+        lines = (re.sub(r"^\s*\*\s?", "", x).strip() for x in comments[-1].removeprefix("/**").removesuffix("*/").split("\n"))
+        return "\n".join(x for x in lines if x) or None
+    if lang == "rs":
+        kept: list[str] = []
+        for c in reversed(comments):
+            if not c.startswith(("///", "//!")):
+                break
+            kept.insert(0, c[3:].strip())
+        return "\n".join(kept) or None
+    return "\n".join(re.sub(r"^//|^/\*|\*/$", "", c).strip() for c in comments) or None
+
+
+def _docstring(text: str, s: Symbol) -> str | None:
+    """The string that opens the body of a Python definition."""
+    head = re.compile(r"(?:[^\n:\"'#]|\([^()]*(?:\([^()]*\)[^()]*)*\)|:(?!\s*(?:#[^\n]*)?\n))*:\s*(?:#[^\n]*)?\n\s*[rRuUbB]?(\"{3}|'{3}|\"|')(.*?)\1", re.S)
+    body = text[s.start : s.end]
+    k = body.find("def ") if s.kind == "function" else body.find("class ")
+    m = head.match(body, max(0, k))
+    return m[2].strip() or None if m else None
+
+
+def doc_links(doc: str | None) -> list[str]:
+    """What ``@see`` and ``{@link}`` of a documentation comment point to, in order of kind."""
+    found = [*re.findall(r"@see\s+([^\s}]+)", doc), *re.findall(r"\{@link\s+([^\s}]+)", doc)] if doc else []
+    return [x for x in (re.sub(r"['\"]", "", f) for f in found) if x]
+
+
+_WORD = re.compile(r"[A-Za-z_$][\w$]*")
+_LOCALS = {
+    "ts": re.compile(r"\b(?:const|let|var)\s+(?P<names>\{[^{}]*\}|\[[^\[\]]*\]|[A-Za-z_$][\w$]*)"),
+    "py": re.compile(r"^[ \t]*(?P<names>[\w, ()*]+?)\s*(?::[^=\n]+)?=(?!=)|\bfor\s+(?P<each>[\w, ()]+?)\s+in\b|\bas\s+(?P<as>\w+)|\blambda\s+(?P<args>[^:\n]*):", re.M),
+    "go": re.compile(r"(?P<names>\w+(?:\s*,\s*\w+)*)\s*:=|\b(?:var|const)\s+(?P<var>\w+)"),
+    "rs": re.compile(r"\blet\s+(?:mut\s+)?(?P<names>\([^()=]*\)|\w+)|\bfor\s+(?P<each>\w+)\s+in\b|\|(?P<args>[^|\n]*)\|"),
+    "java": re.compile(r"^[ \t]*(?:final\s+)?[\w<>\[\],.?]+\s+(?P<names>\w+)\s*(?:=(?!=)|;)|\bfor\s*\(\s*(?:final\s+)?[\w<>\[\],.]+\s+(?P<each>\w+)\s*[:=]", re.M),
+    "cpp": re.compile(r"^[ \t]*(?:const\s+)?[\w:<>,*&]+[\s*&]+(?P<names>\w+)\s*(?:=(?!=)|;|\{)|\bfor\s*\(\s*(?:const\s+)?[\w:<>,]+[\s*&]+(?P<each>\w+)\s*[:=]", re.M),
+}
+
+
+def _declared(clean: str, lang: str, start: int, end: int, syms) -> frozenset[str]:
+    """Names of variables declared between two places; with ``syms`` only those outside of functions."""
+    out: set[str] = set()
+    bodies = sorted((s.start, s.end) for s in syms if s.kind == "function" and "\n" in clean[s.start : s.end])
+    for m in _LOCALS[lang].finditer(clean, start, end):
+        if bodies and any(a < m.start() < b for a, b in bodies):
+            continue
+        for v in m.groupdict().values():
+            if v:
+                out.update(_WORD.findall(v))
+    return frozenset(out - {"self", "cls", "in", "mut", "const", "return", "new", "else"})
+
+
+def _parameters(clean: str, lang: str, s: Symbol) -> frozenset[str]:
+    """Names in the parameter list of a function: all of them in scripts and Python, where types and defaults count, too."""
+    open_ = clean.find("(", s.start)
+    if open_ < 0 or open_ >= s.end:
+        return frozenset()
+    depth, k = 0, open_
+    while k < s.end:
+        depth += (clean[k] == "(") - (clean[k] == ")")
+        if depth == 0:
+            break
+        k += 1
+    inside = clean[open_ + 1 : k]
+    if lang in ("ts", "py"):
+        return frozenset(_WORD.findall(inside))
+    parts = re.sub(r"<[^<>]*>", "", inside).split(",")
+    if lang == "rs":
+        return frozenset(w for p in parts for w in _WORD.findall(p.split(":")[0]))
+    if lang == "go":
+        return frozenset(w[0] for p in parts if (w := _WORD.findall(p)) and len(p.split()) > 1)
+    return frozenset(w[-1] for p in parts if len(w := _WORD.findall(p.split("=")[0])) > 1)
+
+
 def _external(node, edge, who: str, target: str, name: str, line: int) -> None:
     node(target, "function", name, "", 0, None, True)
     edge(who, target, "calls", "EXTRACTED", line)
@@ -368,16 +530,21 @@ def _ghost(node, edge, who: str, name: str, path: str, line: int) -> None:
     edge(who, f"unresolved::{name}", "calls", "AMBIGUOUS", line)
 
 
-_NODE = pa.struct([("id", pa.string()), ("type", pa.string()), ("name", pa.string()), ("file", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("external", pa.bool_())])
+_NODE = pa.struct([("id", pa.string()), ("type", pa.string()), ("name", pa.string()), ("file", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("external", pa.bool_()), ("doc", pa.string()), ("deprecated", pa.bool_())])
 _EDGE = pa.struct([("source", pa.string()), ("target", pa.string()), ("type", pa.string()), ("confidence", pa.string()), ("caller_line", pa.int32())])
 _SQL = (
-    "path string, nodes array<struct<id:string,type:string,name:string,file:string,start_line:int,end_line:int,external:boolean>>, "
+    "path string, nodes array<struct<id:string,type:string,name:string,file:string,start_line:int,end_line:int,external:boolean,doc:string,deprecated:boolean>>, "
     "edges array<struct<source:string,target:string,type:string,confidence:string,caller_line:int>>"
 )
 
 
-def fragments(files: DataFrame) -> DataFrame:
-    """``path, nodes, edges`` of files ``(path, content)``: parser output, one row per file, to be kept by content hash."""
+LANGUAGES = _LANG  # of an extension
+EDGE_SCHEMA = "struct<source:string,target:string,type:string,confidence:string,caller_line:int>"
+FRAGMENT_SCHEMA = _SQL
+
+
+def fragments(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``path, nodes, edges`` of files ``(path, content)``, after the string columns ``keep``: parser output, one row per file, to be kept by content hash."""
     keys = [f.name for f in _NODE], [f.name for f in _EDGE]
 
     def run(batches):
@@ -385,10 +552,11 @@ def fragments(files: DataFrame) -> DataFrame:
             done = [parse(t, p) for p, t in zip(b.column("path").to_pylist(), b.column("content").to_pylist())]
             nodes = pa.array([[dict(zip(keys[0], r)) for r in f.nodes] for f in done], pa.list_(_NODE))
             edges = pa.array([[dict(zip(keys[1], r)) for r in f.edges] for f in done], pa.list_(_EDGE))
-            yield pa.RecordBatch.from_arrays([b.column("path"), nodes, edges], ["path", "nodes", "edges"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), b.column("path"), nodes, edges], [*keep, "path", "nodes", "edges"])
 
     ship(files.sparkSession)
-    return spread(files.where("path is not null").select("path", "content")).mapInArrow(run, _SQL)
+    schema = "".join(f"{c} string, " for c in keep) + _SQL
+    return spread(files.where("path is not null").select(*keep, "path", "content")).mapInArrow(run, schema)
 
 
 def fragment_nodes(frags: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import posixpath
 import re
 
@@ -81,17 +82,46 @@ def scan_directory(spark: SparkSession, root: str, patterns: list[str] | None =
     """``path, relative, size, mtime_ms, bytes`` of the files to scan below ``root``.
 
     ``patterns`` are the lines of the root's ignore files. The listing is the ``binaryFile``
-    source, so bytes are only read by queries that use them.
+    source, so bytes are only read by queries that use them. That source passes over names that
+    begin with a dot or an underscore, and all below such folders; these are listed apart.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "/+$", "")
     base = "/" + root.removeprefix("file:").strip("/")
     rows = rows.select(
         path.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").cast("double").alias("mtime_ms"), F.col("content").alias("bytes")
-    ).withColumn("relative", F.expr(f"substring(path, {len(base) + 2})"))
+    )
+    if hidden := hidden_files(spark, base):
+        listed = spark.createDataFrame(hidden, "path string, size bigint, mtime_ms double")
+        rows = rows.unionByName(listed.repartition(max(1, len(hidden) // 1000)).mapInArrow(_read_bytes, "path string, size bigint, mtime_ms double, bytes binary"))
+    rows = rows.withColumn("relative", F.expr(f"substring(path, {len(base) + 2})"))
     return rows.where(extension(F.col("relative")).isin(*EXTENSIONS) & ~ignored(F.col("relative"), patterns or []))
 
 
+def hidden_files(spark: SparkSession, root: str) -> list[tuple[str, int, float]]:
+    """``(path, size, mtime_ms)`` of the files to scan below ``root`` (on a mounted file system) with a name or folder that begins with a dot or underscore."""
+    out = []
+    for folder, dirs, names in os.walk(root):
+        dirs[:] = [d for d in dirs if d not in ALWAYS_IGNORED]
+        inside = any(p[:1] in "._" for p in folder[len(root) :].split("/") if p)
+        for n in names:
+            if (inside or n[:1] in "._") and n.rpartition(".")[2] in EXTENSIONS:
+                s = os.stat(os.path.join(folder, n))
+                out.append((os.path.join(folder, n), s.st_size, float(int(s.st_mtime * 1000))))
+    return out
+
+
+def _read_bytes(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        data = []
+        for p in b.column("path").to_pylist():
+            with open(p, "rb") as f:
+                data.append(f.read())
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(data, pa.binary())], [*b.schema.names, "bytes"])
+
+
 def file_nodes(files: DataFrame) -> DataFrame:
     """``id, type, name, file, start_line, extension``: one node per file, media by extension."""
     ext = extension(F.col("path"))
@@ -256,10 +286,18 @@ def resolve_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
     return hits.groupBy("file", "specifier").agg(F.min_by("path", F.struct("k", (-common).alias("c"), "path")).alias("resolved"))
 
 
+def base_package(id_: Column, path: Column) -> Column:
+    """``import::<package>`` for the import of a package's part by a script: scoped names keep two segments, others one; other ids stay."""
+    spec = F.regexp_replace(id_, "^import::", "")
+    script = F.lower(path).rlike(r"\.[cm]?[jt]sx?$") & id_.startswith("import::") & ~id_.contains("import::.") & ~spec.contains("::")
+    return F.when(script, F.concat(F.lit("import::"), F.regexp_extract(spec, r"^(?:node:)?(@[^/]+/[^/]+|[^/]*)", 1))).otherwise(id_)
+
+
 def link_imports(edges: DataFrame, resolved: DataFrame) -> DataFrame:
     """Edges ``(path, source, target, ...)`` of parsed files with the module part of each target replaced by the file it resolves to.
 
     ``import::<module>`` becomes the file, ``<module>::name`` (with or without ``import::``) the symbol in it; others stay.
+    What a package was said to define goes if it is a file's after all: the file says so itself.
     """
     bare = F.regexp_replace("target", "^import::", "")
     cut = F.when(F.col("type") == "imports", F.lit(0)).otherwise(F.length(bare) - F.length(F.element_at(F.split(bare, "::"), -1)) - 2)
@@ -267,5 +305,5 @@ def link_imports(edges: DataFrame, resolved: DataFrame) -> DataFrame:
     name = F.when(cut > 0, F.concat(F.lit("::"), F.element_at(F.split(bare, "::"), -1))).otherwise(F.lit(""))
     rows = edges.withColumns({"_m": module, "_n": name})
     r = resolved.select(F.col("file").alias("path"), F.col("specifier").alias("_m"), "resolved")
-    out = rows.join(r, ["path", "_m"], "left").withColumn("target", F.coalesce(F.concat("resolved", "_n"), "target"))
+    out = rows.join(r, ["path", "_m"], "left").where(F.col("resolved").isNull() | ~F.col("source").startswith("import::")).withColumn("target", F.coalesce(F.concat("resolved", "_n"), "target"))
     return out.select(*edges.columns).where("source <> target")

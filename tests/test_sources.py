@@ -57,7 +57,9 @@ def test_texts(spark):
 
     md = spark.createDataFrame([("/r/doc/a.md", "see [x](./b.ts) and `c.ts` [y](../d.py#l1) `not it.` [x](./b.ts) [s](./a.md)", "n"), ("/r/n.md", None, "n"), ("/r/e.md", "", "n")], "path string, text string, name string")
     f = spark.createDataFrame([("/r/doc/b.ts",), ("/r/c.ts",), ("/r/d.py",), ("/r/doc/a.md",)], "path string")
-    assert {tuple(r) for r in texts.markdown_links(md, f, "/r").collect()} == {("/r/doc/a.md", "/r/doc/b.ts"), ("/r/doc/a.md", "/r/c.ts"), ("/r/doc/a.md", "/r/d.py")}
+    assert {tuple(r) for r in texts.markdown_links(md, f, "/r").collect()} == {("/r/doc/a.md", "/r/doc/b.ts"), ("/r/doc/a.md", "/r/c.ts")}  # a target with a fragment is no file
+    odd = spark.createDataFrame([("/r/o.md", "[a [b] c](./b.ts) [two\nlines](./no) [x](./c\nd) `e.f\ng` ``h.i``", "n")], "path string, text string, name string")
+    assert set(odd.select(texts.markdown_refs(F.col("text"))).first()[0]) == {"./b.ts", "./c\nd", "e.f\ng", "h.i"}
     assert [r[0] for r in md.select(texts.word_count(F.col("text"))).collect()][1:] == [0, 0]
     js = spark.createDataFrame([('{"a":1,"b":{"c":2}}',), ("[1,2,3]",), ("{bad",), (None,), ("{}",)], "t string")
     assert [r[0] for r in js.select(texts.json_key_count(F.col("t"))).collect()] == [2, 3, None, None, 0]
@@ -75,9 +77,21 @@ def test_stored_graphs(spark, tmp_path):
     g, part = texts.load_graph_json(spark, str(tmp_path / "g.json"))
     assert {r["id"]: r["name"] for r in g.nodes.collect()} == {"a/b": "B", "c": None} and [r["relation"] for r in g.edges.orderBy("ord").collect()] == ["calls", "imports"]
     assert {tuple(r) for r in part.collect()} == {("a/b", 4), ("c", 5)}
+    doc["nodes"][0] |= {"keyCount": 3, "startLine": 7, "external": True}
+    doc["edges"][0]["callerLine"] = 9
+    (tmp_path / "h.json").write_text(json.dumps(doc))
+    g, part = texts.load_graph_json(spark, str(tmp_path / "h.json"))
+    b = {r["id"]: r for r in g.nodes.collect()}["a/b"]
+    assert b["meta"] == {"keyCount": "3"} and b["start_line"] == 7 and b["external"] is True and g.edges.orderBy("ord").first()["meta"] == {"callerLine": "9"}
+    texts.export_graph_document(g, str(tmp_path / "doc"), part)
+    again, parts = texts.load_graph_json(spark, str(tmp_path / "doc"))
+    assert {r["id"]: (r["name"], r["start_line"]) for r in again.nodes.collect()} == {r["id"]: (r["name"], r["start_line"]) for r in g.nodes.collect()}
+    assert [(r["src"], r["dst"], r["relation"]) for r in again.edges.orderBy("ord").collect()] == [(r["src"], r["dst"], r["relation"]) for r in g.edges.orderBy("ord").collect()] and parts.count() == 2
+    texts.export_graph_document(texts.load_graph_json(spark, str(tmp_path / "doc"))[0].__class__(g.nodes.limit(0), g.edges.limit(0)), str(tmp_path / "none"))
+    assert texts.load_graph_json(spark, str(tmp_path / "none"))[0].nodes.count() == 0
     texts.save_graph(g, str(tmp_path / "store"))
     back = texts.load_graph(spark, str(tmp_path / "store"))
-    assert set(map(tuple, back.edges.collect())) == set(map(tuple, g.edges.collect())) and back.nodes.count() == 2
+    assert {str(r) for r in back.edges.collect()} == {str(r) for r in g.edges.collect()} and back.nodes.count() == 2
     texts.export_graph_json(g, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out/edges")).count() == 2
 
@@ -102,7 +116,8 @@ def test_extractors(spark):
     assert {("::Outer.inner", "./lib::x", "calls", "EXTRACTED"), ("::Outer.inner", "::Outer.other", "calls", "EXTRACTED"), ("::Outer.inner", "unresolved::missing", "calls", "AMBIGUOUS"), ("::Outer.inner", "::helper", "calls", "EXTRACTED"), ("", "::Outer", "defines", "EXTRACTED"), ("::Outer", "::Outer.inner", "defines", "EXTRACTED"), ("", "import::./lib", "imports", "EXTRACTED")} <= ts
     assert not any("notCalled" in b or "alsoNot" in b for _, b, _, _ in ts) and ("::Outer.other", "::Kind", "references", "EXTRACTED") in ts or ("::Outer.other", "::Kind", "calls", "EXTRACTED") in ts
     assert ids("/p/b.py") == {"::A": "class", "::A.m": "function", "::A.n": "function", "::top": "function", "::top.nested": "function"}
-    assert {("::A.m", "import::pkg.mod::name", "calls", "EXTRACTED"), ("::A.n", "unresolved::unknown_fn", "calls", "AMBIGUOUS"), ("::top", "::top.nested", "defines", "EXTRACTED"), ("", "import::os", "imports", "EXTRACTED")} <= edges("/p/b.py")
+    assert {("::A.m", "import::pkg.mod::name", "calls", "EXTRACTED"), ("::A.n", "unresolved::unknown_fn", "calls", "AMBIGUOUS"), ("::top", "::top.nested", "defines", "EXTRACTED")} <= edges("/p/b.py")
+    assert not any("os" in b.split("::") or "fs" in b.split("::") or "import" == b for p in f for _, b, _, _ in edges(p))  # standard libraries are no nodes
     assert ids("/p/c.go") == {"::T": "struct", "::I": "interface", "::T.Run": "function", "::helper": "function"}
     assert {("::T", "::T.Run", "defines", "EXTRACTED"), ("::T.Run", "::helper", "calls", "EXTRACTED"), ("::T.Run", "import::a/b/util::Do", "calls", "EXTRACTED")} <= edges("/p/c.go")
     assert ids("/p/d.rs") == {"::S": "struct", "::S.go": "function", "::local": "function", "::mac": "macro"}
@@ -143,15 +158,17 @@ def test_incremental_stream(spark, tmp_path):
 @pytest.fixture(scope="module")
 def session(spark):
     from codelattice.api import Session
-    from codelattice.plans.graph_queries import graph, held
+    from codelattice.plans.graph_queries import stored
 
-    return Session(held(graph(spark, "/root/testdata/sf0.001")))
+    return Session(stored(spark, "/root/testdata/sf0.001"))
 
 
 def test_api(session):
     assert session.search("emit").count() > 0 and session.node("falconstack/core::emit").count() == 1
     assert session.neighbors("falconstack/core::emit").count() == 20 and session.god_nodes(2, 5).count() == 5
-    assert session.path("falconstack/core::emit", "wharfloom::useStore").startswith("falconstack/core::emit <--")
+    text = session.path("falconstack/core::emit", "wharfloom::useStore")
+    assert text.startswith("Shortest path (") and "<--calls [" in text
+    assert session.neighbors("emit", "in", "function", "core").count() > 0  # the type picks the symbol, not its neighbours
     text = session.query("useStore emit", "bfs", 2, 100)
     assert text.startswith("Traversal: BFS depth=2 | Start: [") and text.endswith("(truncated to ~100 token budget)") and len(text.split("\n...")[0]) == 300
     assert session.query("useStore emit", "dfs", 1).startswith("Traversal: DFS depth=1")
@@ -191,3 +208,50 @@ def test_views(spark):
     assert [(r["id"], r["score"]) for r in V.suggestions(g, "AB").collect()] == [("a", 1000.03), ("c", 1.02)]
     assert [(r["id"], r["relation"]) for r in V.neighbour_list(g, "a", "in", n).collect()] == [("b", "explains"), ("c", "calls"), ("c", "imports")]
     assert [tuple(r) for r in V.legend(p).collect()] == [(0, "k", 1, 0.0)]
+
+
+DOCS = {
+    "a.ts": ("// one\n/** Two. @see ./b {@link Foo}\n * @deprecated */\nexport function f() {}\n\nconst x = 1;\nfunction g() {}\n", {"f": "// one\n/** Two. @see ./b {@link Foo}\n * @deprecated */", "g": None}),
+    "a.py": ("def f(a, b=(1, 2)) -> int:  # c\n    \"\"\"Doc f.\n\n    More.\n    \"\"\"\n    return 1\n\nclass K:\n    'Doc K.'\n    def g(self): return 'no'\n", {"f": "Doc f.\n\n    More.", "K": "Doc K.", "K.g": None}),
+    "a.go": ("package a\n\n// F sums.\n// Twice.\nfunc F() {}\n\n/* T is. */\ntype T struct {\n}\n", {"F": "F sums.\nTwice.", "T": "T is."}),
+    "A.java": ("/**\n * Doc A.\n *\n * More.\n */\n@Anno(x = 1)\npublic class A {\n  // plain\n  void f(int a) { }\n}\n", {"A": "Doc A.\nMore.", "A.f": None}),
+    "a.rs": ("// no\n/// Doc f.\n/// More.\n#[inline]\npub fn f() {}\n", {"f": "Doc f.\nMore."}),
+    "a.cpp": ("// Doc f.\ntemplate <class T>\nint f(T a) {\n  return 1;\n}\n", {"f": "Doc f."}),
+}
+
+
+@pytest.mark.parametrize("name", sorted(DOCS))
+def test_docs_of_symbols(name):
+    text, want = DOCS[name]
+    frag = code.parse(text, "/" + name)
+    assert {n[0].split("::")[1]: n[7] for n in frag.nodes if n[0].startswith("/" + name + "::")} == want
+    if name == "a.ts":
+        assert {(a, b) for a, b, k, _, _ in frag.edges if k == "explains"} == {("/a.ts::f", "./b"), ("/a.ts::f", "Foo")}
+        assert {n[0]: n[8] for n in frag.nodes}["/a.ts::f"] is True
+
+
+SHADOWS = [
+    ("a.ts", "import { p } from './p';\nfunction f(cb: any) {\n  const { k } = cb;\n  cb(); k(); p(); free();\n}\nlet top = 1;\nfunction g() { top(); }\n", {"./p::p", "unresolved::free"}),
+    ("a.py", "def f(cb, x=None):\n    k = cb\n    for e in x:\n        e()\n    with open(k) as w:\n        w()\n    cb(); k(); free()\n", {"unresolved::free"}),
+    ("a.go", "package a\n\nfunc F(cb func()) {\n\tk := cb\n\tcb()\n\tk()\n\tfree()\n}\n", {"unresolved::free"}),
+    ("A.java", "class A {\n  void f(Run cb) {\n    Run k = cb;\n    cb(); k(); free();\n  }\n}\n", {"unresolved::free"}),
+    ("a.rs", "fn f(cb: F) {\n    let k = cb;\n    cb(); k(); free();\n}\n", {"unresolved::free"}),
+    ("a.cpp", "void f(F cb) {\n  auto k = cb;\n  cb(); k(); free_it();\n}\n", {"unresolved::free_it"}),
+]
+
+
+@pytest.mark.parametrize("name,text,want", SHADOWS)
+def test_variables_and_built_ins_are_no_targets(name, text, want):
+    assert {b for _, b, k, _, _ in code.parse(text, "/" + name).edges if k == "calls"} == want
+
+
+def test_receivers_and_standard_libraries():
+    ts = "import api from 'api-kit';\nimport path from 'path';\nfunction f() {\n  api.users.list().then(go).save();\n  path.posix.join(a);\n  JSON.parse(x);\n  [1].map(g);\n  arr.push(1);\n}\n"
+    assert {b for _, b, k, _, _ in code.parse(ts, "/a.ts").edges if k == "calls"} <= {"api-kit::list", "api-kit::save", "unresolved::go"}
+    assert ("/a.ts::f", "api-kit::list") in {(a, b) for a, b, *_ in code.parse(ts, "/a.ts").edges}
+    rs = "fn f() { std::fs::read(x); HashMap::new(); other::run(); }\n"
+    assert {b for _, b, k, _, _ in code.parse(rs, "/a.rs").edges if k == "calls"} == {"unresolved::run"}
+    from codelattice.sources.names import is_standard
+
+    assert is_standard("node:fs/promises", "ts") and not is_standard("./fs", "ts") and is_standard("os.path", "py") and is_standard("java.util.List", "java") and is_standard("std::io", "rs")
+    assert is_standard("vector", "cpp") and is_standard("own.h", "cpp", True) and not is_standard("own.h", "cpp") and is_standard("net/http", "go") and not is_standard("github.com/a/b", "go")
