@@ -8,8 +8,10 @@ backwards, each removed node taking root, depth and path from the parent it had.
 
 All joins forward are between unique keys, so a container that holds a third of all rows is
 no hot spot; counting its children is combined map-side. The replay joins many removed rows
-with one parent row, and adaptive skew handling splits such a partition. Every round's
-records are checkpointed, which keeps plans short and makes rounds survive lost executors.
+with one parent row, and adaptive skew handling splits such a partition; of the solved rows only
+those go into it that may be a parent asked for. Every round's records are checkpointed, in as
+few parts as their number needs, which keeps plans and task counts short and makes rounds
+survive lost executors.
 """
 
 from __future__ import annotations
@@ -19,10 +21,18 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelattice.functions.mask import mask_of, may_hold
 from codelattice.model import norm_id
 from codelattice.session import cut
 
 _IDS = "array<string>"
+ROWS = 100_000  # in one part of a round's records
+KNOWN = 500_000  # solved rows above which those that no parent asks for are kept out of a replay's shuffle
+
+
+def _kept(df: DataFrame, n: int) -> DataFrame:
+    """``df``, of about ``n`` rows, checkpointed in as many parts as that needs."""
+    return cut(df.coalesce(max(1, -(-n // ROWS))))
 
 
 def containment(edges: DataFrame, edge_type: str = "defines") -> DataFrame:
@@ -37,36 +47,41 @@ def containment(edges: DataFrame, edge_type: str = "defines") -> DataFrame:
 def hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
     """``node_id, root_id, depth`` (and ``path``, ids from the root) of each end of ``links(child, parent)``.
 
-    Repeated links count once; of several parents of a child the least counts. Ends on or
-    below a circle have the circle's least id as root, depth -1 and a null path. Null ends
-    and self links are ignored; no links give no rows.
+    Repeated links count once; of several parents of a child the least counts, and
+    ``other_parents`` tells the rest. Ends on or below a circle have the circle's least id as
+    root, depth -1 and a null path. Null ends and self links are ignored; no links give no rows.
     """
     links = links.where("child is not null and parent is not null and child <> parent")
-    state = links.groupBy(F.col("child").alias("v")).agg(F.min("parent").alias("p"))
-    state = state.withColumns({"w": F.lit(1), "m": F.lit(None).cast("string")})
-    if with_path:
-        state = state.withColumn("seg", F.array().cast(_IDS))
-    state = cut(state)
-    roots = state.select(F.col("p").alias("v")).distinct().join(state.select("v"), "v", "left_anti")
+    first = cut(links.groupBy(F.col("child").alias("v")).agg(F.min("parent").alias("p"), F.max("parent").alias("q")))
+    size, several = first.agg(F.count("*"), F.count_if(F.col("p") < F.col("q"))).first()
+    parents = first.select(F.col("p").alias("v"))
+    if several:  # ends of links that do not count are ends, too
+        parents = parents.unionByName(links.join(first.where("p < q").select(F.col("v").alias("child")), "child", "left_semi").select(F.col("parent").alias("v")))
+    roots = parents.distinct().join(first.select("v"), "v", "left_anti")
+    state = first.select("v", "p", F.lit(1).alias("w"), F.lit(None).cast("string").alias("m"), *([F.array().cast(_IDS).alias("seg")] if with_path else []))
     removed, r = [], 0
     while True:
         r += 1
-        marked = cut(_contract(state, r))
+        marked = _kept(_contract(state, r), size)
         n = {x["act"]: x["n"] for x in marked.groupBy("act").agg(F.count("*").alias("n")).collect()}  # at most 4 rows
-        removed.append([marked.where(f"act = '{a}'").drop("act", "c") for a in ("splice", "rake") if n.get(a)])
+        removed.append([(marked.where(f"act = '{a}'").drop("act", "c"), n[a]) for a in ("splice", "rake") if n.get(a)])
         if not n.get("keep"):
             break
-        state = _splice(marked, with_path)
+        state, size = _splice(marked, with_path), n["keep"] + n.get("core", 0)
     core = marked.where("act = 'core'")
     done = [
         roots.select(F.col("v").alias("node_id"), F.col("v").alias("root_id"), F.lit(0).alias("depth"), *([F.array("v").alias("path")] if with_path else [])),
         core.select(F.col("v").alias("node_id"), F.least("v", "m").alias("root_id"), F.lit(-1).alias("depth"), *([F.lit(None).cast(_IDS).alias("path")] if with_path else [])),
     ]
-    done = [cut(done[0].unionByName(done[1]))]
+    done = [cut(done[0].unionByName(done[1]).coalesce(max(1, -(-size // ROWS))))]
+    solved = done[0].count()
     for steps in reversed(removed):
         fresh = []
-        for rows in steps:  # a raked node's parent may be a node spliced in the same round, not the other way round
+        for rows, n in steps:  # a raked node's parent may be a node spliced in the same round, not the other way round
             known = reduce(DataFrame.unionByName, done + fresh)
+            if solved > KNOWN:
+                known = may_hold(known, mask_of(rows.select(F.xxhash64("p").alias("h"))), F.xxhash64("node_id"))
+            solved += n
             at = rows.join(known.withColumnRenamed("node_id", "p"), "p")
             cols = [F.col("v").alias("node_id"), "root_id", F.when(F.col("depth") < 0, -1).otherwise(F.col("depth") + F.col("w")).alias("depth")]
             if with_path:
@@ -74,10 +89,17 @@ def hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
             fresh.append(at.select(*cols))
         if fresh:
             fresh = reduce(DataFrame.unionByName, fresh)
-            done.append(fresh if steps is removed[0] else cut(fresh))
+            done.append(fresh if steps is removed[0] else _kept(fresh, sum(n for _, n in steps)))
     return reduce(DataFrame.unionByName, done)
 
 
+def other_parents(links: DataFrame) -> DataFrame:
+    """``child, parent, kept``: the distinct links that ``hierarchy`` leaves out because the child has a lesser parent, and that one."""
+    links = links.where("child is not null and parent is not null and child <> parent")
+    least = links.groupBy("child").agg(F.min("parent").alias("kept"), F.max("parent").alias("_most")).where("kept <> _most").select("child", "kept")
+    return links.join(least, "child").where("parent <> kept").select("child", "parent", "kept").distinct()
+
+
 def _contract(state: DataFrame, r: int) -> DataFrame:
     """Each link with what this round does to its child: rake, splice, core (its own parent, alone) or keep."""
     kids = state.groupBy(F.col("p").alias("v")).agg(F.count("*").alias("n"), F.min("v").alias("c"))

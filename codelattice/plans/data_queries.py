@@ -37,6 +37,11 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     return H.descendants(H.hierarchy(H.containment(table(spark, d, "edges")), with_path=True))
 
 
+def p2_other_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Links to containers beyond the one that counts."""
+    return H.other_parents(H.containment(table(spark, d, "edges")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Targets named by at least 1 % of all rows."""
     return S.hot_targets(table(spark, d, "edges"), table(spark, d, "nodes"), table(spark, d, "externals")).select("target")
@@ -49,7 +54,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_paths": p2_paths,
-    "p2_descendants": p2_descendants, "p6_found": p6_found, "p6_report": p6_report,
+    "p2_descendants": p2_descendants, "p2_other_parents": p2_other_parents, "p6_found": p6_found, "p6_report": p6_report,
 }
 
 _P1 = r"""
@@ -89,6 +94,8 @@ SQL = {
     "p1_report": _P1 + "SELECT 'edges' AS ref_table, endpoint, kind, strftime(t, '%Y-%m') AS month, count(*) AS n FROM found GROUP BY ALL",
     "p2_found": _P2 + "SELECT node_id, root_id, depth FROM found",
     "p2_paths": _P2 + "SELECT node_id, depth, path FROM found",
+    "p2_other_parents": r"""WITH l AS (SELECT DISTINCT replace(target, '\', '/') AS child, replace(source, '\', '/') AS parent FROM edges WHERE type = 'defines' AND replace(target, '\', '/') <> replace(source, '\', '/'))
+SELECT * FROM (SELECT child, parent, min(parent) OVER (PARTITION BY child) AS kept FROM l) WHERE parent <> kept""",
     "p2_descendants": _P2
     + "SELECT node_id, descendant_id, steps::INT AS steps FROM (SELECT unnest(ids) AS node_id, id AS descendant_id, depth + 1 - generate_subscripts(ids, 1) AS steps FROM walk) WHERE steps > 0",
     "p6_found": r"SELECT replace(target, '\', '/') AS target FROM edges WHERE target IS NOT NULL GROUP BY 1 HAVING count(*) >= 0.01 * (SELECT count(*) FROM edges)",

@@ -62,3 +62,14 @@ def test_random_graphs(spark, pairs):
         first.setdefault(c, p)
     links = [(f"v{c:02}", f"v{p:02}") for c, p in first.items()]
     assert run(spark, links)[1] == brute(links)
+
+
+def test_further_parents_are_told_and_masks_change_nothing(spark, monkeypatch):
+    from codelattice.operators import hierarchy as H
+
+    df = spark.createDataFrame([("c", "b"), ("c", "a"), ("c", "a"), ("d", "c"), ("c", "c"), (None, "a"), ("e", "d")], "child string, parent string")
+    assert {tuple(r) for r in H.other_parents(df).collect()} == {("c", "b", "a")}
+    want = {tuple(r) for r in H.hierarchy(df).collect()}
+    monkeypatch.setattr(H, "KNOWN", 0)
+    monkeypatch.setattr(H, "ROWS", 1)
+    assert {tuple(r) for r in H.hierarchy(df).collect()} == want and len(want) == 5

@@ -168,7 +168,7 @@ def test_api(session):
     assert session.neighbors("falconstack/core::emit").count() == 20 and session.god_nodes(2, 5).count() == 5
     text = session.path("falconstack/core::emit", "wharfloom::useStore")
     assert text.startswith("Shortest path (") and "<--calls [" in text
-    assert session.neighbors("emit", "in", "function", "core").count() > 0  # the type picks the symbol, not its neighbours
+    assert session.neighbors("emit", "in", "function").count() > 0  # the type picks the symbol, not its neighbours
     text = session.query("useStore emit", "bfs", 2, 100)
     assert text.startswith("Traversal: BFS depth=2 | Start: [") and text.endswith("(truncated to ~100 token budget)") and len(text.split("\n...")[0]) == 300
     assert session.query("useStore emit", "dfs", 1).startswith("Traversal: DFS depth=1")
