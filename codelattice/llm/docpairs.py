@@ -6,8 +6,8 @@ further: its tags, directives, licence text, rulers, code and pointers are water
 function is documented if a sentence is left that says more than its name.
 
 Files are parsed where they are read; parsed functions meet the nodes on (file, name), the
-line deciding between namesakes. Deciding which functions are documented needs no file text
-and moves one flag per node version, combined map-side.
+line deciding between namesakes. Deciding which functions are documented moves no text: one flag
+per island and one per node version, combined map-side.
 """
 
 from __future__ import annotations
@@ -159,12 +159,6 @@ def judged_versions(nodes: DataFrame) -> DataFrame:
     return map_rows(rows, make, "id string, at bigint, ord bigint, name string, file string, start_line int, end_line int, description string")
 
 
-def documented_functions(nodes: DataFrame) -> DataFrame:
-    """``id`` of each id whose current row, of greatest (scanned_at, ord), removed or not, is a function with a telling doc."""
-    judged = judged_versions(nodes).select("id", "at", "ord", F.col("description").isNotNull().alias("tells"))
-    return judged.groupBy("id").agg(F.max(F.struct("at", "ord", "tells")).alias("_r")).where("_r.tells").select("id")
-
-
 # ---- code islands ----------------------------------------------------------------------
 
 
@@ -503,6 +497,12 @@ def parse_functions(text: str | None, ext: str) -> list[tuple[str, int, int, str
 _ISLAND = ["file", "rank", "name", "start_line"]
 
 
+def _versions(files: DataFrame) -> DataFrame:
+    """``path, rank, content`` of every version; the newest has the greatest rank."""
+    rank = F.struct(F.coalesce("mtime_ms", F.lit(-1.0)).alias("mtime_ms"), F.coalesce(F.length("content"), F.lit(-1)).alias("n"))
+    return files.where("path is not null").select(norm_id("path").alias("path"), rank.alias("rank"), "content")
+
+
 def file_islands(files: DataFrame) -> DataFrame:
     """``file, rank, name, start_line, doc, signature, code`` of the function islands of every version of each file.
 
@@ -516,9 +516,36 @@ def file_islands(files: DataFrame) -> DataFrame:
 
         return run
 
-    rank = F.struct(F.coalesce("mtime_ms", F.lit(-1.0)).alias("mtime_ms"), F.coalesce(F.length("content"), F.lit(-1)).alias("n"))
-    rows = files.where("path is not null").select(norm_id("path").alias("path"), rank.alias("rank"), "content")
-    return map_rows(rows, make, "file string, rank struct<mtime_ms:double,n:int>, name string, start_line int, doc string, signature string, code string")
+    return map_rows(_versions(files), make, "file string, rank struct<mtime_ms:double,n:int>, name string, start_line int, doc string, signature string, code string")
+
+
+def judged_islands(files: DataFrame) -> DataFrame:
+    """``file, rank, name, start_line, tells`` of the function islands of every version: whether their documentation tells something. Versions have a row without name, too."""
+
+    def make():
+        def run(paths, whens, texts):
+            out = [(p, w, *f) for p, w, t in zip(paths, whens, texts) for f in [(None, None, False), *((n, a, bool(describing_sentences(d, n))) for n, a, _, d, _, _ in parse_functions(t, p.rpartition(".")[2]))]]
+            return [list(c) for c in zip(*out)] if out else [[] for _ in range(5)]
+
+        return run
+
+    return map_rows(_versions(files), make, "file string, rank struct<mtime_ms:double,n:int>, name string, start_line int, tells boolean")
+
+
+def documented_functions(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """``id`` of each id whose current row, of greatest (scanned_at, ord), removed or not, is a documented function.
+
+    The signature on the node's line in the newest version of its file is the function's island; the
+    documentation before or in it has to tell something. The row's own doc is what the id is
+    reported for, so it has to tell something, too, and decides alone where no file has the island.
+    """
+    judged = judged_versions(nodes)
+    cur = judged.groupBy("id").agg(F.max(F.struct("at", "ord", "name", "file", "start_line", F.col("description").isNotNull().alias("tells"))).alias("_r"))
+    cur = cur.where("_r.tells").select("id", "_r.name", "_r.file", "_r.start_line")
+    islands = cut(judged_islands(files))
+    newest = islands.groupBy("file").agg(F.max("rank").alias("rank"))
+    silent = islands.where("name is not null").join(newest, ["file", "rank"], "left_semi").groupBy("file", "name", "start_line").agg(F.max("tells").alias("tells")).where("not tells")
+    return cur.join(silent, ["file", "name", "start_line"], "left_anti").select("id")
 
 
 def function_pairs(nodes: DataFrame, files: DataFrame) -> DataFrame:

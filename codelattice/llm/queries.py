@@ -56,7 +56,7 @@ def p5_current(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Functions whose doc tells something beyond their name."""
-    return docpairs.documented_functions(table(spark, d, "nodes"))
+    return docpairs.documented_functions(table(spark, d, "nodes"), table(spark, d, "source_files"))
 
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:

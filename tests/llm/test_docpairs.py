@@ -56,11 +56,12 @@ def test_current_row_and_pairs(spark):
         (7, "/a.ts::q", "function", None, None, None, None, "Never blocks.", None, None),
     ]
     nodes = spark.createDataFrame(rows, NODE)
-    assert {r["id"] for r in documented_functions(nodes).collect()} == {"/a.ts::g", "/a.ts::q"}
+    none = spark.createDataFrame([], "path string, mtime_ms double, content string, name string")
+    assert {r["id"] for r in documented_functions(nodes, none).collect()} == {"/a.ts::g", "/a.ts::q"}
     src = "// x\nfunction f() {\n}\n\nfunction g(a) {\n  return 1;\n}\nfunction g(b) {\n}\n"
     files = spark.createDataFrame([("/a.ts", 2.0, src, "n"), ("/a.ts", 1.0, "function g() {\n}", "n"), ("/b.ts", None, None, "n")], "path string, mtime_ms double, content string, name string")
     assert [(r["id"], r["signature"]) for r in function_pairs(nodes, files).collect()] == [("/a.ts::g", "function g(a) {")]
-    assert documented_functions(nodes.limit(0)).count() == 0 and function_pairs(nodes, files.limit(0)).count() == 0
+    assert documented_functions(nodes.limit(0), files).count() == 0 and function_pairs(nodes, files.limit(0)).count() == 0
 
 
 FORMS = [
@@ -108,3 +109,12 @@ def test_newest_version_without_functions(spark):
     nodes = spark.createDataFrame([(1, "/a.ts::f", "function", "f", "/a.ts", 1, None, "Never blocks.", None, "x")], NODE)
     files = spark.createDataFrame([("/a.ts", 1.0, "function f() {\n}"), ("/a.ts", 2.0, "const x = 1;")], "path string, mtime_ms double, content string")
     assert function_pairs(nodes, files).count() == 0
+
+
+def test_islands_decide_what_is_documented(spark):
+    rows = [(k, f"/a.ts::{n}", "function", n, "/a.ts", line, None, "Never blocks on it.", None, "x") for k, (n, line) in enumerate([("f", 2), ("g", 5), ("h", 9)])]
+    nodes = spark.createDataFrame(rows, NODE)
+    text = "/** Never blocks on it. */\nfunction f() {\n}\n// TODO\nfunction g() {\n}\n"
+    files = spark.createDataFrame([("/a.ts", 2.0, text), ("/a.ts", 1.0, "\nfunction f() {\n}\n"), (None, 1.0, "x"), ("/b.ts", None, None)], "path string, mtime_ms double, content string")
+    # f by its island in the newest version; g's island tells nothing; h has none, so its own doc decides
+    assert {r["id"] for r in documented_functions(nodes, files).collect()} == {"/a.ts::f", "/a.ts::h"}
