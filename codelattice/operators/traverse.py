@@ -19,6 +19,7 @@ from codelattice.operators.lookup import resolve_id
 from codelattice.operators.measure import hub_threshold, with_degree
 from codelattice.session import cut, ship
 
+FRONT = 50_000  # nodes of a level, or reached in all, that are sent to all tasks
 DFS_EDGES = 2_000_000  # the depth-first crawl refuses a larger neighbourhood
 
 
@@ -52,20 +53,34 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return a.unionByName(edges.select(F.col("dst").alias("u"), F.col("src").alias("v"), "ord", F.lit(1).alias("back")))
 
 
+def _small(df: DataFrame, n: int) -> DataFrame:
+    """``df``, of ``n`` rows, to be sent to all tasks if that is few."""
+    return F.broadcast(df) if n <= FRONT else df
+
+
+def _near(g: Graph) -> DataFrame:
+    """The edges both ways; of a graph that is not stored they are written once, since each level reads them."""
+    near = both_ways(g.edges)
+    return near if "degree" in g.nodes.columns else cut(near)
+
+
 def bfs_levels(g: Graph, seeds: DataFrame, depth: int = 3, hubs: bool = True) -> DataFrame:
     """``id, depth, expanded``: nodes within ``depth`` steps of ``seeds(id)``, either way along edges.
 
     Nodes at or above the hub threshold are reached but not gone through, seeds apart.
     """
-    near = both_ways(g.edges).select("u", "v")
+    near = _near(g).select("u", "v")
     if hubs:
         t = hub_threshold(g)
         open_ = with_degree(g).select("id", "degree").join(F.broadcast(t), F.col("degree") < F.col("threshold")).select("id")  # one row
     levels = [cut(seeds.select("id").distinct().withColumns({"depth": F.lit(0), "expanded": F.lit(depth > 0)}))]
+    reached = 0
     for d in range(1, depth + 1):
         front = levels[-1].where("expanded").select(F.col("id").alias("u"))
+        n, k = levels[-1].agg(F.count("*"), F.count_if("expanded")).first()
+        reached += n
         seen = reduce(DataFrame.unionByName, levels).select("id")
-        new = near.join(front, "u").select(F.col("v").alias("id")).distinct().join(seen, "id", "left_anti")
+        new = near.join(_small(front, k), "u").select(F.col("v").alias("id")).distinct().join(_small(seen, reached), "id", "left_anti")
         if d == depth:
             new = new.withColumn("expanded", F.lit(False))
         elif hubs:
@@ -97,18 +112,21 @@ def shortest_path(g: Graph, source: str, target: str, most: int | None = None) -
     if source == target:
         raise ValueError("source and target are the same node")
     spark = g.nodes.sparkSession
-    near = cut(both_ways(g.edges))
-    levels = [cut(spark.createDataFrame([(source, None, None, None)], "id string, parent string, ord long, back int"))]
+    near = _near(g)
+    levels = [spark.createDataFrame([(source, None)], "id string, parent string")]
+    n = reached = 1
     while True:
         if most is not None and len(levels) > most:
             return None
         seen = reduce(DataFrame.unionByName, levels).select("id")
-        new = near.join(levels[-1].select(F.col("id").alias("u")), "u").groupBy(F.col("v").alias("id")).agg(F.min(F.struct("ord", "back", "u")).alias("_p"))
-        new = cut(new.join(seen, "id", "left_anti").select("id", F.col("_p.u").alias("parent"), "_p.ord", "_p.back"))
+        new = near.join(_small(levels[-1].select(F.col("id").alias("u")), n), "u").groupBy(F.col("v").alias("id")).agg(F.min(F.struct("ord", "back", "u")).alias("_p"))
+        new = cut(new.join(_small(seen, reached), "id", "left_anti").select("id", F.col("_p.u").alias("parent")))
         levels.append(new)
-        if new.where(F.col("id") == target).limit(1).count():
+        n, found = new.agg(F.count("*"), F.max(F.col("id") == target)).first()
+        reached += n
+        if found:
             break
-        if not new.limit(1).count():
+        if not n:
             return None
     hops, at = [], target
     for level in reversed(levels[1:]):

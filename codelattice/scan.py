@@ -120,10 +120,10 @@ def fragments_of(spark: SparkSession, listing: DataFrame, store: str | None, roo
     return old.unionByName(new)
 
 
-def linked(frags: DataFrame, listing: DataFrame, aliases: list[tuple[str, str, int, str]]) -> tuple[DataFrame, DataFrame]:
+def linked(frags: DataFrame, listing: DataFrame, aliases: list[tuple[str, str, int, str]], projects: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the fragments with imports led to the files they name.
 
-    Imports that no file answers stay packages, but names without a dot in Go are its own library;
+    Modules and crates of ``projects`` are looked in first. Imports that no file answers stay packages, but names without a dot in Go are its own library;
     relative documentation links resolve like imports; Markdown references need their file.
     """
     spark = listing.sparkSession
@@ -136,7 +136,12 @@ def linked(frags: DataFrame, listing: DataFrame, aliases: list[tuple[str, str, i
     spec = wanted.select(F.col("path").alias("file"), F.regexp_replace("target", "^import::", "").alias("specifier"), lang.alias("lang")).where("lang is not null").distinct()
     ali = spark.createDataFrame(aliases, "folder string, prefix string, position int, target string")
     scripts = files.resolve_imports(spec.where("lang = 'ts'").select("file", "specifier"), paths, ali)
-    resolved = cut(scripts.unionByName(files.resolve_modules(spec.where("lang <> 'ts'"), paths)))
+    others = spec.where("lang <> 'ts'")
+    named = files.resolve_modules(others, paths)
+    if projects is not None:
+        first = cut(files.resolve_projects(others, projects, paths))
+        named = first.unionByName(named.join(first.select("file", "specifier"), ["file", "specifier"], "left_anti"))
+    resolved = cut(scripts.unionByName(named))
     led = files.link_imports(e.where(~markdown), resolved)
     led = led.withColumns({c: files.base_package(F.col(c), F.col("path")) for c in ("source", "target")})
     own = F.col("type") == "imports"
@@ -212,7 +217,7 @@ def scan(spark: SparkSession, root: str, store: str | None = None, past: History
     listing = cut(listing.withColumn("key", key))
     frags = fragments_of(spark, listing, None if force else store, root)
     seeds = files.file_nodes(listing).withColumn("ord", F.struct(F.lit("").alias("path"), F.lit(0).alias("k"))).drop("extension")
-    nodes, edges = linked(frags, listing, aliases)
+    nodes, edges = linked(frags, listing, aliases, cut(files.find_projects(spark, root)))
     g = merged(nodes.unionByName(seeds, allowMissingColumns=True), edges)
     meta = frags.where("meta is not null").select(F.col("path").alias("id"), "meta")
     g = Graph(g.nodes.join(meta, "id", "left"), g.edges)

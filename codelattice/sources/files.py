@@ -204,6 +204,57 @@ def nearest_descriptor(files: DataFrame, descriptors: DataFrame) -> DataFrame:
     return up.join(d, "folder").groupBy("path").agg(F.max_by("descriptor", F.length("folder")).alias("descriptor"))
 
 
+PROJECT_DEPTH = 4  # folders below the root in which descriptors of projects are sought
+_PROJECT_NAME = {"go.mod": r"(?m)^\s*module\s+(\S+)", "Cargo.toml": r"(?s)\[package\].*?\bname\s*=\s*\"?([^\"\s]+)"}
+
+
+def find_projects(spark: SparkSession, root: str, depth: int = PROJECT_DEPTH) -> DataFrame:
+    """``kind, folder, name`` of the Go modules and Rust crates whose descriptor lies at most ``depth`` folders below ``root``; those without a name are left out."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{go.mod,Cargo.toml}").load(root)
+    path = F.regexp_replace("path", "^file:/+", "/")
+    rows = rows.select(path.alias("path"), decode(F.col("content")).alias("text")).withColumn("kind", F.element_at(F.split("path", "/"), -1))
+    base = "/" + root.removeprefix("file:").strip("/")
+    inside = F.filter(F.split(F.expr(f"substring(path, {len(base) + 2})"), "/"), lambda x: x != "")
+    shut = F.exists(inside, lambda x: x.startswith(".") | x.isin("node_modules", "target"))
+    name = F.when(F.col("kind") == "go.mod", F.regexp_extract("text", _PROJECT_NAME["go.mod"], 1)).otherwise(F.regexp_extract("text", _PROJECT_NAME["Cargo.toml"], 1))
+    return rows.where((F.size(inside) <= depth + 1) & ~shut).select("kind", F.regexp_replace("path", "/[^/]*$", "").alias("folder"), name.alias("name")).where("name <> ''")
+
+
+def java_source_folders(files: DataFrame, root: str, depth: int = PROJECT_DEPTH) -> DataFrame:
+    """``folder``: ``src/main/java`` and ``src`` folders at most ``depth`` folders below ``root`` that hold files, and those of the root itself."""
+    base = "/" + root.removeprefix("file:").strip("/")
+    up = files.select(F.explode(ancestors(F.col("path"))).alias("folder")).distinct().where(F.col("folder").startswith(base))
+    inside = F.filter(F.split(F.expr(f"substring(folder, {len(base) + 2})"), "/"), lambda x: x != "")
+    own = F.when(F.col("folder").endswith("/src/main/java"), F.size(inside) - 3).when(F.col("folder").endswith("/src"), F.size(inside) - 1)
+    shut = F.exists(inside, lambda x: x.startswith(".") | x.isin("node_modules", "build", "target"))
+    found = up.where((own <= depth) & ~shut)
+    fixed = files.sparkSession.createDataFrame([(f"{base}/src/main/java",), (f"{base}/src",), (base,)], "folder string")
+    return found.unionByName(fixed).distinct()
+
+
+def resolve_projects(imports: DataFrame, projects: DataFrame, files: DataFrame) -> DataFrame:
+    """``file, specifier, resolved`` of the imports ``(file, specifier, lang)`` that name a part of a found Go module or Rust crate.
+
+    The longest module name that begins a Go import decides; what follows is a folder of it, for
+    which its least file stands. A Rust path that begins with a crate's name means the file of its
+    longest part below the crate's ``src``. Prefixes meet names in an equi-join.
+    """
+    rows = imports.where(F.col("lang").isin("go", "rs")).withColumn("parts", F.split(F.col("specifier"), F.when(F.col("lang") == "go", F.lit("/")).otherwise(F.lit("::"))))
+    rows = rows.select("file", "specifier", "lang", "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("n"))
+    rows = rows.withColumn("name", F.array_join(F.slice("parts", 1, F.col("n")), "/")).where((F.col("lang") == "go") | (F.col("n") == 1))
+    p = projects.select(F.when(F.col("kind") == "go.mod", "go").otherwise("rs").alias("lang"), "folder", "name")
+    met = rows.join(p, ["lang", "name"]).withColumn("rest", F.expr("slice(parts, n + 1, size(parts))"))
+    go = met.where("lang = 'go'").select("file", "specifier", "n", F.concat_ws("/", F.col("folder"), F.array_join("rest", "/")).alias("at")).withColumn("at", F.regexp_replace("at", "/$", ""))
+    folders = files.where(F.col("path").endswith(".go")).groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("at")).agg(F.min("path").alias("path"))
+    go = go.join(folders, "at").groupBy("file", "specifier").agg(F.max_by("path", "n").alias("resolved"))
+    rs = met.where("lang = 'rs'").withColumn("k", F.explode(F.sequence(F.size("rest"), F.lit(0), F.lit(-1))))
+    stem = F.concat_ws("/", F.col("folder"), F.lit("src"), F.when(F.col("k") > 0, F.array_join(F.expr("slice(rest, 1, k)"), "/")))
+    ends = F.when(F.col("k") > 0, F.array(F.concat("stem", F.lit(".rs")), F.concat("stem", F.lit("/mod.rs")))).otherwise(F.array(F.concat("stem", F.lit("/lib.rs")), F.concat("stem", F.lit("/main.rs"))))
+    rs = rs.withColumn("stem", stem).select("file", "specifier", "k", F.posexplode(ends).alias("e", "path")).join(files.select("path").distinct(), "path")
+    rs = rs.groupBy("file", "specifier").agg(F.min_by("path", F.struct((-F.col("k")).alias("k"), "e")).alias("resolved"))
+    return go.unionByName(rs).where("resolved <> file")
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
     """``file, specifier, resolved``: script imports to scanned files.
 

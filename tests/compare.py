@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import os
 import sys
+import tempfile
 import time
 from collections import Counter
 
@@ -67,6 +68,7 @@ def session():
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="compare-checkpoint-"))
     return spark
 
 

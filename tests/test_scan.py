@@ -74,6 +74,27 @@ def test_history_of_a_scan(spark, tree):
     assert spark.read.parquet(f"{store}/commits").count() == 3 and spark.read.parquet(f"{store}/blame").where("hash is not null").count() == 6
 
 
+def test_projects(spark, tmp_path):
+    from codelattice.sources import files
+
+    for name, text in {
+        "go.mod": "// x\nmodule ex.org/top\n", "svc/go.mod": "module ex.org/top/svc", "a/b/c/d/e/go.mod": "module too.deep", "node_modules/go.mod": "module no", "kit/Cargo.toml": '[package]\nversion = "1"\nname = "my_kit"\n', "bad/Cargo.toml": "[lib]\n",
+        "util/z.go": "", "util/y.go": "", "svc/util/s.go": "", "main.go": "", "kit/src/lib.rs": "", "kit/src/net/io.rs": "", "kit/src/net/mod.rs": "", "app/src/main/java/p/A.java": "", "app/src/x.java": "",
+    }.items():
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    root = str(tmp_path)
+    found = files.find_projects(spark, root)
+    assert {(r["kind"], r["folder"].removeprefix(root), r["name"]) for r in found.collect()} == {("go.mod", "", "ex.org/top"), ("go.mod", "/svc", "ex.org/top/svc"), ("Cargo.toml", "/kit", "my_kit")}
+    paths = spark.createDataFrame([(str(p),) for p in tmp_path.rglob("*.*") if p.suffix in (".go", ".rs", ".java")], "path string")
+    asked = {("go", "ex.org/top/util"): "/util/y.go", ("go", "ex.org/top/svc/util"): "/svc/util/s.go", ("go", "ex.org/other"): None, ("rs", "my_kit::net::io::Read"): "/kit/src/net/io.rs", ("rs", "my_kit::net::Thing"): "/kit/src/net/mod.rs", ("rs", "my_kit::Top"): "/kit/src/lib.rs"}
+    imp = spark.createDataFrame([(f"{root}/main.go", s, k) for k, s in asked], "file string, specifier string, lang string")
+    got = {r["specifier"]: r["resolved"].removeprefix(root) for r in files.resolve_projects(imp, found, paths).collect()}
+    assert got == {s: v for (_, s), v in asked.items() if v}
+    assert {r["folder"].removeprefix(root) for r in files.java_source_folders(paths, root).collect()} == {"", "/src", "/src/main/java", "/app/src", "/app/src/main/java", "/kit/src"}
+
+
 def test_empty_folder(spark, tmp_path):
     (tmp_path / "e").mkdir()
     (tmp_path / "e" / "x.txt").write_text(json.dumps({}))
