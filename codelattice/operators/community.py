@@ -15,9 +15,9 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.functions.text import hundredths
+from codelattice.functions.text import hundredths, in_locale_order
 from codelattice.model import Graph
-from codelattice.operators.measure import is_noise, node_degrees
+from codelattice.operators.measure import is_noise, node_degrees, numbered
 from codelattice.session import cut, ship
 
 
@@ -94,13 +94,9 @@ SEQUENTIAL_EDGES = 2_000_000  # the sequential method refuses more
 
 def input_order(g: Graph) -> tuple[DataFrame, DataFrame]:
     """Nodes ``pos, id`` by code point and distinct edges ``pos, src, dst`` by locale order of their ends: the order detection reads them in."""
-    from pyspark.sql import Window
-
-    ids = g.nodes.select("id").distinct()
-    n = ids.select((F.row_number().over(Window.orderBy("id")) - 1).alias("pos"), "id")
-    order = [F.collate("src", "UNICODE"), F.collate("dst", "UNICODE"), "src", "dst"]
-    e = g.edges.select("src", "dst").distinct()
-    return n, e.select((F.row_number().over(Window.orderBy(*order)) - 1).alias("pos"), "src", "dst")
+    n = numbered(g.nodes.select("id").distinct(), "id").select("pos", "id")
+    order = [in_locale_order(F.col("src")), in_locale_order(F.col("dst")), F.col("src"), F.col("dst")]
+    return n, numbered(g.edges.select("src", "dst").distinct(), *order).select("pos", "src", "dst")
 
 
 def louvain_sequential(g: Graph) -> DataFrame:
@@ -125,7 +121,7 @@ def louvain_sequential(g: Graph) -> DataFrame:
         return pd.DataFrame({"id": ids, "community": sequential_moves(len(ids), links)}).astype({"community": "int32"})
 
     ship(g.nodes.sparkSession)
-    return rows.groupBy(F.lit(0)).applyInPandas(run, "id string, community int")
+    return rows.withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(run, "id string, community int")
 
 
 def sequential_moves(n: int, links: list[tuple[int, int]]) -> list[int]:

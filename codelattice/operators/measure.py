@@ -54,6 +54,21 @@ def page_of(rows: DataFrame, order: list[Column], page: int, limit: int) -> Data
     return ranked.where(F.col("rank") > (page - 1) * limit)
 
 
+def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """``rows`` with ``pos`` from 0 in that order, which has to be total: numbers within ranges plus what the ranges before them hold.
+
+    No task sees more than its range; the sizes of the ranges are as many rows as there are partitions.
+    """
+    from codelattice.session import cut
+
+    parts = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    out = parts.withColumn("_i", inside).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return out.withColumn("pos", (F.col("_before") + F.col("_i") - 1).cast("int")).drop("_part", "_i", "_before")
+
+
 def page_meta(total: int, page: int, limit: int) -> dict[str, int]:
     """Pagination block; an empty result has one page."""
     return {"page": page, "limit": limit, "total": total, "totalPages": max(-(-total // limit), 1)}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.model import Graph
-from codelattice.operators.measure import page_of, with_degree
+from codelattice.operators.measure import numbered, page_of, with_degree
 
 
 def visible(nodes: DataFrame, part: DataFrame, types: list[str], communities: list) -> DataFrame:
@@ -55,8 +55,4 @@ def legend(part: DataFrame) -> DataFrame:
 
     There are as many rows as communities; their order is made from counts, not from members.
     """
-    from pyspark.sql import Window
-
-    sizes = part.groupBy("community").agg(F.count("*").alias("n"))
-    pos = F.row_number().over(Window.orderBy("community")) - 1
-    return sizes.withColumn("pos", pos).select("pos", "community", "n", ((F.col("pos") * 137.5) % 360).alias("hue"))
+    return numbered(part.groupBy("community").agg(F.count("*").alias("n")), "community").select("pos", "community", "n", ((F.col("pos") * 137.5) % 360).alias("hue"))

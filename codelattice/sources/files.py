@@ -10,8 +10,6 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.session import ship
-
 # The extensions that are scanned and the folders that never are.
 MEDIA = tuple("png jpg jpeg svg gif webp mp4 webm mp3 wav".split())
 EXTENSIONS = tuple("ts js tsx jsx json md py java go rs cpp cc cxx h hpp".split()) + MEDIA
@@ -286,20 +284,21 @@ def _normal(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
 
 
-def module_candidates(specifier: str, lang: str) -> list[str]:
+def module_endings(specifier: Column, lang: Column) -> Column:
     """Path endings, best first, that a module name of a language other than script can stand for; none for what is surely elsewhere."""
-    s = specifier.strip()
-    if lang == "py":
-        p = s.lstrip(".").replace(".", "/")
-        return [f"{p}.py", f"{p}/__init__.py"] if p else []
-    if lang == "java":
-        p = s.removesuffix(".*").replace(".", "/")
-        return [f"{p}.java", f"{p.rpartition('/')[0]}.java"] if "/" in p else [f"{p}.java"]
-    if lang == "rs":
-        parts = [x for x in s.split("::") if x not in ("crate", "self", "super")]
-        heads = ["/".join(parts[:k]) for k in range(len(parts), 0, -1)]
-        return [f"{h}{end}" for h in heads for end in (".rs", "/mod.rs")]
-    return [s] if lang == "cpp" else []
+    s = F.trim(specifier)
+    py = F.replace(F.regexp_replace(s, r"^\.+", ""), F.lit("."), F.lit("/"))
+    java = F.replace(F.regexp_replace(s, r"\.\*$", ""), F.lit("."), F.lit("/"))
+    above = F.regexp_replace(java, "/[^/]*$", "")
+    parts = F.filter(F.split(s, "::"), lambda x: ~x.isin("crate", "self", "super", ""))
+    heads = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    rs = F.flatten(F.transform(heads, lambda h: F.array(F.concat(h, F.lit(".rs")), F.concat(h, F.lit("/mod.rs")))))
+    return (
+        F.when((lang == "py") & (py != ""), F.array(F.concat(py, F.lit(".py")), F.concat(py, F.lit("/__init__.py"))))
+        .when(lang == "java", F.when(java.contains("/"), F.array(F.concat(java, F.lit(".java")), F.concat(above, F.lit(".java")))).otherwise(F.array(F.concat(java, F.lit(".java")))))
+        .when((lang == "rs") & (F.size(parts) > 0), rs)
+        .when(lang == "cpp", F.array(s))
+    )
 
 
 def resolve_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -311,18 +310,8 @@ def resolve_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
     no import is compared with every file. Go packages name folders: the least file of the
     folder whose path ends with the package's last two parts stands for it.
     """
-    from pyspark.sql.types import ArrayType, StringType
-
-    ship(files.sparkSession)
     distinct = imports.where("specifier is not null").select("specifier", "lang").distinct()
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def candidates(spec, lang):  # once per distinct module
-        import pandas as pd
-
-        return pd.Series([module_candidates(s, k) for s, k in zip(spec, lang)])
-
-    keys = distinct.where("lang <> 'go'").withColumn("c", candidates("specifier", "lang")).select("specifier", "lang", F.posexplode("c").alias("k", "ending"))
+    keys = distinct.where("lang <> 'go'").select("specifier", "lang", F.posexplode(module_endings(F.col("specifier"), F.col("lang"))).alias("k", "ending"))
     go = distinct.where("lang = 'go'").withColumn("p", F.split("specifier", "/"))
     go = go.select("specifier", "lang", F.lit(0).alias("k"), F.array_join(F.slice("p", F.greatest(F.size("p") - 1, F.lit(1)), 2), "/").alias("ending"))
     parts = F.split("path", "/")

@@ -125,17 +125,19 @@ def export_graph_document(g, path: str, part: DataFrame | None = None, version:
     """
     import pyarrow as pa
 
+    from codelattice.operators.measure import numbered
+
     keys = [(k, v) for k, v in _NODE_KEYS.items() if v in g.nodes.columns]
     line = lambda *cols: F.to_json(F.struct(*cols))
-    nodes = g.nodes.select(F.lit(0).alias("k"), F.row_number().over(_all("ord", "id")).alias("i"), line(*[F.col(v).alias(k) for k, v in keys]).alias("t"))
-    edges = g.edges.select(F.lit(1).alias("k"), F.row_number().over(_all("ord", "src", "dst")).alias("i"), line(F.col("src").alias("source"), F.col("dst").alias("target"), "relation", "confidence").alias("t"))
+    nodes = numbered(g.nodes, "ord", "id").select(F.lit(0).alias("k"), F.col("pos").alias("i"), line(*[F.col(v).alias(k) for k, v in keys]).alias("t"))
+    edges = numbered(g.edges, "ord", "src", "dst").select(F.lit(1).alias("k"), F.col("pos").alias("i"), line(F.col("src").alias("source"), F.col("dst").alias("target"), "relation", "confidence").alias("t"))
     rows = nodes.unionByName(edges)
     if part is not None:
         from codelattice.operators.community import cohesion
 
         members = part.groupBy("community").agg(F.sort_array(F.collect_list("id")).alias("members"))
-        c = cohesion(g, part).join(members, "community").withColumn("i", F.row_number().over(_all(F.desc("n"), "community")))
-        rows = rows.unionByName(c.select(F.lit(2).alias("k"), "i", line((F.col("i") - 1).alias("id"), F.col("n").alias("nodeCount"), "cohesion", "members").alias("t")))
+        c = numbered(cohesion(g, part).join(members, "community"), F.desc("n"), "community")
+        rows = rows.unionByName(c.select(F.lit(2).alias("k"), F.col("pos").alias("i"), line(F.col("pos").alias("id"), F.col("n").alias("nodeCount"), "cohesion", "members").alias("t")))
     heads = ['{"version": "' + version + '", "nodes": [', '], "edges": [', '], "analysis": {"communities": [']
 
     def write(batches):
@@ -155,8 +157,3 @@ def export_graph_document(g, path: str, part: DataFrame | None = None, version:
 
     rows.repartition(1).sortWithinPartitions("k", "i").mapInArrow(write, "value string").write.mode("overwrite").text(path)
 
-
-def _all(*order):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*order)

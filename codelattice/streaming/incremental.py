@@ -28,6 +28,14 @@ def changes(state: DataFrame, batch: DataFrame) -> DataFrame:
     return newest_versions(batch).join(state.select("path", "size", "mtime_ms"), ["path", "size", "mtime_ms"], "left_anti")
 
 
+def current_fragments(spark: SparkSession, store: str) -> DataFrame:
+    """The fragments that ``watch_files`` keeps at ``store``: of each path those of the latest batch that parsed it."""
+    rows = spark.read.parquet(f"{store}/fragments")
+    rest = [c for c in rows.columns if c not in ("path", "batch")]
+    latest = rows.groupBy("path").agg(F.max("batch").alias("batch"))
+    return rows.join(latest, ["path", "batch"], "left_semi").select("path", *rest)
+
+
 def watch_files(spark: SparkSession, source: str, store: str, checkpoint: str, parse) -> StreamingQuery:
     """Follow Parquet files of file versions at ``source``; keep ``store`` up to date, once over what is there.
 

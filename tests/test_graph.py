@@ -236,3 +236,50 @@ def test_bfs_is_monotone_on_random_graphs(spark):
         front = {n for x in front for n in near.get(x, ()) if n not in want}
         want |= dict.fromkeys(front, d)
     assert lev == want
+
+
+def test_numbers_without_one_task(spark):
+    df = spark.range(1000).selectExpr("id * 7919 % 1000 as k", "'x' as c")
+    got = M.numbered(df, "k").collect()
+    assert [r["pos"] for r in sorted(got, key=lambda r: r["k"])] == list(range(1000)) and M.numbered(df.limit(0), "k").count() == 0
+
+
+def test_locale_order_and_input_order(spark):
+    g = graph(spark, [("b",), ("A",), ("a",), ("B",)], [("b", "a"), ("A", "a"), ("a", "B"), ("B", "A")])
+    n, e = C.input_order(g)
+    assert [r["id"] for r in n.orderBy("pos").collect()] == ["A", "B", "a", "b"]  # code points
+    assert [r["src"] for r in e.orderBy("pos").collect()] == ["a", "A", "b", "B"]  # as in a dictionary
+
+
+def test_sequential_communities(spark):
+    edges = [(f"{s}{i}", f"{s}{j}") for s in "xyz" for i in range(5) for j in range(5) if i != j] + [("x0", "y0"), ("y0", "z0")]
+    g = graph(spark, [(f"{s}{i}",) for s in "xyz" for i in range(5)] + [("lone",)], edges)
+    for part in (C.louvain_sequential(g), C.louvain(g)):
+        groups = {}
+        for r in part.collect():
+            groups.setdefault(r["community"], set()).add(r["id"][0])
+        assert sorted("".join(sorted(v)) for v in groups.values()) == ["l", "x", "y", "z"]
+    assert [tuple(r)[1] for r in C.communities_by_size(C.louvain(g), g).collect()] == [5, 5, 5, 1]
+    assert C.louvain_sequential(graph(spark, [("a",)], [])).count() == 1 and C.sequential_moves(0, []) == []
+    assert C.modularity(g, C.louvain(g)) >= C.modularity(g, C.louvain_sequential(g)) - 1e-9
+
+
+def test_lock_files_and_text_helpers(spark):
+    from codelattice.functions.text import html_escaped, without_ansi
+
+    names = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "shrinkwrap.json", "npm-shrinkwrap.json", "Gemfile.lock", "Cargo.lock", "Pipfile.lock", "poetry.lock", "composer.lock", "packages.lock.json", "CHANGELOG.md", "CHANGELOG.txt", "go.sum", "uv.lock", "gradle.lockfile"]
+    n = spark.createDataFrame([(f"/a/{x}", "file", 0, None, None) for x in [*names, "bun.lock", "main.go"]], "id string, type string, start_line int, end_line int, external boolean")
+    assert {r["id"] for r in H.enrichable(n).collect()} == {"/a/bun.lock", "/a/main.go"}
+    t = spark.createDataFrame([("\x1b[31mred\x1b[0m <b class=\"x\">&'",), (None,)], "t string")
+    from pyspark.sql import functions as F
+
+    assert [r[0] for r in t.select(without_ansi(F.col("t"))).collect()] == ["red <b class=\"x\">&'", None]
+    assert t.select(html_escaped(without_ansi(F.col("t")))).first()[0] == "red &lt;b class=&quot;x&quot;&gt;&amp;&#039;"
+
+
+def test_report_members_count_external_files(spark):
+    from codelattice.sources.report import file_members
+
+    nodes = spark.createDataFrame([("f", 0, "file", "f", None, 0, None), ("x", 1, "file", "x", None, 0, True), ("g", 2, "file", "g", None, 0, None), ("m", 3, "class", "M", None, 0, None)], N + ", external boolean")
+    e = spark.createDataFrame([("f", "m", "defines", "X", 0), ("g", "m", "defines", "X", 1), ("x", "m", "defines", "X", 2)], E)
+    assert [r["file"] for r in file_members(Graph(nodes, e), files=2).collect()] == ["f"]

@@ -149,6 +149,8 @@ def test_incremental_stream(spark, tmp_path):
     run()
     frag = spark.read.parquet(str(tmp_path / "store/fragments"))
     assert sorted((r["path"], r["n"]) for r in frag.collect()) == [("/a", 4), ("/b", 1), ("/b", 2)]
+    assert incremental.current_fragments(spark, str(tmp_path / "store")).groupBy("path").count().where("count > 1").count() == 0
+    assert {r["path"] for r in incremental.current_fragments(spark, str(tmp_path / "store")).collect()} == {"/a", "/b"}
     state = incremental.newest_versions(spark.read.parquet(str(tmp_path / "store/state")).drop("batch"))
     assert {r["path"]: r["size"] for r in state.collect()} == {"/a": 4, "/b": 2}
     s = spark.createDataFrame([("/a", 1, 1.0, "h", "x")], incremental.FILE_SCHEMA)
