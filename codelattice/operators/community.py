@@ -1,8 +1,9 @@
 """Communities: detection, cohesion, surprising bridges, questions.
 
 The analytics take any partition ``(id, community)``. Detection is Louvain's method as
-DataFrame rounds: in each, half of the nodes, chosen by hash, move to the neighbouring
-community of greatest directed modularity gain, if that beats where they are, until no node
+DataFrame rounds: in each, nodes move to the neighbouring community of greatest directed
+modularity gain, if that beats where they are and lies before it in an order that is drawn anew
+and turned about every other round, so that no two swap places, until no node
 moves or modularity rises no more; then communities become nodes, and again, until nothing
 moves. Ties are broken by label, so reruns agree. Graphs of bounded size can be given to the
 sequential method in one task instead, which visits nodes in the order of a seeded generator.
@@ -21,8 +22,8 @@ from codelattice.operators.measure import is_noise, node_degrees, numbered
 from codelattice.session import cut, ship
 
 
-RISE = 1e-6  # of modularity in LOOK rounds, below which a level ends
-LOOK = 6
+RISE = 1e-3  # of modularity in LOOK rounds, below which a level ends, and of a level, below which detection ends
+LOOK = 3
 
 
 def louvain(g: Graph) -> DataFrame:
@@ -52,31 +53,33 @@ def _local_moves(edges: DataFrame, m: float) -> tuple[DataFrame, float]:
     out = edges.select(F.col("src").alias("id"), F.col("w").alias("o"), F.lit(0.0).alias("i"))
     into = edges.select(F.col("dst").alias("id"), F.lit(0.0).alias("o"), F.col("w").alias("i"))
     ends = cut(out.unionByName(into).groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i")))
+    small = F.broadcast if ends.count() <= FEW else lambda df: df
     part = ends.select("id", F.col("id").alias("community"))
     loops = F.col("src") != F.col("dst")
     sym = edges.where(loops).select(F.col("src").alias("id"), F.col("dst").alias("other"), "w")
     sym = sym.unionByName(edges.where(loops).select(F.col("dst").alias("id"), F.col("src").alias("other"), "w"))
     still, r, reached = 0, 0, -1.0
     while True:
-        mass = ends.join(part, "id").groupBy("community").agg(F.sum("o").alias("co"), F.sum("i").alias("ci"))
-        links = sym.join(part.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.sum("w").alias("w"))
-        here = part.withColumnRenamed("community", "now").join(ends, "id")
+        mass = ends.join(small(part), "id").groupBy("community").agg(F.sum("o").alias("co"), F.sum("i").alias("ci"))
+        links = sym.join(small(part.select(F.col("id").alias("other"), "community")), "other").groupBy("id", "community").agg(F.sum("w").alias("w"))
+        here = part.withColumnRenamed("community", "now").join(small(ends), "id")
         # Where a node is counts as a choice, too, even without links to it.
         options = links.unionByName(part.select("id", "community", F.lit(0.0).alias("w"))).groupBy("id", "community").agg(F.sum("w").alias("w"))
-        options = options.join(here, "id").join(mass, "community")
+        options = options.join(small(here), "id").join(small(mass), "community")
         stay = F.col("community") == F.col("now")
         co, ci = F.col("co") - F.when(stay, F.col("o")).otherwise(0), F.col("ci") - F.when(stay, F.col("i")).otherwise(0)
         gain = F.col("w") - (F.col("o") * ci + F.col("i") * co) / F.lit(m)
         best = options.withColumn("gain", F.round(gain, 9)).groupBy("id", "now").agg(
             F.max(F.struct("gain", F.when(stay, 1).otherwise(0).alias("stay"), F.col("community"))).alias("_b")
         )
-        turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
+        turn = F.xxhash64("_b.community", F.lit(r // 2)) < F.xxhash64("now", F.lit(r // 2))  # nobody swaps places
+        turn = turn if r % 2 == 0 else ~turn
         part = cut(best.select("id", F.when(turn, F.col("_b.community")).otherwise(F.col("now")).alias("community"), (turn & (F.col("_b.community") != F.col("now"))).alias("moved")))
         moved = part.where("moved").limit(1).count()
         part, r = part.select("id", "community"), r + 1
         still = 0 if moved else still + 1
         if still == 2 or r % LOOK == 0:
-            q = _quality(edges, ends, part, m)
+            q = _quality(edges, ends, small(part), m)
             if still == 2 or q <= reached + RISE:
                 return part, q
             reached = q
@@ -89,6 +92,7 @@ def _quality(edges: DataFrame, ends: DataFrame, part: DataFrame, m: float) -> fl
     return inside / m - mass.agg(F.sum(F.col("o") * F.col("i"))).first()[0] / m**2
 
 
+FEW = 50_000  # nodes of a level up to which its small tables are sent to all tasks
 SEQUENTIAL_EDGES = 2_000_000  # the sequential method refuses more
 
 

@@ -477,11 +477,11 @@ def doc_links(doc: str | None) -> list[str]:
 _WORD = re.compile(r"[A-Za-z_$][\w$]*")
 _LOCALS = {
     "ts": re.compile(r"\b(?:const|let|var)\s+(?P<names>\{[^{}]*\}|\[[^\[\]]*\]|[A-Za-z_$][\w$]*)"),
-    "py": re.compile(r"^[ \t]*(?P<names>[\w, ()*]+?)\s*(?::[^=\n]+)?=(?!=)|\bfor\s+(?P<each>[\w, ()]+?)\s+in\b|\bas\s+(?P<as>\w+)|\blambda\s+(?P<args>[^:\n]*):", re.M),
+    "py": re.compile(r"^[ \t]*+(?P<names>[\w*][\w*, ()]*+)(?::[^=\n]*+)?=(?!=)|\bfor[ \t]++(?P<each>(?:(?!\bin\b)[\w, ()])++)in\b|\bas[ \t]++(?P<as>\w+)|\blambda\b(?P<args>[^:\n]*+):", re.M),
     "go": re.compile(r"(?P<names>\w+(?:\s*,\s*\w+)*)\s*:=|\b(?:var|const)\s+(?P<var>\w+)"),
     "rs": re.compile(r"\blet\s+(?:mut\s+)?(?P<names>\([^()=]*\)|\w+)|\bfor\s+(?P<each>\w+)\s+in\b|\|(?P<args>[^|\n]*)\|"),
-    "java": re.compile(r"^[ \t]*(?:final\s+)?[\w<>\[\],.?]+\s+(?P<names>\w+)\s*(?:=(?!=)|;)|\bfor\s*\(\s*(?:final\s+)?[\w<>\[\],.]+\s+(?P<each>\w+)\s*[:=]", re.M),
-    "cpp": re.compile(r"^[ \t]*(?:const\s+)?[\w:<>,*&]+[\s*&]+(?P<names>\w+)\s*(?:=(?!=)|;|\{)|\bfor\s*\(\s*(?:const\s+)?[\w:<>,]+[\s*&]+(?P<each>\w+)\s*[:=]", re.M),
+    "java": re.compile(r"^[ \t]*+(?:final[ \t]++)?[\w<>\[\],.?]++[ \t]++(?P<names>\w++)[ \t]*+(?:=(?!=)|;)|\bfor\s*\(\s*(?:final\s+)?[\w<>\[\],.]+\s+(?P<each>\w+)\s*[:=]", re.M),
+    "cpp": re.compile(r"^[ \t]*+(?:const[ \t]++)?[\w:<>,*&]++[ \t*&]++(?P<names>\w++)[ \t]*+(?:=(?!=)|;|\{)|\bfor\s*\(\s*(?:const\s+)?[\w:<>,]+[\s*&]+(?P<each>\w+)\s*[:=]", re.M),
 }
 
 
