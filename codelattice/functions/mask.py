@@ -11,25 +11,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MASK_BITS = 26  # 8 MB
-_WORDS = 512  # 64-bit words in one row of a mask
+_WORDS = 8  # 64-bit words in one row of a mask
 
 
 def mask_of(hashes: DataFrame, h: str = "h") -> DataFrame:
-    """``block, words``: the mask of the 64-bit hashes in column ``h``, at most 2^MASK_BITS / 32768 rows."""
+    """``block, w0 .. w7``: the mask of the 64-bit hashes in column ``h``, at most 2^MASK_BITS / 512 rows."""
     bit = F.pmod(F.col(h), F.lit(1 << MASK_BITS))
-    words = hashes.where(F.col(h).isNotNull()).select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod({h}, 64) as int))").alias("v"))
-    words = words.groupBy("w").agg(F.bit_or("v").alias("v"))
-    at = F.map_from_entries(F.collect_list(F.struct((F.col("w") % _WORDS).cast("int"), "v")))  # at most _WORDS entries
-    dense = F.transform(F.sequence(F.lit(0), F.lit(_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint")))
-    return words.groupBy((F.col("w") / _WORDS).cast("int").alias("block")).agg(at.alias("m")).select("block", dense.alias("words"))
+    rows = hashes.where(F.col(h).isNotNull()).select(F.shiftright(bit, 9).cast("int").alias("block"), (F.shiftright(bit, 6) % _WORDS).alias("k"), F.expr(f"shiftleft(1L, cast(pmod({h}, 64) as int))").alias("v"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("k") == k, F.col("v"))), F.lit(0).cast("bigint")).alias(f"w{k}") for k in range(_WORDS)]
+    return rows.groupBy("block").agg(*words)
 
 
 def may_hold(df: DataFrame, mask: DataFrame, h: Column) -> DataFrame:
     """The rows of ``df`` whose hash ``h`` may be in the set of ``mask``; rows with a null hash are left out."""
+    names = {f"w{k}": f"_w{k}" for k in range(_WORDS)}
     rows = df.withColumn("_h", F.pmod(h, F.lit(1 << MASK_BITS)))
-    m = F.broadcast(mask.withColumnsRenamed({"block": "_block", "words": "_words"}))
-    out = rows.join(m, F.shiftright("_h", 15).cast("int") == F.col("_block"))
-    return out.where(F.expr(f"(shiftright(_words[cast(shiftright(_h, 6) % {_WORDS} as int)], cast(_h % 64 as int)) & 1) = 1")).drop("_h", "_block", "_words")
+    m = F.broadcast(mask.withColumnsRenamed({"block": "_block", **names}))
+    out = rows.join(m, F.shiftright("_h", 9).cast("int") == F.col("_block"))
+    k = F.shiftright("_h", 6) % _WORDS
+    word = F.lit(0).cast("bigint")
+    for i in range(_WORDS):
+        word = F.when(k == i, F.col(f"_w{i}")).otherwise(word)
+    return out.withColumn("_w", word).where("(shiftright(_w, cast(_h % 64 as int)) & 1) = 1").drop("_h", "_block", "_w", *names.values())
 
 
 def packed_mask(hashes: DataFrame, h: str = "h"):

@@ -30,10 +30,10 @@ def _fragments(s: SparkSession, d: str) -> DataFrame:
     return cut(code.fragments(_newest(s, d)))
 
 
-def _extracted(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the newest files, imports led to the files they name."""
-    listing = _newest(s, d).select("path")
-    nodes, edges = linked(_fragments(s, d), listing, [])
+def _extracted(s: SparkSession, d: str, link: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the newest files; with ``link`` imports are led to the files they name."""
+    f = _fragments(s, d)
+    nodes, edges = linked(f, _newest(s, d).select("path"), []) if link else (code.fragment_nodes(f), code.fragment_edges(f))
     nodes = merge_nodes(nodes)
     return nodes, keep_sound_edges(merge_edges(edges), nodes)
 
@@ -54,7 +54,7 @@ QUERIES = {
     "json_keys": lambda s, d: table(s, d, "events").select("event_id", texts.json_key_count(F.col("props")).alias("keys")),
     "extract_nodes": lambda s, d: _extracted(s, d)[0].select("id", "type", "name", "file", "start_line", "end_line"),
     "extract_edges": lambda s, d: _extracted(s, d)[1].select("src", "dst", "relation", "confidence"),
-    "extract_resolved": lambda s, d: resolve_ghosts(*(cut(x) for x in _extracted(s, d)))[1].select("src", "dst", "relation", "confidence"),
+    "extract_resolved": lambda s, d: resolve_ghosts(*(cut(x) for x in _extracted(s, d, True)))[1].select("src", "dst", "relation", "confidence"),
     "extract_agreement": _definition_lines,
 }
 
