@@ -5,8 +5,8 @@ DataFrame rounds: in each, nodes move to the neighbouring community of greatest
 modularity gain, if that beats where they are and lies before it in an order that is drawn anew
 and turned about every other round, so that no two swap places, until no node
 moves or modularity rises no more; then communities become nodes, and again, until nothing
-moves. Ties are broken by label, so reruns agree. Graphs of bounded size can be given to the
-sequential method in one task instead, which visits nodes in the order of a seeded generator.
+moves. Ties are broken by label, so reruns agree. The sequential method, in one task,
+visits nodes in the order of a seeded generator instead.
 """
 
 from __future__ import annotations
@@ -18,36 +18,66 @@ from pyspark.sql import functions as F
 
 from codelattice.functions.text import hundredths, in_locale_order
 from codelattice.model import Graph
+from codelattice.operators import arrays as A
 from codelattice.operators.measure import is_noise, node_degrees, numbered
 from codelattice.session import cut, ship
 
 
 RISE = 1e-3  # of modularity in LOOK rounds, below which a level ends, and of a level, below which detection ends
 LOOK = 3
+ROUNDS_EDGES = 10_000_000  # of a level whose rounds are done in one task
 
 
 def louvain(g: Graph) -> DataFrame:
-    """``id, community`` of every node; the community is named by its least id. Isolated nodes stand alone."""
-    edges = cut(g.edges.select("src", "dst", F.lit(1.0).alias("w")))
-    m = edges.agg(F.sum("w")).first()[0]
+    """``id, community`` of every node; the community is named by its least id. Isolated nodes stand alone.
+
+    Levels of up to ROUNDS_EDGES edges have their rounds on arrays in one task, larger ones as
+    DataFrames, with equal results: a round over few edges costs less than the jobs that share it out.
+    """
+    m = k = g.edges.count()
     own = g.nodes.select("id", F.col("id").alias("community"))
     if not m:
         return own
-    reached = -1.0
+    edges = g.edges.select("src", "dst", F.lit(1.0).alias("w"))
+    if k <= ROUNDS_EDGES:
+        return _rounds_in_one_task(g.nodes.select("id"), edges, m, -1.0)
+    edges, reached = cut(edges), -1.0
     while True:
-        part, q = _local_moves(edges, m)
+        if k <= ROUNDS_EDGES:
+            ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+            own = _composed(own, _rounds_in_one_task(ends, edges, m, reached))
+            break
+        part, q = _local_moves(edges, float(m))
         if q <= reached + RISE:
             break
         reached = q
-        own = own.withColumnRenamed("community", "at").join(part.withColumnRenamed("id", "at"), "at", "left")
-        own = cut(own.select("id", F.coalesce("community", "at").alias("community")))
+        own = _composed(own, part)
         a = part.select(F.col("id").alias("src"), F.col("community").alias("s"))
         b = part.select(F.col("id").alias("dst"), F.col("community").alias("d"))
         edges = cut(edges.join(a, "src").join(b, "dst").groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("w").alias("w")))
+        k = edges.count()
     least = own.groupBy("community").agg(F.min("id").alias("name"))
     return own.join(least, "community").select("id", F.col("name").alias("community"))
 
 
+def _composed(own: DataFrame, part: DataFrame) -> DataFrame:
+    """``own`` with the communities of its communities."""
+    own = own.withColumnRenamed("community", "at").join(part.withColumnRenamed("id", "at"), "at", "left")
+    return cut(own.select("id", F.coalesce("community", "at").alias("community")))
+
+
+def _rounds_in_one_task(labels: DataFrame, edges: DataFrame, m: int, reached: float) -> DataFrame:
+    """``id, community`` of ``labels(id)`` after all further levels, named by its least label."""
+    seed = A.keyed(labels)
+    n = numbered(labels.select("id", A.key_of("id", seed).alias("key"), F.xxhash64("id").alias("h")), "id")
+    zero, none = F.lit(0), F.lit(0).cast("long")
+    rows = n.select(zero.alias("kind"), "pos", F.col("key").alias("a"), F.col("h").alias("b"), none.alias("w"))
+    rows = rows.unionByName(edges.select(F.lit(1).alias("kind"), zero.alias("pos"), A.key_of("src", seed).alias("a"), A.key_of("dst", seed).alias("b"), F.col("w").cast("long").alias("w")))
+    part = cut(A.in_one_task(rows, lambda batches: A.rounds_of_rows(batches, m, reached, RISE, LOOK), "pos int, community int"))
+    names = n.select(F.col("pos").alias("community"), F.col("id").alias("name"))
+    return cut(part.join(n.select("pos", "id"), "pos").join(names, "community").select("id", F.col("name").alias("community")))
+
+
 def _local_moves(edges: DataFrame, m: float) -> tuple[DataFrame, float]:
     """The partition at which moves end, and its modularity."""
     out = edges.select(F.col("src").alias("id"), F.col("w").alias("o"), F.lit(0.0).alias("i"))
@@ -185,8 +215,15 @@ def sequential_moves(n: int, links: list[tuple[int, int]]) -> list[int]:
 
 
 def communities_by_size(part: DataFrame, g: Graph) -> DataFrame:
-    """``community, n, cohesion`` of each community, the largest first; communities keep their names."""
-    return cohesion(g, part).select("community", "n", "cohesion").orderBy(F.desc("n"), "community")
+    """``community, n, cohesion`` of each community, the largest first; communities keep their names.
+
+    Ends meet their communities by keys, so that edges are shuffled without their ids.
+    """
+    ids = g.nodes.select("id")
+    seed = A.keyed(ids.unionByName(part.select("id").join(ids, "id", "left_anti")))
+    by_key = Graph(ids, g.edges.select(A.key_of("src", seed).alias("src"), A.key_of("dst", seed).alias("dst")))
+    sizes = cohesion(by_key, part.select(A.key_of("id", seed).alias("id"), "community"))
+    return sizes.select("community", "n", "cohesion").orderBy(F.desc("n"), "community")
 
 
 def modularity(g: Graph, part: DataFrame) -> float:
