@@ -2,25 +2,24 @@
 
 A frontier is a DataFrame that grows by joins; visited nodes are left out by an anti-join and
 every level is checkpointed. Only the depth-first crawl, whose result depends on the order of
-its stack, runs in one task, over a part of the graph whose size is checked first.
+its stack, runs in one task, which holds the nodes it may reach and has their edges in a file.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.functions.text import terms_of
 from codelattice.model import Graph
+from codelattice.operators import arrays as A
 from codelattice.operators.lookup import resolve_id
 from codelattice.operators.measure import hub_threshold, with_degree
 from codelattice.session import cut, ship
 
 FRONT = 50_000  # nodes of a level, or reached in all, that are sent to all tasks
-DFS_EDGES = 2_000_000  # the depth-first crawl refuses a larger neighbourhood
 
 
 def term_scores(g: Graph, terms: list[str]) -> DataFrame:
@@ -138,39 +137,21 @@ def shortest_path(g: Graph, source: str, target: str, most: int | None = None) -
     return hops[::-1]
 
 
-def dfs_order(seeds: list[str], neighbours: dict[str, list[str]], shut: set[str], depth: int) -> dict[str, int]:
-    """Depth of each node of a depth-first crawl that marks nodes when it pushes them."""
-    seen = {s: 0 for s in seeds}
-    stack = [(s, 0) for s in reversed(seeds)]
-    while stack:
-        at, d = stack.pop()
-        if d >= depth or (at in shut and at not in seeds):
-            continue
-        for n in neighbours.get(at, ()):
-            if n not in seen:
-                seen[n] = d + 1
-                stack.append((n, d + 1))
-    return seen
-
-
 def dfs_levels(g: Graph, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """``id, depth`` of the depth-first crawl from ``seeds(pos, id)``.
 
     It never leaves the breadth-first crawl of the same depth, whose edges are what the one task
-    gets. More than DFS_EDGES of these raise an error rather than being cut.
+    gets, in order and as pairs of keys; there they wait in a file, four bytes each.
     """
     levels = bfs_levels(g, seeds, depth)
-    inside = both_ways(g.edges).join(levels.where("expanded").select(F.col("id").alias("u")), "u")
-    inside = cut(inside.groupBy("u", "v").agg(F.min(F.struct((1 - F.col("back")).alias("b"), "ord")).alias("_o")).select("u", "v", "_o.b", "_o.ord"))
-    if (n := inside.count()) > DFS_EDGES:
-        raise ValueError(f"{n} edges within {depth} steps; a depth-first crawl takes at most {DFS_EDGES}")
-    start = [r["id"] for r in seeds.orderBy("pos").collect()]  # the seeds
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["u", "b", "ord"])
-        near = {u: list(x) for u, x in pdf.groupby("u", sort=False)["v"]}
-        seen = dfs_order(start, near, set(), depth)  # closed nodes have no edges here
-        return pd.DataFrame({"id": list(seen), "depth": list(seen.values())}).astype({"depth": "int32"})
-
+    seed = A.keyed(g.nodes.select("id").unionByName(seeds.select("id")).distinct())
+    keys = cut(levels.select(A.key_of("id", seed).alias("key"), "id", "expanded"))
+    inside = both_ways(g.edges).select(A.key_of("u", seed).alias("a"), A.key_of("v", seed).alias("b"), (1 - F.col("back")).alias("along"), "ord")
+    inside = inside.join(_small(keys.where("expanded").select(F.col("key").alias("a")), keys.count()), "a").repartition("a")
+    order = F.min(F.struct("along", "ord")).alias("_o")
+    inside = cut(inside.groupBy("a", "b").agg(order).sortWithinPartitions("a", "_o", "b").select(F.lit(1).alias("kind"), "a", "b"))
+    rows = keys.select(F.lit(0).alias("kind"), F.col("key").alias("a"), F.lit(0).cast("long").alias("b")).unionByName(inside)
+    start = [r["key"] for r in seeds.select("pos", A.key_of("id", seed).alias("key")).orderBy("pos").collect()]  # the seeds
     ship(g.nodes.sparkSession)
-    return inside.withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(run, "id string, depth int")
+    met = rows.coalesce(1).mapInArrow(lambda batches: A.crawl_in_order(batches, start, depth), "key long, depth int")
+    return keys.select("key", "id").join(met, "key").select("id", "depth")

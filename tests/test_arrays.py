@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from codelattice.model import Graph
 from codelattice.operators import arrays as A
 from codelattice.operators import community as C
+from codelattice.operators import traverse as T
 
 
 def graph(spark, ids, pairs):
@@ -25,6 +26,44 @@ def some_graph(seed, n, e):
     return ids, pairs
 
 
+def depths(seeds, near, depth):
+    """The depth-first crawl by dictionaries."""
+    seen, stack = {s: 0 for s in seeds}, [(s, 0) for s in reversed(seeds)]
+    while stack:
+        at, d = stack.pop()
+        for n in near.get(at, ()) if d < depth else ():
+            if n not in seen:
+                seen[n] = d + 1
+                stack.append((n, d + 1))
+    return seen
+
+
+def test_crawl_over_former_bound(spark, monkeypatch):
+    monkeypatch.setattr(T, "DFS_EDGES", 10, raising=False)  # what it refused once, at 2,000,000
+    ids, pairs = some_graph(4, 90, 200)
+    g = graph(spark, ids, pairs)
+    near = {}
+    for way in (1, 0):  # against the direction first
+        for a, b in pairs:
+            u, v = ((b, a), (a, b))[1 - way]
+            near.setdefault(u, {}).setdefault(v, None)
+    near = {u: list(x) for u, x in near.items()}
+    start = [pairs[0][0], ids[-1]]
+    seeds = spark.createDataFrame(list(enumerate(start)), "pos int, id string")
+    for depth in (0, 1, 2, 4):
+        assert {r["id"]: r["depth"] for r in T.dfs_levels(g, seeds, depth).collect()} == depths(start, near, depth)
+
+
+def test_neighbours_over_several_batches():
+    import pyarrow as pa
+
+    rows = [(0, k, 0) for k in (5, -7, 9, 11)] + [(1, 5, x) for x in (9, -7, 11)]
+    cut = [rows[4:6], rows[:4], rows[6:]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*x), (pa.int32(), pa.int64(), pa.int64()))], ["kind", "a", "b"]) for x in cut]
+    (got,) = A.crawl_in_order(batches, [5], 1)
+    assert dict(zip(got["key"].to_pylist(), got["depth"].to_pylist())) == {5: 0, 9: 1, -7: 1, 11: 1}
+
+
 def test_small_levels_take_few_jobs(spark):
     ids, pairs = some_graph(6, 60, 150)
     g = graph(spark, ids, pairs)
