@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from codelattice.model import Graph
@@ -64,6 +65,21 @@ def test_neighbours_over_several_batches():
     assert dict(zip(got["key"].to_pylist(), got["depth"].to_pylist())) == {5: 0, 9: 1, -7: 1, 11: 1}
 
 
+def test_rounds_on_arrays_as_dataframes(spark, monkeypatch):
+    ids, pairs = some_graph(5, 60, 150)
+    g = graph(spark, ids, pairs)
+    here = {r["id"]: r["community"] for r in C.louvain(g).collect()}
+    monkeypatch.setattr(A, "CHUNK", 16)
+    n, at = len(ids), {x: k for k, x in enumerate(ids)}
+    h = np.array([r["h"] for r in g.nodes.select("id", F.xxhash64("id").alias("h")).orderBy("id").collect()], np.int64)
+    s, d = (np.array([at[p[k]] for p in pairs], np.int32) for k in (0, 1))
+    com = A.rounds(n, s, d, np.ones(len(s), np.int32), len(s), h, -1.0, C.RISE, C.LOOK)
+    assert here == {x: ids[com[k]] for x, k in at.items()} and len(set(here.values())) > 2
+    for bound in (0, 40):  # all levels as DataFrames, or the first only
+        monkeypatch.setattr(C, "ROUNDS_EDGES", bound)
+        assert {r["id"]: r["community"] for r in C.louvain(g).collect()} == here
+
+
 def test_small_levels_take_few_jobs(spark):
     ids, pairs = some_graph(6, 60, 150)
     g = graph(spark, ids, pairs)
