@@ -11,8 +11,7 @@ visits nodes in the order of a seeded generator instead.
 
 from __future__ import annotations
 
-from collections import deque
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +19,7 @@ from codelattice.functions.text import hundredths, in_locale_order
 from codelattice.model import Graph
 from codelattice.operators import arrays as A
 from codelattice.operators.measure import is_noise, node_degrees, numbered
-from codelattice.session import cut, ship
+from codelattice.session import cut
 
 
 RISE = 1e-3  # of modularity in LOOK rounds, below which a level ends, and of a level, below which detection ends
@@ -123,7 +122,6 @@ def _quality(edges: DataFrame, ends: DataFrame, part: DataFrame, m: float) -> fl
 
 
 FEW = 50_000  # nodes of a level up to which its small tables are sent to all tasks
-SEQUENTIAL_EDGES = 2_000_000  # the sequential method refuses more
 
 
 def input_order(g: Graph) -> tuple[DataFrame, DataFrame]:
@@ -134,84 +132,27 @@ def input_order(g: Graph) -> tuple[DataFrame, DataFrame]:
 
 
 def louvain_sequential(g: Graph) -> DataFrame:
-    """``id, community`` by the sequential method, communities numbered from 0; more than SEQUENTIAL_EDGES edges raise an error.
+    """``id, community`` by the sequential method, communities numbered from 0.
 
-    One task, since each move depends on the one before. Deterministic: nodes and edges in
-    ``input_order``, visits from a seeded generator.
+    One task, since each move depends on the one before; it holds arrays of keys and weights, no
+    ids. Deterministic: nodes and edges in ``input_order``, visits from a seeded generator.
     """
-    if (k := g.edges.count()) > SEQUENTIAL_EDGES:
-        raise ValueError(f"{k} edges; the sequential method takes at most {SEQUENTIAL_EDGES}")
-    n, e = input_order(g)  # bounded by the line above
-    rows = n.select(F.lit(0).alias("kind"), "pos", F.col("id").alias("a"), F.lit(None).cast("string").alias("b"))
-    rows = rows.unionByName(e.select(F.lit(1).alias("kind"), "pos", F.col("src").alias("a"), F.col("dst").alias("b")))
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["kind", "pos"])
-        ids = pdf.loc[pdf["kind"] == 0, "a"].tolist()
-        at = {x: k for k, x in enumerate(ids)}
-        links = [(at[a], at[b]) for a, b in pdf.loc[pdf["kind"] == 1, ["a", "b"]].itertuples(index=False) if a in at and b in at]
-        return pd.DataFrame({"id": ids, "community": sequential_moves(len(ids), links)}).astype({"community": "int32"})
-
-    ship(g.nodes.sparkSession)
-    return rows.withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(run, "id string, community int")
+    ids = g.nodes.select("id").distinct()
+    seed = A.keyed(ids)
+    n = numbered(ids.select("id", A.key_of("id", seed).alias("key"), in_locale_order(F.col("id")).alias("k")), "id")
+    ranks = numbered(n.select("k").distinct(), "k").withColumnRenamed("pos", "rank")  # equal keys fall back on code points
+    zero = F.lit(0)
+    rows = n.join(ranks, "k").select(zero.alias("kind"), "pos", F.col("key").alias("a"), F.col("rank").cast("long").alias("b"))
+    e = g.edges.select(A.key_of("src", seed).alias("a"), A.key_of("dst", seed).alias("b")).distinct()
+    rows = rows.unionByName(e.select(F.lit(1).alias("kind"), zero.alias("pos"), "a", "b"))
+    part = A.in_one_task(rows, A.sequence_of_rows, "pos int, community int")
+    return n.select("pos", "id").join(part, "pos").select("id", "community")
 
 
 def sequential_moves(n: int, links: list[tuple[int, int]]) -> list[int]:
     """Community of each of ``n`` nodes: local moves from a queue until none gains, communities become nodes, and again."""
-    seed = 123456789
-    weights: dict[tuple[int, int], float] = {}
-    for a, b in links:
-        weights[a, b] = weights.get((a, b), 0.0) + 1.0
-    m, size, member = float(len(links)), n, list(range(n))
-    while m:
-        near: list[dict[int, float]] = [{} for _ in range(size)]
-        out, into = [0.0] * size, [0.0] * size
-        for (a, b), w in weights.items():
-            out[a] += w
-            into[b] += w
-            if a != b:
-                near[a][b] = near[a].get(b, 0.0) + w
-                near[b][a] = near[b].get(a, 0.0) + w
-        com, co, ci = list(range(size)), out[:], into[:]
-        seed = (seed * 9301 + 49297) % 233280
-        start = int(seed / 233280 * size)
-        queue = deque((start + k) % size for k in range(size))
-        waiting, moved = [True] * size, False
-        while queue:
-            v = queue.popleft()
-            waiting[v] = False
-            own = com[v]
-            shared: dict[int, float] = {own: 0.0}
-            for u, w in near[v].items():
-                shared[com[u]] = shared.get(com[u], 0.0) + w
-            co[own] -= out[v]
-            ci[own] -= into[v]
-            gain = lambda c: shared[c] - (out[v] * ci[c] + into[v] * co[c]) / m  # noqa: B023, E731
-            best, most = own, gain(own)
-            for c in shared:
-                if gain(c) > most + 1e-12:
-                    best, most = c, gain(c)
-            co[best] += out[v]
-            ci[best] += into[v]
-            if best != own:
-                com[v], moved = best, True
-                for u in near[v]:
-                    if com[u] != best and not waiting[u]:
-                        waiting[u] = True
-                        queue.append(u)
-        if not moved:
-            break
-        names = {c: k for k, c in enumerate(dict.fromkeys(com))}
-        inner = [names[c] for c in com]
-        member = [inner[c] for c in member]
-        merged: dict[tuple[int, int], float] = {}
-        for (a, b), w in weights.items():
-            merged[inner[a], inner[b]] = merged.get((inner[a], inner[b]), 0.0) + w
-        weights, size = merged, len(names)
-    names = {c: k for k, c in enumerate(dict.fromkeys(member))}
-    return [names[c] for c in member]
+    ends = np.array(links, np.int32).reshape(-1, 2)
+    return A.sequential(n, ends[:, 0], ends[:, 1]).tolist()
 
 
 def communities_by_size(part: DataFrame, g: Graph) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from codelattice.model import Graph
@@ -27,6 +28,57 @@ def some_graph(seed, n, e):
     return ids, pairs
 
 
+def moves(n, links):
+    """The sequential method by dictionaries."""
+    seed, weights = 123456789, {}
+    for a, b in links:
+        weights[a, b] = weights.get((a, b), 0.0) + 1.0
+    m, size, member = float(len(links)), n, list(range(n))
+    while m:
+        near, out, into = [{} for _ in range(size)], [0.0] * size, [0.0] * size
+        for (a, b), w in weights.items():
+            out[a] += w
+            into[b] += w
+            if a != b:
+                near[a][b] = near[a].get(b, 0.0) + w
+                near[b][a] = near[b].get(a, 0.0) + w
+        com, co, ci = list(range(size)), out[:], into[:]
+        seed = (seed * 9301 + 49297) % 233280
+        start = int(seed / 233280 * size)
+        queue, waiting, moved = [(start + k) % size for k in range(size)], [True] * size, False
+        while queue:
+            v = queue.pop(0)
+            waiting[v] = False
+            own, shared = com[v], {com[v]: 0.0}
+            for u, w in near[v].items():
+                shared[com[u]] = shared.get(com[u], 0.0) + w
+            co[own] -= out[v]
+            ci[own] -= into[v]
+            gains = {c: x - (out[v] * ci[c] + into[v] * co[c]) / m for c, x in shared.items()}
+            best = own
+            for c, x in gains.items():
+                if x > gains[best] + 1e-12:
+                    best = c
+            co[best] += out[v]
+            ci[best] += into[v]
+            if best != own:
+                com[v], moved = best, True
+                for u in near[v]:
+                    if com[u] != best and not waiting[u]:
+                        waiting[u] = True
+                        queue.append(u)
+        if not moved:
+            break
+        names = {c: k for k, c in enumerate(dict.fromkeys(com))}
+        inner = [names[c] for c in com]
+        member, merged = [inner[c] for c in member], {}
+        for (a, b), w in weights.items():
+            merged[inner[a], inner[b]] = merged.get((inner[a], inner[b]), 0.0) + w
+        weights, size = merged, len(names)
+    names = {c: k for k, c in enumerate(dict.fromkeys(member))}
+    return [names[c] for c in member]
+
+
 def depths(seeds, near, depth):
     """The depth-first crawl by dictionaries."""
     seen, stack = {s: 0 for s in seeds}, [(s, 0) for s in reversed(seeds)]
@@ -39,6 +91,26 @@ def depths(seeds, near, depth):
     return seen
 
 
+@pytest.mark.parametrize("dense", [4, 256])
+def test_sequence_as_by_dictionaries(monkeypatch, dense):
+    monkeypatch.setattr(A, "DENSE", dense)
+    r = random.Random(dense)
+    for _ in range(80):
+        n = r.randint(1, 60)
+        links = [(r.randrange(n) if r.random() < 0.7 else 0, r.randrange(max(1, n // r.choice([1, 3, 8])))) for _ in range(r.randint(0, 200))]
+        assert C.sequential_moves(n, links) == moves(n, links)
+
+
+def test_sequence_over_former_bound(spark, monkeypatch):
+    monkeypatch.setattr(C, "SEQUENTIAL_EDGES", 10, raising=False)  # what it refused once, at 2,000,000
+    ids, pairs = some_graph(3, 70, 160)
+    g = graph(spark, ids, pairs)
+    order = [(r["src"], r["dst"]) for r in C.input_order(g)[1].orderBy("pos").collect()]
+    at = {x: k for k, x in enumerate(ids)}
+    want = dict(zip(ids, moves(len(ids), [(at[a], at[b]) for a, b in order])))
+    assert {r["id"]: r["community"] for r in C.louvain_sequential(g).collect()} == want
+
+
 def test_crawl_over_former_bound(spark, monkeypatch):
     monkeypatch.setattr(T, "DFS_EDGES", 10, raising=False)  # what it refused once, at 2,000,000
     ids, pairs = some_graph(4, 90, 200)
